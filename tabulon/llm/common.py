@@ -148,9 +148,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs without ASCII white space) of rows of UTF-8 bytes: starts, ends, and the number of words before each row and the end."""
-    inner = ~_SPACE[data]
+NOT_SPACE = ~_SPACE
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (longest runs of member bytes) of rows of UTF-8 bytes: starts, ends, and the number of words before each row and the end."""
+    inner = members[data]
     edge = np.empty(len(data) + 1, bool)
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import chat, mixing, sharding
+from tabulon.llm import chat, mixing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_secrets": secrets.op4_secrets,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 ORACLE_SQL: dict[str, str] = {
