@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import chat, mixing, secrets, sharding, toxicity
+from tabulon.llm import chat, media, mixing, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
+    "op5_topk": topk.op5_topk,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_media": media.op10_media,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op5_topk": topk.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
