@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import chat, media, mixing, secrets, sharding, topk, toxicity
+from tabulon.llm import chat, jaccard, media, mixing, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
     "op5_topk": topk.op5_topk,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_media": media.op10_media,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
