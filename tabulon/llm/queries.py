@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import chat, jaccard, media, mixing, pii, secrets, sharding, topk, toxicity
+from tabulon.llm import chat, jaccard, media, mixing, pieces, pii, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": secrets.op4_secrets,
     "op5_topk": topk.op5_topk,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_pieces": pieces.op7_pieces,
     "op8_pii": pii.op8_pii,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_media": media.op10_media,
