@@ -1,15 +1,51 @@
-"""A training-data pipeline over documents."""
+"""A training-data pipeline over documents: each stage applies one operator to all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tabulon.llm import jaccard, mixing, pieces, secrets, toxicity
+from tabulon.llm.common import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.5."""
+    return toxicity.without_toxic(docs.select(*COLUMNS), toxicity.toxicity_model(spark, docs, sf_dir))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts whose sets of five-word shingles are linked at 0.8."""
+    return jaccard.one_of_each(docs.select(*COLUMNS), words=5, percent=80)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets replaced by a mark."""
+    return secrets.redact(docs.select(*COLUMNS), length="n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("size"))
+    return mixing.emit(mixing.mix_sources(sized)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each whole text: doc_id, source, n_tokens, ids."""
+    coded = pieces.encode_documents(docs, keep=["doc_id", "source"])
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("secret scans", redact_secrets), ("source mixing", mix), ("SentencePiece encoding", encode)]
+
+#: SQL can express neither the classifier nor the encoding; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs

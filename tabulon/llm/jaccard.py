@@ -8,7 +8,8 @@ has. By corpus frequency each set then drops its `spare` commonest exact segment
 of a pair, so the rarest untouched segment stays in both. Sets that share an index entry are verified exactly.
 
 Only connected components are wanted, so pairs inside a component are never made: the first round verifies one star
-edge per set, the next the stars of the entries that still hold two components, the last all their other pairs.
+edge per set, the next the stars of the entries that still hold two components. Where two components remain around a
+star, an index over the sets' differences from the star finds the pairs that can still be linked.
 """
 
 from __future__ import annotations
@@ -206,6 +207,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("whole")).filter(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b")
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(star, node, n_star, n, items, linked): what each set and its star don't share, and whether they are linked."""
+    left = sets.select("node", F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("star"), F.col("items").alias("y"))
+    both = pairs.join(left, "node").join(right, "star")
+    own = both.select("star", "node", F.size("y").alias("n_star"), F.size("x").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("items"))
+    shared = (F.col("n") + F.col("n_star") - F.size("items")) / 2
+    return own.withColumn("linked", 100 * shared >= percent * (F.col("n") + F.col("n_star") - shared))
+
+
+def _apart(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components around one star that can still be linked.
+
+    Sets x and y around a star differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, where D is a set's difference from the
+    star. With k = (1 - t) / (1 + t), a link needs at most k (|x| + |y|); of two linked sets in different components one,
+    x, isn't linked with the star: |Dx| > k (|x| + |star|). So Dx and Dy share more than
+    (|Dy| + k (|star| - |y|)) / 2 items, and at least (|Dx| - k (|x| + |star|) + 1 - k) / 2, as |y| <= |star| + |Dy|: they
+    meet within their rarest |D| - that + 1 items. Copies of one text with edits of their own share no rare items, so
+    they don't meet.
+    """
+    k = (100 - percent) / (100 + percent)
+    own = near.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
+    own = own.join(ends, "star", "left").withColumn("star_label", F.coalesce("star_label", "star"))
+    sums = own.groupBy("star").agg(F.min(F.least("label", "star_label")).alias("low"), F.max(F.greatest("label", "star_label")).alias("high"))
+    own = own.join(sums.filter(F.col("low") != F.col("high")).select("star"), "star", "left_semi")
+    size = F.size("items")
+    as_other = F.floor((size + k * (F.col("n_star") - F.col("n"))) / 2 + 1e-9) + 1
+    as_far = F.greatest(F.lit(1), F.ceil((size - k * (F.col("n") + F.col("n_star")) + 1 - k) / 2 - 1e-9))
+    rows = own.select("star", "node", "label", "n", "linked", size.alias("size"), (size + 1 - as_far).alias("far_prefix"), (size + 1 - as_other).alias("prefix"), F.explode("items").alias("item"))
+    met = rows.withColumn("often", F.count("*").over(W.Window.partitionBy("star", "item")))
+    place = F.row_number().over(W.Window.partitionBy("star", "node").orderBy("often", "item"))
+    shared = met.withColumn("place", place).filter(F.col("often") > 1)
+    far = shared.filter(~F.col("linked") & (F.col("place") <= F.col("far_prefix"))).select("star", "item", "node", "label", "n", "size", "place")
+    other = shared.filter(F.col("place") <= F.col("prefix")).select("star", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "size", "place")])
+    fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    # At their first common item, enough items must be left in both.
+    enough = 2 * (1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))) >= F.col("size") + F.col("size_b") - F.floor(k * (F.col("n") + F.col("n_b")) + 1e-9)
+    same = (far.star == other.star) & (far.item == other.item)
+    pairs = far.join(other, same & (F.col("node") != F.col("node_b")) & (F.col("label") != F.col("label_b")) & fits & enough)
+    return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, its own included) of every row.
 
@@ -239,22 +283,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
         return own.withColumns({"least": F.min("label").over(entry), "top": F.max("label").over(entry)}).filter(F.col("least") != F.col("top")).drop("least", "top")
 
     rest = cut(open_entries(starred))
-    of_star = W.Window.partitionBy("entry")
-    stars = rest.withColumn("star_label", F.max(F.when(F.col("node") == F.col("star"), F.col("label"))).over(of_star))
-    second = stars.filter(F.col("label") != F.col("star_label")).select(F.col("node").alias("a"), F.col("star").alias("b")).distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"))
-    more = cut(_verified(second, sets, percent))
-    tested = first.union(second)
-    if more.limit(1).count():
-        links = cut(links.union(more))
-        labels = cut(components(links))
-        rest = cut(open_entries(rest.select("entry", "node", "star")))
-    sized = rest.join(nodes.filter(F.col("n_shingles") > 0).select("node", "n_shingles").distinct(), "node").select("entry", "node", "label", "n_shingles")
-    other = sized.select("entry", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n_shingles")])
-    apart = sized.join(other, "entry").filter((F.col("node") > F.col("node_b")) & (F.col("label") != F.col("label_b")))
-    fitting = apart.filter(100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b"))
-    third = fitting.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    final = cut(_verified(cut(third), sets, percent))
+    near = cut(_differences(rest.filter(F.col("node") != F.col("star")).select("star", "node").distinct(), sets, percent))
+    more = near.filter("linked").select(F.col("node").alias("a"), F.col("star").alias("b"))
+    links = cut(links.union(more))
+    labels = cut(components(links))
+    final = cut(_verified(cut(_apart(near, labels, percent)), sets, percent))
     if final.limit(1).count():
         links = cut(links.union(final))
         labels = cut(components(links))
@@ -269,6 +302,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the near copies: of each component the document of the smallest id stays, rows without words all stay.
+
+    Rows that repeat a doc_id count as one document and stay or leave together.
+    """
+    parts = jaccard_components(docs, words, percent)
+    gone = cut(parts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count()
+    gone = F.broadcast(gone) if few <= BROADCAST_ROWS and 16 * few <= BROADCAST_BYTES else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85, steps=2)
 

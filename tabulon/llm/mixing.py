@@ -78,7 +78,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", si
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row copies times, with its repetition number from 0 in `copy`; rows without copies leave."""
     taken = mixed.filter(F.col("copies") > 0)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))) - 1)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

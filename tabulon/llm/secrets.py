@@ -227,8 +227,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """docs with every secret in `text` replaced by mark; overlapping spans are replaced once. Other texts stay as they are."""
+def redact(docs: DataFrame, mark: str = "<SECRET>", length: str | None = None) -> DataFrame:
+    """docs with every secret in `text` replaced by mark; overlapping spans are replaced once. Other rows stay as they are.
+
+    length: a column that holds the text's length in characters, put right where the text changes.
+    """
     null = corpus_null(docs)
     least = thresholds(cut(scan(docs, null, [])))
 
@@ -237,6 +240,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
+            lengths = batch.column(length).to_pylist() if length else None
             for at, _, data, offsets in utf8_parts(batch.column("text")):
                 for i, base, more in scan_part(data, offsets, null):
                     spans = sorted([(a, b) for a, _, b in base] + [(a, b) for a, b, c, p in more if p >= least[c]])
@@ -247,8 +251,13 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
                                 parts += [text[end:a], mark]
                             end = max(end, b)
                         texts[at + i] = "".join([*parts, text[end:]])
-            place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+                        if lengths:
+                            lengths[at + i] = len(texts[at + i])
+            for name, new in (("text", texts), (length, lengths)):
+                if new:
+                    place = batch.schema.get_field_index(name)
+                    batch = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
+            yield batch
 
     return docs.mapInArrow(run, docs.schema)
 

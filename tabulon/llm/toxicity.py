@@ -20,8 +20,10 @@ BITS = 20
 MAX_TRAIN_ROWS, GROUP_ROWS = 32_768, 8_192
 #: A longer word also counts by its first so many bytes.
 STEMS = (4, 6)
-#: Rate, its smoothing, L1 and L2 strength, passes over a group's rows. A feature of a single row moves by less than L1 in all passes and stays at zero.
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.2, 0.05, 3
+#: Rate, its smoothing, L1 and L2 strength, passes over a group's rows.
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 9.0, 0.05, 4
+#: Rows of the rarer label 1 count by the labels' ratio to this power, at most so much.
+BALANCE, MOST_WEIGHT = 1.0, 4.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -60,6 +62,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     base = (labels.sum() + 0.1) / (len(labels) + 1)
     bias, bias_n = float(np.log(base / (1 - base))), 1.0
+    heavier = min(MOST_WEIGHT, max(1.0, (1 - base) / base) ** BALANCE)
 
     def weight(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
@@ -69,7 +72,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
             f = rows[i]
             zi, ni = z[f], n[f]
             w = weight(zi, ni)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - labels[i]
+            g = (1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - labels[i]) * (heavier if labels[i] else 1.0)
             z[f] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[f] = ni + g * g
             bias_n += g * g
@@ -112,6 +115,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return {"features": mean["feature"].to_numpy(np.int64), "weights": mean["weight"].to_numpy(np.float64), "bias": float(bias.iloc[0]) if len(bias) else float(np.log(0.1 / 0.9))}
 
 
+def _scores(column, bias: float, dense: np.ndarray) -> np.ndarray:
+    out = np.full(len(column), bias)
+    for at, to, data, offsets in utf8_parts(column):
+        row, feature = text_features(data, offsets)
+        hit = dense[feature] != 0
+        pairs = np.unique(row[hit] << BITS | feature[hit])
+        out[at:to] += np.bincount(pairs >> BITS, weights=dense[pairs & ((1 << BITS) - 1)], minlength=to - at)
+    return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+
+
 def score_texts(df: DataFrame, model: dict, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:
     """The columns keep of df and a score from 0 to 1 of each whole text; null texts score as empty ones."""
     held = df.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS numbers
@@ -123,19 +136,30 @@ def score_texts(df: DataFrame, model: dict, keep: list[str], text: str = "text",
         dense = np.zeros(1 << BITS)
         dense[own["features"]] = own["weights"]
         for batch in batches:
-            out = np.full(batch.num_rows, own["bias"])
-            for at, to, data, offsets in utf8_parts(batch.column("_text")):
-                row, feature = text_features(data, offsets)
-                hit = dense[feature] != 0
-                pairs = np.unique(row[hit] << BITS | feature[hit])
-                out[at:to] += np.bincount(pairs >> BITS, weights=dense[pairs & ((1 << BITS) - 1)], minlength=to - at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))], [*keep, score])
+            scores = _scores(batch.column("_text"), own["bias"], dense)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, score])
 
     kinds = dict(df.dtypes)
     inner = df.select(*keep, F.col(text).alias("_text"))
     return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{score} double"]))
 
 
+def without_toxic(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose whole text scores below limit, as they were."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own = held.value
+        dense = np.zeros(1 << BITS)
+        dense[own["features"]] = own["weights"]
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text"), own["bias"], dense) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """A fifth of the ids, by CRC, never learnt from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
