@@ -90,7 +90,7 @@ def turtle_string(text: Column) -> Column:
 
 
 def phrases(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[:;/\n]+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"[:;/\n]+"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def fenced_json(text: Column) -> Column:

@@ -26,7 +26,7 @@ def count_of(text: Column, words: list[str]) -> Column:
 
 
 def reasoning_chain(text: Column, most: int = 5) -> Column:
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     return F.array_join(F.slice(F.filter(lines, lambda x: F.lower(x).rlike("|".join(CHAIN))), 1, most), " | ")
 
 

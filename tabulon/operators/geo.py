@@ -41,7 +41,7 @@ def parse_location(places: DataFrame, location: str = "location") -> DataFrame:
     low = F.lower(t)
     city_state = F.create_map(*[x for a, s, _ in CITIES for x in (F.lit(a), F.lit(s))])
     city_name = F.create_map(*[x for a, _, p in CITIES for x in (F.lit(a), F.lit(p))])
-    parts = F.transform(F.split(t, ","), F.trim)
+    parts = F.transform(F.split(t, ","), lambda x: F.trim(x))
     name, code = parts[0], F.when(F.size(parts) == 2, state_code(F.get(parts, F.lit(1))))
     county = F.lower(name).contains("county")
     nation, known, whole = low.isin(*NATION), F.try_element_at(city_state, low), state_code(t)

@@ -56,7 +56,8 @@ def quota_sample(rows: DataFrame, family: str, quotas: Column, order: Column) ->
 
 
 def running_batches(rows: DataFrame, group: str, order: str, cost: str, budget: float) -> DataFrame:
-    """A greedy batch number in each group: a batch ends before its cost would pass budget. A fold over the group's ordered rows."""
+    """A greedy batch number in each group: a batch ends before its cost would pass budget. A fold over the
+    group's ordered rows, which are one array: for groups of bounded size, such as a conversation's turns."""
     parts = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c")))).alias("x"))
     state = "struct<sum:double,batch:int,out:array<struct<o:bigint,batch:int>>>"
     begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out")).cast(state)

@@ -59,7 +59,8 @@ def significance_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def temporal_change(spark: SparkSession, d: str) -> DataFrame:
     rows = nation_orders(spark, d).withColumn("year", F.year("o_orderdate"))
-    est = rows.groupBy("n_name", "year").agg(F.avg("o_totalprice").alias("estimate"))
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))  # whole numbers add up alike in any order
+    est = rows.groupBy("n_name", "year").agg((cents.cast("double") / 100.0 / F.count("*")).alias("estimate"))
     return retrieval.changes(est, ["n_name"], "year").select("n_name", "year", F.round("estimate", 4).alias("estimate"), F.round("change", 4).alias("change"))
 
 
@@ -143,7 +144,7 @@ ORACLE_SQL = {
     "aggregate_sum_moe": f"WITH e AS ({BASE}) SELECT r_name, round(sum(estimate), 3) AS estimate, round(sqrt(sum(moe * moe)), 3) AS moe FROM e JOIN nation USING (n_name) JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "rate_num_den": "WITH g AS (SELECT n_name, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS num, count(*)::DOUBLE AS den FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name) SELECT n_name, round(num / den, 6) AS rate, round(sqrt(num * 1.645 * 1.645 + (num / den) ** 2 * den * 1.645 * 1.645) / den, 6) AS rate_moe FROM g",
     "significance_pairs": f"WITH e AS (SELECT x.*, n_regionkey FROM ({BASE}) x JOIN nation USING (n_name)) SELECT a.n_regionkey, a.n_name, b.n_name AS n_name_b, abs(a.estimate - b.estimate) > a.moe + b.moe AS differs FROM e a JOIN e b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name",
-    "temporal_change": "WITH e AS (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS estimate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_name, year, round(estimate, 4) AS estimate, round(estimate - lag(estimate) OVER (PARTITION BY n_name ORDER BY year), 4) AS change FROM e",
+    "temporal_change": "WITH e AS (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 100.0 / count(*) AS estimate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_name, year, round(estimate, 4) AS estimate, round(estimate - lag(estimate) OVER (PARTITION BY n_name ORDER BY year), 4) AS change FROM e",
     "geo_rollup_levels": "SELECT r_name, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "grouping_sets_profile": "SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_size))",
     "geo_advisor_status": _GEO
