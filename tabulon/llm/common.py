@@ -56,12 +56,12 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 32) ->
     is repeated once per salt and big is dealt over key and salt, so that no key lands whole in one task.
     """
     size = small.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length(F.col(key).cast("string")), F.lit(0)) + 8 * len(small.columns)).alias("b")).first()
-    own = small.withColumnRenamed(key, "_key")
+    own = small.withColumnRenamed(key, "__tb_key")
     if size.n <= BROADCAST_ROWS and (size.b or 0) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(own), big[key].eqNullSafe(own["_key"]), "left").drop("_key")
-    own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = big.withColumn("_deal", F.pmod(F.xxhash64(*[c for c, k in big.dtypes if not k.startswith(("map", "variant"))]), F.lit(salts)).cast("int"))
-    return left.join(own, left[key].eqNullSafe(own["_key"]) & (left["_deal"] == own["_salt"]), "left").drop("_key", "_salt", "_deal")
+        return big.join(F.broadcast(own), big[key].eqNullSafe(own["__tb_key"]), "left").drop("__tb_key")
+    own = own.withColumn("__tb_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn("__tb_deal", F.pmod(F.xxhash64(*[c for c, k in big.dtypes if not k.startswith(("map", "variant"))]), F.lit(salts)).cast("int"))
+    return left.join(own, left[key].eqNullSafe(own["__tb_key"]) & (left["__tb_deal"] == own["__tb_salt"]), "left").drop("__tb_key", "__tb_salt", "__tb_deal")
 
 
 def unsigned_crc32(text: Column) -> Column:

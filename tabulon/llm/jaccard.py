@@ -138,7 +138,7 @@ def set_mark(own: np.ndarray) -> int:
 
 def _each_set(batches: Iterator, words: int) -> Iterator:
     for batch in batches:
-        sets = [s for _, _, data, offsets in utf8_parts(batch.column("_text"), 2 << 20) for s in shingle_sets(data, offsets, words)]
+        sets = [s for _, _, data, offsets in utf8_parts(batch.column("__tb_text"), 2 << 20) for s in shingle_sets(data, offsets, words)]
         yield batch, sets
 
 
@@ -151,7 +151,7 @@ def set_table(docs: DataFrame, words: int, id_: str = "doc_id") -> DataFrame:
         for batch, sets in _each_set(batches, words):
             yield pa.RecordBatch.from_arrays([batch.column(id_), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_mark(s) for s in sets], pa.int64())], [id_, "n_shingles", "node"])
 
-    return docs.select(id_, F.col("text").alias("_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, n_shingles long, node long")
+    return docs.select(id_, F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, n_shingles long, node long")
 
 
 def entry_table(docs: DataFrame, words: int, percent: int, steps: int) -> DataFrame:
@@ -161,7 +161,7 @@ def entry_table(docs: DataFrame, words: int, percent: int, steps: int) -> DataFr
         import pyarrow as pa
 
         for batch in batches:
-            for _, _, data, offsets in utf8_parts(batch.column("_text"), 1 << 20):
+            for _, _, data, offsets in utf8_parts(batch.column("__tb_text"), 1 << 20):
                 entries, nodes, kinds, seen = [], [], [], set()
                 for own in shingle_sets(data, offsets, words):
                     if len(own) and (mark := set_mark(own)) not in seen:
@@ -176,26 +176,26 @@ def entry_table(docs: DataFrame, words: int, percent: int, steps: int) -> DataFr
                     repeated = np.repeat(np.array([x for x, _ in nodes], np.int64), [k for _, k in nodes])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(repeated), pa.array(np.concatenate(kinds))], ["entry", "node", "kind"])
 
-    return docs.select(F.col("text").alias("_text")).mapInArrow(run, "entry long, node long, kind short")
+    return docs.select(F.col("text").alias("__tb_text")).mapInArrow(run, "entry long, node long, kind short")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, n, items) of the documents wanted (doc_id, node): the ids are broadcast if few, else joined by shuffle."""
     few = wanted.count()
     ids = wanted.select(F.col("doc_id").alias("_id"), "node")
-    near = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(ids) if few <= BROADCAST_ROWS and 16 * few <= BROADCAST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    near = docs.select("doc_id", F.col("text").alias("__tb_text")).join(F.broadcast(ids) if few <= BROADCAST_ROWS and 16 * few <= BROADCAST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for at, to, data, offsets in utf8_parts(batch.column("_text"), 2 << 20):
+            for at, to, data, offsets in utf8_parts(batch.column("__tb_text"), 2 << 20):
                 sets = list(shingle_sets(data, offsets, words))
                 same = [i for i, (s, k) in enumerate(zip(sets, batch.column("node")[at:to].to_pylist(), strict=True)) if set_mark(s) == k]
                 items = pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("node")[at:to].take(pa.array(same, pa.int64())), items], ["node", "items"])
 
-    return near.select("_text", "node").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return near.select("__tb_text", "node").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,8 +236,9 @@ def _apart(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     size = F.size("items")
     as_other = F.floor((size + k * (F.col("n_star") - F.col("n"))) / 2 + 1e-9) + 1
     as_far = F.greatest(F.lit(1), F.ceil((size - k * (F.col("n") + F.col("n_star")) + 1 - k) / 2 - 1e-9))
-    rows = own.select("star", "node", "label", "n", "linked", size.alias("size"), (size + 1 - as_far).alias("far_prefix"), (size + 1 - as_other).alias("prefix"), F.explode("items").alias("item"))
-    met = rows.withColumn("often", F.count("*").over(W.Window.partitionBy("star", "item")))
+    # Large groups are dealt over their nodes, then over their items.
+    rows = own.repartition("star", "node").select("star", "node", "label", "n", "linked", size.alias("size"), (size + 1 - as_far).alias("far_prefix"), (size + 1 - as_other).alias("prefix"), F.explode("items").alias("item"))
+    met = rows.repartition("item", "star").withColumn("often", F.count("*").over(W.Window.partitionBy("item", "star")))
     place = F.row_number().over(W.Window.partitionBy("star", "node").orderBy("often", "item"))
     shared = met.withColumn("place", place).filter(F.col("often") > 1)
     far = shared.filter(~F.col("linked") & (F.col("place") <= F.col("far_prefix"))).select("star", "item", "node", "label", "n", "size", "place")
@@ -268,12 +269,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
     spare = F.element_at(F.array(*[F.lit(b[4]) for b in bands(percent, steps, 2 * largest + 64)]), F.floor(F.col("kind") / 2).cast("int") + 1)
     common = W.Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), "entry")
     kept = met.withColumn("place", F.row_number().over(common)).filter((F.col("kind") % 2 == 0) | (F.col("place") > spare)).select("entry", "node")
-    starred = cut(kept.withColumn("star", F.min("node").over(entry)).withColumn("most", F.max("node").over(entry)).filter(F.col("star") != F.col("most")).select("entry", "node", "star"))
+    kept = cut(kept)
+    # The star of an entry is its set with the most company over all entries: an original rather than one of its variants.
+    company = kept.withColumn("n", F.count("*").over(entry)).groupBy("node").agg(F.sum("n").alias("company"))
+    known = kept.join(company, "node")
+    most = F.max(F.struct("company", "node")).over(entry)
+    starred = known.withColumns({"star": most["node"], "star_company": most["company"], "least": F.min("node").over(entry), "most": F.max("node").over(entry)})
+    starred = cut(starred.filter(F.col("least") != F.col("most")).select("entry", "node", "star", "star_company"))
     ids = nodes.filter(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     ids = cut(ids)
     texts = starred.select("node").distinct().join(ids, "node").select("doc_id", "node")
     sets = cut(_sets_of(docs, cut(texts), words))
-    first = cut(starred.filter(F.col("node") != F.col("star")).groupBy(F.col("node").alias("a")).agg(F.min("star").alias("b")))
+    first = cut(starred.filter(F.col("node") != F.col("star")).groupBy(F.col("node").alias("a")).agg(F.max_by("star", F.struct("star_company", "star")).alias("b")))
     links = cut(_verified(first, sets, percent))
     labels = cut(components(links))
 
@@ -296,9 +303,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
     named = cut(placed.join(least, "label").select(F.col("node").alias("_node"), "component_id"))
     # A node with very many copies would land whole in one task: rows are dealt by node and a salt.
     salts = 16
-    rows = nodes.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("_salt", "_salt_b")
-    full = rows.join(named, (rows.node == named["_node"]) & (rows["_salt"] == named["_salt_b"]) & (rows.n_shingles > 0), "left")
+    rows = nodes.withColumn("__tb_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    named = named.withColumn("__tb_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("__tb_salt", "__tb_salt_b")
+    full = rows.join(named, (rows.node == named["_node"]) & (rows["__tb_salt"] == named["__tb_salt_b"]) & (rows.n_shingles > 0), "left")
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -308,10 +315,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat a doc_id count as one document and stay or leave together.
     """
     parts = jaccard_components(docs, words, percent)
-    gone = cut(parts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = cut(parts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tb_gone")).distinct())
     few = gone.count()
     gone = F.broadcast(gone) if few <= BROADCAST_ROWS and 16 * few <= BROADCAST_BYTES else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__tb_gone")), "left_anti")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

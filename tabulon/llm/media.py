@@ -255,13 +255,13 @@ def clip_table(media: DataFrame, keep: list[str], avi: str = "media") -> DataFra
         import pyarrow as pa
 
         for batch in batches:
-            found = [(i, c, a, b, r["rate"]) for i, x in enumerate(batch.column("_avi")) if x.is_valid for r in [read_media(x.as_py())] for c, (a, b) in enumerate(r["clips"])]
+            found = [(i, c, a, b, r["rate"]) for i, x in enumerate(batch.column("__tb_avi")) if x.is_valid for r in [read_media(x.as_py())] for c, (a, b) in enumerate(r["clips"])]
             rows = pa.array([f[0] for f in found], pa.int64())
             cols = [pa.array([f[j] for f in found], pa.int32()) for j in (1, 2, 3)] + [pa.array([f[j] / f[4] for f in found], pa.float64()) for j in (2, 3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), *cols], [*keep, "clip", "first", "stop", "start_s", "stop_s"])
 
     kinds = dict(media.dtypes)
-    return media.select(*keep, F.col(avi).alias("_avi")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "clip int, first int, stop int, start_s double, stop_s double"]))
+    return media.select(*keep, F.col(avi).alias("__tb_avi")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "clip int, first int, stop int, start_s double, stop_s double"]))
 
 
 def payload_of(text: np.ndarray) -> np.ndarray:
@@ -285,7 +285,7 @@ def media_columns(docs: DataFrame, keep: list[str], with_media: bool = False, te
 
         for batch in batches:
             rows, stored = [], []
-            for _, _, data, offsets in utf8_parts(batch.column("_text")):
+            for _, _, data, offsets in utf8_parts(batch.column("__tb_text")):
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     avi = write_avi(payload_of(data[a:b]))
                     back = read_media(avi)
@@ -297,7 +297,7 @@ def media_columns(docs: DataFrame, keep: list[str], with_media: bool = False, te
             cols = [pa.array([r[j] for r in rows], kind[j]) for j in range(7)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols, *([pa.array(stored, pa.binary())] if with_media else [])], [*keep, *names, *(["media"] if with_media else [])])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema + (", media binary" if with_media else ""))
+    return docs.select(*keep, F.col(text).alias("__tb_text")).mapInArrow(run, schema + (", media binary" if with_media else ""))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

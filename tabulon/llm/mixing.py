@@ -26,10 +26,10 @@ def _positions(keys: DataFrame, key: str) -> DataFrame:
     """keys (unique) with their position from 0 in code point order, null last. Ranges are sorted apart, then offset."""
     n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = cut(keys.repartitionByRange(n, F.col(key).asc_nulls_last()).withColumn("_range", F.spark_partition_id()))
-    before = spread.groupBy("_range").count().withColumn("_before", F.sum("count").over(W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)))
+    before = spread.groupBy("_range").count().withColumn("__tb_before", F.sum("count").over(W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)))
     inside = F.row_number().over(W.Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_last()))
-    placed = spread.join(before.select("_range", "_before"), "_range")
-    return placed.withColumn("position", F.coalesce("_before", F.lit(0)) + inside - 1).drop("_range", "_before")
+    placed = spread.join(before.select("_range", "__tb_before"), "_range")
+    return placed.withColumn("position", F.coalesce("__tb_before", F.lit(0)) + inside - 1).drop("_range", "__tb_before")
 
 
 def source_targets(docs: DataFrame, source: str = "source", size: str = "size", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:

@@ -364,15 +364,15 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, te
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(open(model, "rb").read())
     kinds = dict(docs.dtypes)
-    inner = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    long = F.coalesce(F.char_length("_text") > chunk, F.lit(False))
+    inner = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__tb_text"))
+    long = F.coalesce(F.char_length("__tb_text") > chunk, F.lit(False))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = loaded(held.value)
         for batch in batches:
-            for at, to, data, offsets in utf8_parts(batch.column("_text")):
+            for at, to, data, offsets in utf8_parts(batch.column("__tb_text")):
                 raw = data.tobytes()
                 ids = own.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
@@ -380,12 +380,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, te
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[at:to] for c in keep), lists], [*keep, "ids"])
 
     short = inner.filter(~long).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>"]))
-    giants = inner.filter(long).withColumn("_mark", F.sha2("_text", 256))
-    texts = cut(giants.groupBy(F.col("_mark").alias("mark")).agg(F.first("_text").alias("text")))
+    giants = inner.filter(long).withColumn("__tb_mark", F.sha2("__tb_text", 256))
+    texts = cut(giants.groupBy(F.col("__tb_mark").alias("mark")).agg(F.first("__tb_text").alias("text")))
     if not texts.limit(1).count():
         return short
-    scanned = scan_giants(held, texts, chunk).withColumnRenamed("mark", "_key")
-    return short.unionByName(giants.drop("_text").join(scanned, F.col("_mark") == F.col("_key")).select(*keep, "ids"))
+    scanned = scan_giants(held, texts, chunk).withColumnRenamed("mark", "__tb_key")
+    return short.unionByName(giants.drop("__tb_text").join(scanned, F.col("__tb_mark") == F.col("__tb_key")).select(*keep, "ids"))
 
 
 def decode_documents(encoded: DataFrame, keep: list[str], model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -398,10 +398,10 @@ def decode_documents(encoded: DataFrame, keep: list[str], model: str = MODEL, id
 
         own = loaded(held.value)
         for batch in batches:
-            out = [own.decode(np.asarray(x.values)).decode("utf-8", "replace") if x.is_valid else None for x in batch.column("_ids")]
+            out = [own.decode(np.asarray(x.values)).decode("utf-8", "replace") if x.is_valid else None for x in batch.column("__tb_ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
 
-    return encoded.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string"]))
+    return encoded.select(*keep, F.col(ids).alias("__tb_ids")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string"]))
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

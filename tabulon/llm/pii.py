@@ -168,11 +168,11 @@ def pseudonymise(docs: DataFrame, key: str = "tabulon", text: str = "text") -> D
     t = F.col(text)
     has = t.rlike("[0-9@]") & t.rlike(ANY)
     found = F.when(has, pseudonyms(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), key))
-    marked = docs.withColumn("_new", found)
-    count = lambda k: F.coalesce(F.size(F.filter("_new", lambda x: (x["kind"] == k) & (x["old"] != x["new"]))), F.lit(0)).cast("long")
-    pieces = F.zip_with(F.split(t, ANY), F.col("_new"), lambda between, x: F.concat(between, F.coalesce(x["new"], F.lit(""))))
-    counts = {f"pii_{k}": F.when(F.col("_new").isNotNull(), count(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
-    return marked.withColumns({text: F.when(F.col("_new").isNotNull(), F.array_join(pieces, "")).otherwise(t)} | counts).drop("_new")
+    marked = docs.withColumn("__tb_new", found)
+    count = lambda k: F.coalesce(F.size(F.filter("__tb_new", lambda x: (x["kind"] == k) & (x["old"] != x["new"]))), F.lit(0)).cast("long")
+    pieces = F.zip_with(F.split(t, ANY), F.col("__tb_new"), lambda between, x: F.concat(between, F.coalesce(x["new"], F.lit(""))))
+    counts = {f"pii_{k}": F.when(F.col("__tb_new").isNotNull(), count(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
+    return marked.withColumns({text: F.when(F.col("__tb_new").isNotNull(), F.array_join(pieces, "")).otherwise(t)} | counts).drop("__tb_new")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,14 +174,14 @@ def scan(docs: DataFrame, null: dict, keep: list[str]) -> DataFrame:
         tokens = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("class", pa.int32()), ("bin", pa.int32())]))
         for batch in batches:
             base, found = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
-            for at, _, data, offsets in utf8_parts(batch.column("_text")):
+            for at, _, data, offsets in utf8_parts(batch.column("__tb_text")):
                 for i, own, more in scan_part(data, offsets, null):
                     base[at + i] = [dict(zip(("start", "kind", "stop"), x, strict=True)) for x in own]
                     found[at + i] = [dict(zip(("start", "stop", "class", "bin"), x, strict=True)) for x in more]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(base, spans), pa.array(found, tokens)], [*keep, "base", "candidates"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"base {SPANS}, candidates {CANDIDATES}"]))
+    return docs.select(*keep, F.col("text").alias("__tb_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"base {SPANS}, candidates {CANDIDATES}"]))
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> list[int]:

@@ -119,11 +119,11 @@ def kd_shards(points: DataFrame, axes: list[str], leaves: int | None = None, lea
 def slots(sharded: DataFrame, by: list[str], rows: int) -> DataFrame:
     """A gapless number from 0 within each shard. Groups of about SLOT_ROWS rows, dealt by a hash, are numbered apart and offset."""
     groups = 1 << max(8, math.ceil(math.log2(max(1, rows) / SLOT_ROWS)))
-    dealt = sharded.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int"))
-    sums = dealt.groupBy("shard", "_group").count()
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("count").over(W.Window.partitionBy("shard").orderBy("_group").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = F.row_number().over(W.Window.partitionBy("shard", "_group").orderBy(*by))
-    return dealt.join(offsets, ["shard", "_group"]).withColumn("slot", F.col("_before") + inside - 1).drop("_group", "_before")
+    dealt = sharded.withColumn("__tb_group", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int"))
+    sums = dealt.groupBy("shard", "__tb_group").count()
+    offsets = sums.withColumn("__tb_before", F.coalesce(F.sum("count").over(W.Window.partitionBy("shard").orderBy("__tb_group").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    inside = F.row_number().over(W.Window.partitionBy("shard", "__tb_group").orderBy(*by))
+    return dealt.join(offsets, ["shard", "__tb_group"]).withColumn("slot", F.col("__tb_before") + inside - 1).drop("__tb_group", "__tb_before")
 
 
 def shard_documents(docs: DataFrame, leaves: int | None = None, leaf_bytes: int | None = None) -> DataFrame:

@@ -136,11 +136,11 @@ def score_texts(df: DataFrame, model: dict, keep: list[str], text: str = "text",
         dense = np.zeros(1 << BITS)
         dense[own["features"]] = own["weights"]
         for batch in batches:
-            scores = _scores(batch.column("_text"), own["bias"], dense)
+            scores = _scores(batch.column("__tb_text"), own["bias"], dense)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, score])
 
     kinds = dict(df.dtypes)
-    inner = df.select(*keep, F.col(text).alias("_text"))
+    inner = df.select(*keep, F.col(text).alias("__tb_text"))
     return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{score} double"]))
 
 
