@@ -17,21 +17,26 @@ def event_stream(spark: SparkSession, directory: str, files_per_trigger: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(directory)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Events under a watermark; a stream's event time must be a timestamp with the session's time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and sum of value per window and event type; rows later than `late` are dropped once their window is closed."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    grouped = _timed(events, late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of a user: begin, end of the last event's gap, events."""
-    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    grouped = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return grouped.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def first_of_key(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """Events without repeats of key within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def token_counts(docs: DataFrame, text: str) -> DataFrame:
