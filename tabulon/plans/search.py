@@ -14,8 +14,8 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-def _asked(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, n).alias("words"))
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("words"))
 
 
 def inverted_index_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -45,11 +45,11 @@ def synonym_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_asked(spark, d, 3), _index(spark, d), "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+    return lexical.bm25(_asked(spark, d), _index(spark, d), "doc_id", 5).select("query_id", "doc_id", "score", "rank")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -121,22 +121,22 @@ QUERIES = {f.__name__: f for f in (inverted_index_stats, keyword_search_topk, ke
 
 _TOK = "regexp_extract_all(lower({}), '[A-Za-z0-9]+')"
 _P = f"toks AS (SELECT doc_id, unnest({_TOK.format('text')}) AS token FROM documents), p AS (SELECT token, doc_id, count(*) AS tf FROM toks GROUP BY 1, 2)"
-_Q = lambda n: f"q AS (SELECT item_id AS query_id, {_TOK.format('text')}[1:{n}] AS words FROM benchmark), a AS (SELECT query_id, len(words) AS n, unnest(words) AS token FROM q)"
+_Q = f"q AS (SELECT item_id AS query_id, {_TOK.format('text')} AS words FROM benchmark), a AS (SELECT query_id, len(words) AS n, unnest(words) AS token FROM q)"
 _HITS = "h AS (SELECT query_id, n, doc_id, count(*) AS matches FROM a JOIN p USING (token) GROUP BY 1, 2, 3)"
 _D = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _C = f"{_D}, m AS (SELECT label AS concept, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY 1, 2), c AS (SELECT concept, list(m ORDER BY i) AS v FROM m GROUP BY 1), s AS (SELECT e.vec_id, e.label, c.concept, list_cosine_similarity(e.v, c.v) AS score FROM e, c)"
 _SHARES = lambda raw: f"r AS (SELECT vec_id, concept, {raw} AS raw FROM (SELECT vec_id, concept, greatest(score, 0) AS score FROM s)), t AS (SELECT *, raw / sum(raw) OVER (PARTITION BY vec_id) AS share FROM r), f AS (SELECT *, max((share >= 0.15)::INT) OVER (PARTITION BY vec_id) AS any_, row_number() OVER (PARTITION BY vec_id ORDER BY share DESC, concept) AS n FROM t) SELECT vec_id, concept, round(CASE WHEN any_ = 1 THEN share / sum(share) OVER (PARTITION BY vec_id) ELSE 1 END, 6) AS weight FROM f WHERE CASE WHEN any_ = 1 THEN share >= 0.15 ELSE n = 1 END"
 ORACLE_SQL = {
     "inverted_index_stats": f"WITH {_P} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY token",
-    "keyword_search_topk": f"WITH {_P}, {_Q(8)}, {_HITS} SELECT query_id, doc_id, matches, round(least(matches / n, 1.0), 6) AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM h) WHERE rank <= 10",
-    "keyword_search_domain_boost": f"WITH {_P}, {_Q(8)}, {_HITS}, b AS (SELECT query_id, doc_id, matches * (1 + quality * 0.5) AS score FROM h JOIN labels USING (doc_id) WHERE quality * 0.5 > 0.3) SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 10",
-    "suggestions_low_conf": f"WITH {_P}, {_Q(8)}, {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank, max(matches / n) OVER (PARTITION BY query_id) AS best FROM h) SELECT query_id, rank, doc_id::VARCHAR || ' - ' || substr(source, 1, 60) || '...' AS suggestion FROM k JOIN documents USING (doc_id) WHERE rank <= 3 AND best < 0.9",
+    "keyword_search_topk": f"WITH {_P}, {_Q}, {_HITS} SELECT query_id, doc_id, matches, round(least(matches / n, 1.0), 6) AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM h) WHERE rank <= 10",
+    "keyword_search_domain_boost": f"WITH {_P}, {_Q}, {_HITS}, b AS (SELECT query_id, doc_id, matches * (1 + quality * 0.5) AS score FROM h JOIN labels USING (doc_id) WHERE quality * 0.5 > 0.3) SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 10",
+    "suggestions_low_conf": f"WITH {_P}, {_Q}, {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank, max(matches / n) OVER (PARTITION BY query_id) AS best FROM h) SELECT query_id, rank, doc_id::VARCHAR || ' - ' || substr(source, 1, 60) || '...' AS suggestion FROM k JOIN documents USING (doc_id) WHERE rank <= 3 AND best < 0.9",
     "synonym_expansion": f"WITH t AS (SELECT DISTINCT p_partkey, unnest({_TOK.format('p_type')}) AS token FROM part), s(synonym, canonical) AS (VALUES ('metal', 'steel'), ('metal', 'brass'), ('cheap', 'economy')), u AS (SELECT token, p_partkey FROM t UNION SELECT synonym, p_partkey FROM t JOIN s ON token = canonical) SELECT token, count(*) AS n FROM u GROUP BY token",
-    "bm25_topk": f"""WITH {_P}, q AS (SELECT item_id AS query_id, list_distinct({_TOK.format('text')}[1:3]) AS words FROM benchmark), a AS (SELECT query_id, unnest(words) AS token FROM q), dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), w AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+    "bm25_topk": f"""WITH {_P}, q AS (SELECT item_id AS query_id, list_distinct({_TOK.format('text')}) AS words FROM benchmark), a AS (SELECT query_id, unnest(words) AS token FROM q), dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), w AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
 x AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS met FROM a JOIN p USING (token) JOIN df USING (token) JOIN dl USING (doc_id), w GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x JOIN q USING (query_id) WHERE met = len(words)) WHERE rank <= 5""",
-    "vector_topk_cosine": f"WITH {_D}, x AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score FROM e, e q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 5",
-    "vector_topk_l2_threshold": f"WITH {_D}, x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_distance(e.v, q.v) ** 2 AS score FROM e, e q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 5 AND score >= 0.3",
+    "vector_topk_cosine": f"WITH {_D}, x AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score FROM e, e q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 5",
+    "vector_topk_l2_threshold": f"WITH {_D}, x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_distance(e.v, q.v) ** 2 AS score FROM e, e q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 5 AND score >= 0.3",
     "concept_links_normalised": f"WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, concept) AS rank FROM s WHERE score >= 0.2) SELECT vec_id, concept, round(score, 6) AS similarity, round(score / sum(score) OVER (PARTITION BY vec_id), 6) AS weight, rank FROM k WHERE rank <= 5",
     "category_weights_linear": f"WITH {_C}, {_SHARES('score')}",
     "category_weights_log": f"WITH {_C}, {_SHARES('ln(1 + greatest(score, 1e-8))')}",

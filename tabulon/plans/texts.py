@@ -17,8 +17,8 @@ def html_to_text_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grams(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases of two and three of the first 2,000 tokens, seen twice or more."""
-    words = F.filter(F.slice(T.tokens(F.col("text")), 1, 2000), lambda w: w.rlike("^[a-z]+$") & ~w.isin(*T.STOP_WORDS))
+    """Phrases of two and three words of the whole texts, seen twice or more."""
+    words = F.filter(T.tokens(F.col("text")), lambda w: w.rlike("^[a-z]+$") & ~w.isin(*T.STOP_WORDS))
     rows = table(spark, d, "documents").select("doc_id", words.alias("words"))
     rows = rows.select(F.explode(F.concat(T.ngrams(F.col("words"), 2), T.ngrams(F.col("words"), 3))).alias("phrase"))
     return rows.groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 2")
@@ -89,7 +89,7 @@ _SQZ = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'))"
 _ENT = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _HTML = _SQZ.format(_ENT("regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"))
 _SW = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_GRAMS = f"w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[A-Za-z0-9]+')[1:2000], lambda x: regexp_full_match(x, '[a-z]+') AND x NOT IN ({_SW})) AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) || list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS phrase FROM w), n AS (SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 2)"
+_GRAMS = f"w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[a-z]+') AND x NOT IN ({_SW})) AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) || list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS phrase FROM w), n AS (SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 2)"
 _N = lambda t, words: "(" + " + ".join(f"contains({t}, '{w}')::INT" for w in words) + ")"
 _PACK = lambda parts, most, overlap, glue: f"""WITH RECURSIVE p AS ({parts}), x AS (SELECT doc_id, list_filter(parts, lambda q: q <> '') AS parts FROM p), f AS (
   SELECT doc_id, parts, 1 AS i, parts[1] AS now, NULL::VARCHAR AS done, 0 AS k FROM x WHERE len(parts) > 0
