@@ -21,8 +21,8 @@ from tabulon.llm.common import table
 BLOCK_ROWS, BLOCK_QUERIES, LEVELS = 8_192, 1_024, 32
 #: Impacts, as shares of the query's largest, at which the proof is tried. At 0 no positive impact is left.
 STOPS = (0.35, 0.2, 0.1, 0.04, 0.0)
-#: Components beyond this can't be summed exactly; such vectors take no part.
-MOST = 1 << 24
+#: Rounding of the bounds, which are sums of doubles, as a share of the largest impact in each dimension.
+SLACK = 1e-12
 
 
 class Block:
@@ -53,6 +53,7 @@ class Block:
         order = np.argsort(-impact, kind="stable")
         falling = impact[order]
         bound = np.zeros(len(self.ids))
+        slack = SLACK * len(query) * float(np.abs(impact).max())
         most, done, floor = float(max(falling[0], 0)), 0, -np.inf
         for stop in STOPS:
             to = int(np.searchsorted(-falling, -stop * most, "left")) if stop else int(np.searchsorted(-falling, 0, "left"))
@@ -70,7 +71,7 @@ class Block:
             exact = np.sort((self.vectors[look] @ query)[self.ids[look] != own_id])[::-1]
             if len(exact) >= k:
                 floor = max(floor, exact[k - 1])
-            members = np.flatnonzero(bound + rest.sum() >= floor)
+            members = np.flatnonzero(bound + (rest.sum() + slack) >= floor)
             if len(members) <= max(64, len(bound) // 50):
                 break
         members = members[self.ids[members] != own_id]
@@ -80,9 +81,14 @@ class Block:
 
 
 def whole_vectors(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(vec_id, v) with floor(256 x) of each component; without vectors that are null or hold null, non-finite or too large components."""
+    """(vec_id, v) with floor(256 x) of each component; without vectors that are null or hold null or non-finite components.
+
+    Of d components each must be below sqrt(2**63 / d) after scaling, else scores might not fit a long; vectors beyond
+    that take no part.
+    """
+    most = F.sqrt(F.lit(2.0**63) / F.greatest(F.size(vector), F.lit(1))) - 1
     scaled = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * 256))
-    fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * 256 < MOST))
+    fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * 256 < most))
     return vectors.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).filter(fine).select(F.col(id_).cast("long").alias("vec_id"), scaled.alias("v"))
 
 

@@ -179,6 +179,19 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_large_components_are_exact(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rng.uniform(-3e6, 3e6, 8)]) for i in range(200)] + [(200, [3e6] * 8), (201, [3e6] * 7 + [3e6 - 1 / 256])]
+    df = spark.createDataFrame([*vectors, (202, [1e300] * 8)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors}
+    want = []
+    for q in range(0, 201, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r["score"]) for r in got) == sorted(want)
+
+
 def test_topk_block_bounds():
     rng = np.random.default_rng(4)
     v = rng.integers(-80, 80, (500, 6))
