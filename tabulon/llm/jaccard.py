@@ -143,15 +143,15 @@ def _each_set(batches: Iterator, words: int) -> Iterator:
 
 
 def set_table(docs: DataFrame, words: int, id_: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, node) per row."""
+    """(id, text_hash, n_shingles, node) per row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch, sets in _each_set(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column(id_), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_mark(s) for s in sets], pa.int64())], [id_, "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_mark(s) for s in sets], pa.int64())], [id_, "text_hash", "n_shingles", "node"])
 
-    return docs.select(id_, F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, n_shingles long, node long")
+    return docs.select(id_, F.xxhash64("text").alias("text_hash"), F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, text_hash long, n_shingles long, node long")
 
 
 def entry_table(docs: DataFrame, words: int, percent: int, steps: int) -> DataFrame:
@@ -180,10 +180,13 @@ def entry_table(docs: DataFrame, words: int, percent: int, steps: int) -> DataFr
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, n, items) of the documents wanted (doc_id, node): the ids are broadcast if few, else joined by shuffle."""
+    """(node, items) of the documents wanted (doc_id, text_hash, node): these are broadcast if few, else joined by shuffle.
+
+    The hash of the text keeps rows apart that share an id or have none.
+    """
     few = wanted.count()
-    ids = wanted.select(F.col("doc_id").alias("_id"), "node")
-    near = docs.select("doc_id", F.col("text").alias("__tb_text")).join(F.broadcast(ids) if few <= BROADCAST_ROWS and 16 * few <= BROADCAST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
+    near = docs.select("doc_id", F.col("text").alias("__tb_text")).join(F.broadcast(ids) if few <= BROADCAST_ROWS and 24 * few <= BROADCAST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("__tb_text") == F.col("_hash")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -251,14 +254,8 @@ def _apart(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps: int = 1) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, its own included) of every row.
-
-    Two texts link when 100 * shared >= percent * union of their distinct shingles of so many words (white space apart,
-    A-Z in lower case). Texts without words link with nothing, not even each other. Equal sets are one node from the
-    start. Null ids get their component's smallest id, or null. Repeated rows are repeated. Empty in, empty out.
-    Shingles and sets are told apart by 64-bit hashes.
-    """
+def _labelled(docs: DataFrame, words: int, percent: int, steps: int) -> tuple[DataFrame, DataFrame]:
+    """The set of every row, and of every set with words: node, its smallest doc_id and its component's label."""
     docs = docs.select("doc_id", "text")
     nodes = cut(set_table(docs, words))
     entry = W.Window.partitionBy("entry")
@@ -276,9 +273,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
     most = F.max(F.struct("company", "node")).over(entry)
     starred = known.withColumns({"star": most["node"], "star_company": most["company"], "least": F.min("node").over(entry), "most": F.max("node").over(entry)})
     starred = cut(starred.filter(F.col("least") != F.col("most")).select("entry", "node", "star", "star_company"))
-    ids = nodes.filter(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    ids = nodes.filter(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"))
     ids = cut(ids)
-    texts = starred.select("node").distinct().join(ids, "node").select("doc_id", "node")
+    texts = starred.select("node").distinct().join(ids, "node").select("doc_id", "text_hash", "node")
     sets = cut(_sets_of(docs, cut(texts), words))
     first = cut(starred.filter(F.col("node") != F.col("star")).groupBy(F.col("node").alias("a")).agg(F.max_by("star", F.struct("star_company", "star")).alias("b")))
     links = cut(_verified(first, sets, percent))
@@ -298,7 +295,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
     if final.limit(1).count():
         links = cut(links.union(final))
         labels = cut(components(links))
-    placed = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return nodes, ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps: int = 1) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, its own included) of every row.
+
+    Two texts link when 100 * shared >= percent * union of their distinct shingles of so many words (white space apart,
+    A-Z in lower case). Texts without words link with nothing, not even each other. Equal sets are one node from the
+    start. Null ids get their component's smallest id, or null. Repeated rows are repeated. Empty in, empty out.
+    Shingles and sets are told apart by 64-bit hashes.
+    """
+    nodes, placed = _labelled(docs, words, percent, steps)
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = cut(placed.join(least, "label").select(F.col("node").alias("_node"), "component_id"))
     # A node with very many copies would land whole in one task: rows are dealt by node and a salt.
@@ -310,15 +318,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near copies: of each component the document of the smallest id stays, rows without words all stay.
+    """docs without the near copies: of each component one row stays, rows without words all stay.
 
-    Rows that repeat a doc_id count as one document and stay or leave together.
+    It is the row of the smallest doc_id (nulls last), then of the smallest set mark and text hash, then the smallest by
+    all columns. So ids may be null or repeat: texts that aren't near copies stay whatever their ids.
     """
-    parts = jaccard_components(docs, words, percent)
-    gone = cut(parts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tb_gone")).distinct())
-    few = gone.count()
-    gone = F.broadcast(gone) if few <= BROADCAST_ROWS and 16 * few <= BROADCAST_BYTES else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__tb_gone")), "left_anti")
+    nodes, placed = _labelled(docs, words, percent, 1)
+    rows = nodes.filter(F.col("n_shingles") > 0)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "text_hash")
+    # Least of each set first: a set with very many copies is one row before it meets its label.
+    least = rows.groupBy("node").agg(F.min(key).alias("key")).join(placed.select("node", "label"), "node").groupBy("label").agg(F.min("key").alias("key"))
+    stays = least.select(F.col("key.doc_id").alias("__tb_id"), F.col("key.text_hash").alias("__tb_hash"))
+    met = F.col("doc_id").eqNullSafe(F.col("__tb_id")) & (F.col("text_hash") == F.col("__tb_hash"))
+    keys = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).join(stays.withColumn("stays", F.lit(True)), met, "left")
+    keys = cut(keys.filter(F.col("stays").isNull() | (F.col("n") > 1)).select(F.col("doc_id").alias("__tb_id"), F.col("text_hash").alias("__tb_hash"), F.col("stays").isNotNull().alias("stays")))
+
+    def lookup(side: DataFrame, few: int) -> DataFrame:
+        side = side.drop("stays")
+        return F.broadcast(side) if few <= BROADCAST_ROWS and 24 * few <= BROADCAST_BYTES else side
+
+    gone, repeated = keys.filter(~F.col("stays")), keys.filter("stays")
+    n_gone, n_repeated = gone.count(), repeated.count()
+    met = F.col("doc_id").eqNullSafe(F.col("__tb_id")) & (F.xxhash64("text") == F.col("__tb_hash"))
+    kept = docs.join(lookup(gone, n_gone), met, "left_anti")
+    if not n_repeated:
+        return kept
+    repeated = lookup(repeated, n_repeated)
+    one = kept.join(repeated, met, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, met, "left_anti").unionByName(one)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

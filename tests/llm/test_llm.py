@@ -263,6 +263,22 @@ def test_jaccard_empty_and_stage(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6]
 
 
+def test_one_of_each_null_and_repeated_ids(spark):
+    a, b, c, d = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(documents(spark, rows)).collect()), key=repr)
+    # A copy without id of a named document doesn't take other rows without id along.
+    assert kept([(1, a), (None, a), (None, b), (None, c), (None, "")]) == sorted([(1, a), (None, b), (None, c), (None, "")], key=repr)
+    # Copies that all have no id leave one; equal rows and rows of equal sets leave one.
+    assert kept([(None, a), (None, a), (None, a.upper()), (None, b)]) in [sorted([(None, x), (None, b)], key=repr) for x in (a, a.upper())]
+    # Texts that share an id leave apart; a repeated row stays once.
+    assert kept([(1, c), (2, c), (2, d), (3, b), (3, b)]) == [(1, c), (2, d), (3, b)]
+    # Near copies without ids, which aren't equal, among others without ids.
+    base = [f"w{i}" for i in range(60)]
+    near = [(None, " ".join([*base[:-1], f"x{i}"])) for i in range(20)]
+    got = kept([*near, (None, a), (None, b), (7, c)])
+    assert len(got) == 4 and {(None, a), (None, b), (7, c)} < set(got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     assert {(r.node, r.label) for r in components(edges).collect()} == {(i, 1) for i in range(1, 71)} | {(100, 100), (101, 100)}
