@@ -9,6 +9,10 @@ from pyspark.sql import window as W
 from tabulon.operators.lexical import SMALL_DIM, top
 
 
+#: Rows in a block and queries in a block of a search.
+BLOCK_ROWS, BLOCK_QUERIES = 1_024, 2_048
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -38,8 +42,22 @@ def scored_pairs(rows: DataFrame, concepts: DataFrame, score: Column) -> DataFra
 
 
 def nearest(rows: DataFrame, queries: DataFrame, score: Column, query: str, id_: str, k: int, threshold: float | None = None) -> DataFrame:
-    """The k best rows of each query by score, then id; the threshold applies after the cut to k."""
-    best = top(scored_pairs(rows, queries, score), query, k, F.col("score").desc(), id_)
+    """query, id, score and rank of the k best rows of each query by score, then id; the threshold applies after the cut to k.
+
+    Any number of queries: rows and queries are dealt into blocks of about BLOCK_ROWS and BLOCK_QUERIES, each pair of blocks
+    keeps the k best of each of its queries, and a window over these merges the blocks.
+    """
+    row_blocks, query_blocks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    hashed = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    left = rows.withColumn("_rows", F.pmod(F.xxhash64(*hashed), F.lit(row_blocks)).cast("int")).withColumn("_queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = queries.withColumn("_queries", F.pmod(F.xxhash64(query), F.lit(query_blocks)).cast("int")).withColumn("_rows", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    # Blocks are few bytes and much work: with a number of partitions given, they aren't coalesced.
+    left = left.repartition(min(2 * row_blocks * query_blocks, 4_096), "_rows", "_queries")
+    pairs = left.join(right.hint("shuffle_hash"), ["_rows", "_queries"]).select("_rows", "_queries", query, id_, score.alias("score"))
+    order = (F.col("score").desc(), F.col(id_))
+    # The join has dealt by block, so this cut needs no exchange.
+    own = pairs.withColumn("_place", F.row_number().over(W.Window.partitionBy("_rows", "_queries", query).orderBy(*order))).filter(F.col("_place") <= k)
+    best = top(own.select(query, id_, "score"), query, k, *order)
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 

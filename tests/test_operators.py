@@ -39,6 +39,15 @@ def test_links(spark):
     assert sorted(values(vector.links(rows, "v", "c").withColumn("weight", F.round("weight", 6)), "c", "weight")) == [(1, 0.5), (2, 0.3), (3, 0.2)]
 
 
+def test_nearest_of_many_queries(spark):
+    n = vector.SMALL_DIM + 300
+    rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v")).filter("vec_id < 3 or vec_id >= 2500")
+    queries = spark.range(n).select(F.col("id").alias("query_id"), F.array((F.col("id") % 2).cast("double")).alias("q"))
+    got = vector.nearest(rows, queries, 1 - vector.squared_l2(F.col("v"), F.col("q")), "query_id", "vec_id", 2, 0.5)
+    # A query at 0 has row 0 (its second, row 1, is below the threshold), one at 1 has row 1.
+    assert sorted(values(got, "query_id", "vec_id", "score", "rank")) == [(i, i % 2, 1.0, 1) for i in range(n)]
+
+
 def test_checked_weights(spark):
     rows = literals(spark, "id int, d string, w double", [(1, "x", 0.5), (2, "a", 0.01), (2, "b", 0.02), (3, "a", 0.4), (3, "b", 0.4), (3, "x", 0.9)])
     got = sorted(values(vector.checked_weights(rows, "id", "d", "w", ["a", "b"]), "id", "d", "w"))
