@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from tabulon.functions.text import tokens
 
-#: A query dimension of at most so many rows is broadcast.
+#: A query dimension of at most so many rows is broadcast; a larger one is dealt into blocks of about so many.
 SMALL_DIM = 10_000
 # BM25's usual constants and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -65,19 +65,34 @@ def bm25(queries: DataFrame, index: DataFrame, id_: str, k: int = 1) -> DataFram
     return top(scored.join(needed, "query_id").filter("met = needed").drop("met", "needed"), "query_id", k, F.col("score").desc(), F.col(id_))
 
 
+def crossed(rows: DataFrame, dim: DataFrame, hit: Column) -> DataFrame:
+    """rows joined with every row of dim for which hit holds.
+
+    A dim of at most SMALL_DIM rows is broadcast. A larger one is dealt into blocks of about so many rows, which meet all
+    rows by a shuffle, so its size has no bound.
+    """
+    n = dim.count()
+    if n <= SMALL_DIM:
+        return rows.join(F.broadcast(dim), hit)
+    blocks = -(-n // SMALL_DIM)
+    row_blocks = max(1, -(-rows.count() // SMALL_DIM))
+    deal = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+    repeat = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.withColumn("_of_rows", deal(rows, row_blocks)).withColumn("_of_dim", repeat(blocks)).repartition(min(2 * blocks * row_blocks, 4_096), "_of_rows", "_of_dim")
+    right = dim.withColumn("_of_dim", deal(dim, blocks)).withColumn("_of_rows", repeat(row_blocks))
+    return left.join(right.hint("shuffle_hash"), ["_of_rows", "_of_dim"]).filter(hit).drop("_of_rows", "_of_dim")
+
+
 def first_contained(queries: DataFrame, dim: DataFrame, text: str, key: str, both_ways: bool = True, whole_words: bool = False) -> DataFrame:
     """query_id with the code of the first dim row (by ordinal) whose key is a substring of the text, or the reverse.
 
-    dim is a lookup of bounded size (checked), so this is a broadcast nested-loop join. whole_words asks for matches at
-    word boundaries.
+    dim may have any size: see crossed. whole_words asks for matches at word boundaries.
     """
-    if dim.limit(SMALL_DIM + 1).count() > SMALL_DIM:
-        raise ValueError(f"the dimension has more than {SMALL_DIM} rows")
     t, k = F.col(text), F.col(key)
     if whole_words:
         t, k = F.concat(F.lit(" "), t, F.lit(" ")), F.concat(F.lit(" "), k, F.lit(" "))
     hit = t.contains(k) | (k.contains(t) if both_ways else F.lit(False))
-    met = queries.join(F.broadcast(dim), hit).groupBy("query_id").agg(F.min_by("code", "ordinal").alias("code"), F.min_by(key, "ordinal").alias("via"))
+    met = crossed(queries.select("query_id", text), dim.select(key, "code", "ordinal"), hit).groupBy("query_id").agg(F.min_by("code", "ordinal").alias("code"), F.min_by(key, "ordinal").alias("via"))
     return met
 
 
@@ -107,17 +122,27 @@ def candidate_scores(concepts: DataFrame, variables: DataFrame, k: int = 15) ->
     """concept_id, variable_id, score, rank: variables by keyword hits in label (3), concept (2) and id (4, 25 for long ids).
 
     concepts (concept_id, keyword) rows, repeats count; variables (variable_id, label, concept). Base tables gain 10, their
-    first two variables 20 more, those of the poverty table 30 more. Only queries of bounded size are crossed: the
-    keywords are grouped per concept and broadcast.
+    first two variables 20 more, those of the poverty table 30 more. Keywords are grouped per concept; more than SMALL_DIM
+    of them are dealt into groups of about so many, whose hits are summed.
     """
     words = concepts.filter(F.length("keyword") > 2)
-    if words.limit(SMALL_DIM + 1).count() > SMALL_DIM:
-        raise ValueError(f"more than {SMALL_DIM} keywords")
-    grouped = words.groupBy("concept_id").agg(F.collect_list("keyword").alias("words"))
+    blocks = max(1, -(-words.count() // SMALL_DIM))
+    # A repeated keyword counts again, so repeats are dealt apart.
+    again = F.row_number().over(W.Window.partitionBy("concept_id", "keyword").orderBy(F.lit(0)))
+    words = words.withColumn("_block", F.pmod(F.xxhash64("concept_id", "keyword", again), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0))
+    grouped = words.groupBy("concept_id", "_block").agg(F.collect_list("keyword").alias("words"))
     v = variables.select("variable_id", F.lower(F.coalesce("label", F.lit(""))).alias("l"), F.lower(F.coalesce("concept", F.lit(""))).alias("c"))
     n = lambda b: b.cast("int")
     hit = lambda w: n(F.col("l").contains(F.lower(w))) * 3 + n(F.col("c").contains(F.lower(w))) * 2 + n(F.lower("variable_id").contains(F.lower(w))) * 4 + n(F.col("variable_id").contains(F.upper(w)) & (F.length(w) >= 5)) * 25
-    scored = v.crossJoin(F.broadcast(grouped)).withColumn("s", F.aggregate("words", F.lit(0), lambda a, w: a + hit(w))).filter("s > 0")
+    summed = F.aggregate("words", F.lit(0), lambda a, w: a + hit(w))
+    if blocks == 1:
+        scored = v.crossJoin(F.broadcast(grouped)).withColumn("s", summed).filter("s > 0")
+    else:
+        # Equal variables are one row with their number, so that each is ranked again at the end.
+        v = v.groupBy("variable_id", "l", "c").agg(F.count("*").alias("_copies")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        parts = v.join(grouped.hint("shuffle_hash"), "_block").withColumn("s", summed).filter("s > 0")
+        scored = parts.groupBy("concept_id", "variable_id", "l", "c", "_copies").agg(F.sum("s").cast("int").alias("s"))
+        scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     parts = F.split("variable_id", "_")
     first = F.replace(parts[1], F.lit("E"), F.lit("")).isin("001", "002")
     base = (F.size(parts) == 2) & parts[0].rlike("[0-9]$")

@@ -73,6 +73,20 @@ def test_fuzzy_word_boundaries(spark):
     assert values(lexical.first_contained(query, core, "q", "key", whole_words=True), "code") == [("B23025_005",)]
 
 
+def test_large_dimensions_are_exact(spark, monkeypatch):
+    dim = literals(spark, "key string, code string", [("zz", "A"), ("men", "B"), ("women", "C"), ("me", "D"), ("two words", "E")])
+    queries = literals(spark, "q string", [("women at work",), ("me",), ("nothing",), ("words",), ("zz men",)]).withColumnRenamed("ordinal", "query_id")
+    words = literals(spark, "concept_id string, keyword string", [("x", w) for w in ("total", "total", "income", "poverty", "sex")] + [("y", "income"), ("y", "in")])
+    v = literals(spark, "variable_id string, label string, concept string", [("B1_001", "Total", "SEX"), ("B1_001", "Total", "SEX"), ("B1_009", "Income", "POVERTY"), ("B1A_1", "none", None)])
+    first = lambda: sorted(values(lexical.first_contained(queries, dim, "q", "key"), "query_id", "code", "via"))
+    scores = lambda: sorted(values(lexical.candidate_scores(words, v), "concept_id", "variable_id", "score", "rank"))
+    want, want_scores = first(), scores()
+    assert want == [(0, "B", "men"), (1, "B", "men"), (3, "E", "two words"), (4, "A", "zz")]
+    assert want_scores == [("x", "B1_001", 38, 1), ("x", "B1_001", 38, 2), ("x", "B1_009", 15, 3), ("y", "B1_009", 13, 1)]
+    monkeypatch.setattr(lexical, "SMALL_DIM", 2)
+    assert first() == want and scores() == want_scores
+
+
 def test_locations_keep_other_columns(spark):
     rows = literals(spark, "location string, note string", [("Baltimore County, MD", "a"), ("nowhere, ZZ", "b")])
     got = values(geo.parse_location(rows), "geography", "state", "county", "note")
