@@ -60,6 +60,22 @@ def useful_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(C.is_useful(F.col("variable_id"), F.col("label"), F.col("concept"))).select("variable_id", "label")
 
 
+def _all_rows(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["variable_id", "label", "concept"]
+    return variables(spark, d).select(columns).unionByName(_labelled(spark).select(columns))
+
+
+def catalog_relevance_score_all(spark: SparkSession, d: str) -> DataFrame:
+    """catalog_relevance_score over every part beside the literal texts."""
+    return C.enriched(_all_rows(spark, d)).select("variable_id", "relevance", F.array_join("aliases", "|").alias("aliases"), F.size("semantic_keywords").alias("n_keywords"))
+
+
+def useful_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    """useful_filter over every part beside the literal texts."""
+    rows = _all_rows(spark, d).filter(C.is_variable(F.col("variable_id"), F.col("label")))
+    return rows.filter(C.is_useful(F.col("variable_id"), F.col("label"), F.col("concept"))).select("variable_id", "label")
+
+
 def top_concepts(spark: SparkSession, d: str) -> DataFrame:
     n = variables(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
     return n.orderBy(F.col("n").desc(), "first").limit(10).select("label", "n")
@@ -117,7 +133,7 @@ def fuzzy_contains_first(spark: SparkSession, d: str) -> DataFrame:
     return lexical.first_contained(queries, dim, "q", "key").select("query_id", "code", "via")
 
 
-QUERIES = {f.__name__: f for f in (catalog_measure_type, catalog_keywords, catalog_relevance_score, useful_filter, top_concepts, build_metadata, table_routing, canonical_keys, candidate_scorer, catalog_diff, resolver_cascade, fuzzy_contains_first)}
+QUERIES = {f.__name__: f for f in (catalog_measure_type, catalog_keywords, catalog_relevance_score, useful_filter, catalog_relevance_score_all, useful_filter_all, top_concepts, build_metadata, table_routing, canonical_keys, candidate_scorer, catalog_diff, resolver_cascade, fuzzy_contains_first)}
 _BOTH = f"WITH {_V}, {_L}, b AS (SELECT label, concept FROM v UNION SELECT label, concept FROM w)"
 _HAS = lambda w: f"list_contains(k, '{w}')"
 _ALIAS = " || ".join(f"(CASE WHEN {_HAS(k)} THEN [{', '.join(repr(x) for x in v)}] ELSE [] END)" for k, v in C.ALIASES.items())
@@ -137,3 +153,5 @@ SELECT variable_id, (len(list_intersect(k, ['median', 'total', 'population', 'in
     "resolver_cascade": "SELECT * FROM (VALUES (0, 'B19013_001', 'core'), (1, 'B17001_002', 'fuzzy'), (2, 'B01003_001', 'code'), (3, 'B23025_005', 'fuzzy'), (4, 'homeownership rate', 'passthrough'), (5, 'crime rate', 'passthrough'), (6, 'B25077_001', 'index'), (7, 'B19013_001', 'keyword')) t(query_id, code, stage)",
     "fuzzy_contains_first": "WITH dim AS (SELECT lower(split_part(p_name, ' ', 1)) AS key, min(p_partkey) AS ordinal FROM part GROUP BY 1), hits AS (SELECT p_partkey AS query_id, key, row_number() OVER (PARTITION BY p_partkey ORDER BY ordinal) AS n FROM part JOIN dim ON contains(lower(p_name), key) OR contains(key, lower(p_name))) SELECT query_id, upper(key) AS code, key AS via FROM hits WHERE n = 1",
 }
+_ALL = f"WITH {_V}, {_L}, r AS (SELECT variable_id, label, concept, lower(label) AS low FROM v UNION ALL SELECT variable_id, label, concept, low FROM w)"
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace("FROM w)", "FROM r)").replace(f"WITH {_L}", _ALL) for name in ("catalog_relevance_score", "useful_filter")}

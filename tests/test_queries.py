@@ -20,3 +20,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 25
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_catalog_queries_cover_the_table(spark, duck):
+    n = duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
+    assert QUERIES["catalog_relevance_score_all"](spark, DATA).count() == n + 14
+    assert QUERIES["useful_filter_all"](spark, DATA).count() >= QUERIES["useful_filter"](spark, DATA).count() > 0
