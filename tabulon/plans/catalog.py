@@ -110,6 +110,15 @@ def candidate_scorer(spark: SparkSession, d: str) -> DataFrame:
     return lexical.candidate_scores(literals(spark, "concept_id string, keyword string", [("PovertyRate", w) for w in words]), v)
 
 
+#: Keywords of a concept that the types of parts have.
+STEEL = ["B00017", "polished steel", "polished", "steel", "standard", "steel", "no"]
+
+
+def candidate_scorer_all(spark: SparkSession, d: str) -> DataFrame:
+    """candidate_scorer over every part, for a concept of its vocabulary; the cut to 15 is reached."""
+    return lexical.candidate_scores(literals(spark, "concept_id string, keyword string", [("Steel", w) for w in STEEL]), variables(spark, d))
+
+
 def catalog_diff(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     old = p.filter(F.col("p_partkey") % 10 != 1).select("p_partkey", F.col("p_type").alias("label"))
@@ -133,7 +142,7 @@ def fuzzy_contains_first(spark: SparkSession, d: str) -> DataFrame:
     return lexical.first_contained(queries, dim, "q", "key").select("query_id", "code", "via")
 
 
-QUERIES = {f.__name__: f for f in (catalog_measure_type, catalog_keywords, catalog_relevance_score, useful_filter, catalog_relevance_score_all, useful_filter_all, top_concepts, build_metadata, table_routing, canonical_keys, candidate_scorer, catalog_diff, resolver_cascade, fuzzy_contains_first)}
+QUERIES = {f.__name__: f for f in (catalog_measure_type, catalog_keywords, catalog_relevance_score, useful_filter, catalog_relevance_score_all, useful_filter_all, top_concepts, build_metadata, table_routing, canonical_keys, candidate_scorer, candidate_scorer_all, catalog_diff, resolver_cascade, fuzzy_contains_first)}
 _BOTH = f"WITH {_V}, {_L}, b AS (SELECT label, concept FROM v UNION SELECT label, concept FROM w)"
 _HAS = lambda w: f"list_contains(k, '{w}')"
 _ALIAS = " || ".join(f"(CASE WHEN {_HAS(k)} THEN [{', '.join(repr(x) for x in v)}] ELSE [] END)" for k, v in C.ALIASES.items())
@@ -155,3 +164,7 @@ SELECT variable_id, (len(list_intersect(k, ['median', 'total', 'population', 'in
 }
 _ALL = f"WITH {_V}, {_L}, r AS (SELECT variable_id, label, concept, lower(label) AS low FROM v UNION ALL SELECT variable_id, label, concept, low FROM w)"
 ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace("FROM w)", "FROM r)").replace(f"WITH {_L}", _ALL) for name in ("catalog_relevance_score", "useful_filter")}
+_HITS = " + ".join(f"3 * contains(lower(label), lower('{w}'))::INT + 2 * contains(lower(concept), lower('{w}'))::INT + 4 * contains(lower(variable_id), lower('{w}'))::INT" + (f" + 25 * contains(variable_id, upper('{w}'))::INT" if len(w) >= 5 else "") for w in STEEL if len(w) > 2)
+ORACLE_SQL["candidate_scorer_all"] = f"""WITH {_V}, h AS (SELECT variable_id, split_part(variable_id, '_', 1) AS t, split_part(variable_id, '_', 2) IN ('001', '002') AS f, {_HITS} AS s FROM v),
+x AS (SELECT variable_id, s + 10 + CASE WHEN f THEN 20 ELSE 0 END + CASE WHEN f AND t = 'B17001' THEN 30 ELSE 0 END AS score FROM h WHERE s > 0)
+SELECT 'Steel' AS concept_id, * FROM (SELECT variable_id, score, row_number() OVER (ORDER BY score DESC, variable_id) AS rank FROM x) WHERE rank <= 15"""
