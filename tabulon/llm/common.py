@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: A lookup side of at most so many rows and bytes may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
-#: Without a cluster setting (tests), cut tables go here.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A key is hot if it holds more than one in HOT_KEYS of the rows (so there are fewer than HOT_KEYS), and HOT_ROWS at least.
+HOT_KEYS, HOT_ROWS = 10_000, 128
+#: Shuffle files are of no use once a cut table is written; Spark then frees them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,24 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster for cut lineage, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder of the cluster for cut lineage, as the session names it in spark.checkpoint.dir.
+
+    Only in local mode, where driver and executors are one process, is a temporary folder used if it names none.
+    """
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: executors may be lost after this without recomputing df.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, if not before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = path or f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+class Scratch:
+    """Named cut tables of one job, which are freed once nothing is read from them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
+
+    def cut(self, name: str, df: DataFrame) -> DataFrame:
+        return cut(df, f"{self.root}/{name}")
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            files, where = _files(self.spark, f"{self.root}/{name}")
+            files.delete(where, True)
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small DataFrame of driver-side numbers, as SQL literals (no Python worker reads it)."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -49,19 +82,48 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 32) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Left join of big with a lookup table (unique on key, nulls match nulls), safe against hot keys.
 
-    The lookup side is measured: within BROADCAST_ROWS and BROADCAST_BYTES it is broadcast; beyond, each of its rows
-    is repeated once per salt and big is dealt over key and salt, so that no key lands whole in one task.
+    The lookup side is measured: within BROADCAST_ROWS and BROADCAST_BYTES it is broadcast; beyond, hot keys are dealt
+    over as many parts as their share asks for, so that no key lands whole in one task.
     """
     size = small.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length(F.col(key).cast("string")), F.lit(0)) + 8 * len(small.columns)).alias("b")).first()
-    own = small.withColumnRenamed(key, "__tb_key")
     if size.n <= BROADCAST_ROWS and (size.b or 0) <= BROADCAST_BYTES:
+        own = small.withColumnRenamed(key, "__tb_key")
         return big.join(F.broadcast(own), big[key].eqNullSafe(own["__tb_key"]), "left").drop("__tb_key")
-    own = own.withColumn("__tb_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = big.withColumn("__tb_deal", F.pmod(F.xxhash64(*[c for c, k in big.dtypes if not k.startswith(("map", "variant"))]), F.lit(salts)).cast("int"))
-    return left.join(own, left[key].eqNullSafe(own["__tb_key"]) & (left["__tb_deal"] == own["__tb_salt"]), "left").drop("__tb_key", "__tb_salt", "__tb_deal")
+    plain = {"__tb_null": F.col(key).isNull(), "__tb_value": F.coalesce(F.col(key).cast("string"), F.lit(""))}
+    return skew_join(big.withColumns(plain), small.withColumns(plain).drop(key), ["__tb_null", "__tb_value"], how="left").drop(*plain)
+
+
+def hot_keys(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """(keys, __tb_parts) of the hot keys of rows: fewer than HOT_KEYS rows, so they may be broadcast at any size of rows.
+
+    counts: (keys, n) of all keys with several rows, if they are known.
+    """
+    total = rows.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    return counts.filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__tb_parts"))
+
+
+def dealing(df: DataFrame) -> Column:
+    """A hash of a whole row, to deal rows by."""
+    plain = lambda k: not any(x in k.typeName() for x in ("map", "variant")) and "map<" not in k.simpleString()
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if plain(f.dataType)])
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: str | list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join of big with small on equal keys, where one key may hold any share of big's rows.
+
+    Rows of a hot key are dealt over parts in proportion to its share, and small's rows of that key are repeated once
+    per part. big is read three times, so it should be a table. counts as in hot_keys.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = F.broadcast(hot_keys(big, keys, counts))
+    left = big.join(hot, keys, "left").withColumn("__tb_part", F.coalesce(F.pmod(dealing(big), F.col("__tb_parts")), F.lit(0)).cast("int"))
+    right = small.join(hot, keys, "left").withColumn("__tb_part", F.explode(F.sequence(F.lit(0), F.coalesce("__tb_parts", F.lit(1)) - 1)))
+    return left.drop("__tb_parts").join(right.drop("__tb_parts"), [*keys, "__tb_part"], how).drop("__tb_part")
 
 
 def unsigned_crc32(text: Column) -> Column:

@@ -18,11 +18,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tabulon.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, cut, lowered, mixed, span_hashes, table, utf8_parts, word_spans
+from tabulon.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, Scratch, cut, lowered, mixed, skew_join, span_hashes, table, utf8_parts, word_spans
 from tabulon.llm.components import components
 
 #: Weight of an accidental meeting against an index entry in the cost model.
@@ -136,57 +136,75 @@ def set_mark(own: np.ndarray) -> int:
     return int(mixed(np.array([mixed(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
 
 
-def _each_set(batches: Iterator, words: int) -> Iterator:
-    for batch in batches:
-        sets = [s for _, _, data, offsets in utf8_parts(batch.column("__tb_text"), 2 << 20) for s in shingle_sets(data, offsets, words)]
-        yield batch, sets
+CODED = "text_hash long, n_shingles long, node long, groups array<struct<band:short,exact:int,entries:array<long>>>"
 
 
-def set_table(docs: DataFrame, words: int, id_: str = "doc_id") -> DataFrame:
-    """(id, text_hash, n_shingles, node) per row."""
+def coded_table(docs: DataFrame, words: int, percent: int, steps: int, id_: str = "doc_id") -> DataFrame:
+    """Per row: id, text_hash, n_shingles, node (its set's mark) and the set's index entries, by band, the exact ones first.
+
+    Of equal sets that come close together one row has entries.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch, sets in _each_set(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column(id_), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_mark(s) for s in sets], pa.int64())], [id_, "text_hash", "n_shingles", "node"])
+        for batch in batches:
+            for at, to, data, offsets in utf8_parts(batch.column("__tb_text"), 1 << 20):
+                sizes, marks, ends, seen = [], [], [0], set()
+                band, exact, entries = [], [], []
+                for own in shingle_sets(data, offsets, words):
+                    sizes.append(len(own))
+                    marks.append(set_mark(own))
+                    if len(own) and marks[-1] not in seen:
+                        seen.add(marks[-1])
+                        for b, found, n in index_entries(own, percent, steps):
+                            band.append(b)
+                            exact.append(n)
+                            entries.append(found)
+                    ends.append(len(band))
+                flat = np.concatenate(entries).view(np.int64) if entries else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, entries)]), pa.int32()), pa.array(flat))
+                inner = pa.StructArray.from_arrays([pa.array(band, pa.int16()), pa.array(exact, pa.int32()), lists], ["band", "exact", "entries"])
+                groups = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([batch.column(id_)[at:to], batch.column("text_hash")[at:to], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), groups], [id_, "text_hash", "n_shingles", "node", "groups"])
 
-    return docs.select(id_, F.xxhash64("text").alias("text_hash"), F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, text_hash long, n_shingles long, node long")
+    return docs.select(id_, F.xxhash64("text").alias("text_hash"), F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, {CODED}")
 
 
-def entry_table(docs: DataFrame, words: int, percent: int, steps: int) -> DataFrame:
-    """(entry, node, band, exact) of every set that can be linked to another one."""
+def entry_rows(coded: DataFrame) -> DataFrame:
+    """(entry, node, kind): kind is twice the band, plus 1 for exact segments."""
+    groups = coded.select("node", F.explode("groups").alias("g"))
+    rows = groups.select("node", F.col("g.band").alias("band"), F.col("g.exact").alias("exact"), F.posexplode("g.entries").alias("at", "entry"))
+    return rows.select("entry", "node", (2 * F.col("band") + (F.col("at") < F.col("exact")).cast("int")).cast("short").alias("kind"))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            for _, _, data, offsets in utf8_parts(batch.column("__tb_text"), 1 << 20):
-                entries, nodes, kinds, seen = [], [], [], set()
-                for own in shingle_sets(data, offsets, words):
-                    if len(own) and (mark := set_mark(own)) not in seen:
-                        seen.add(mark)
-                        for band, found, exact in index_entries(own, percent, steps):
-                            entries.append(found)
-                            nodes.append((mark, len(found)))
-                            kind = np.full(len(found), 2 * band, np.int16)
-                            kind[:exact] += 1
-                            kinds.append(kind)
-                if entries:
-                    repeated = np.repeat(np.array([x for x, _ in nodes], np.int64), [k for _, k in nodes])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries).view(np.int64)), pa.array(repeated), pa.array(np.concatenate(kinds))], ["entry", "node", "kind"])
+def hot_entries(rows: DataFrame) -> DataFrame:
+    """(entry, parts, low, high, n) of the entries that hold more than one in HOT_KEYS of all rows: at most HOT_KEYS rows."""
+    total = rows.count()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    # Frequent items have no false negatives; their rows are then counted.
+    likely = rows.stat.freqItems(["entry"], 1 / HOT_KEYS).select(F.explode("entry_freqItems").alias("entry"))
+    counted = rows.join(F.broadcast(likely), "entry").groupBy("entry").agg(F.min("node").alias("low_"), F.max("node").alias("high_"), F.count("*").alias("n_"))
+    return counted.filter(F.col("n_") > limit).withColumn("parts", F.ceil(F.col("n_") / limit).cast("int"))
 
-    return docs.select(F.col("text").alias("__tb_text")).mapInArrow(run, "entry long, node long, kind short")
 
+def shared_entries(rows: DataFrame, work: Scratch) -> DataFrame:
+    """(entry, node, kind, n) of the entries that two sets have; n counts the rows of the entry."""
+    hot = F.broadcast(work.cut("hot", hot_entries(rows)))
+    dealt = rows.join(hot, "entry", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)))
+    own = W.Window.partitionBy("entry", "part")
+    met = dealt.withColumns({"low": F.coalesce("low_", F.min("node").over(own)), "high": F.coalesce("high_", F.max("node").over(own)), "n": F.coalesce("n_", F.count("*").over(own))})
+    return met.filter(F.col("low") != F.col("high")).select("entry", "node", "kind", "n").distinct()
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, items) of the documents wanted (doc_id, text_hash, node): these are broadcast if few, else joined by shuffle.
 
-    The hash of the text keeps rows apart that share an id or have none.
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
+    """(node, star, items) of the documents wanted (doc_id, text_hash, node, star): these are broadcast if few, else joined by shuffle.
+
+    The hash of the text keeps rows apart that share an id or have none. repeats: whether several rows of docs can be one.
     """
     few = wanted.count()
-    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
-    near = docs.select("doc_id", F.col("text").alias("__tb_text")).join(F.broadcast(ids) if few <= BROADCAST_ROWS and 24 * few <= BROADCAST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("__tb_text") == F.col("_hash")))
+    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", "star")
+    near = docs.select("doc_id", F.col("text").alias("__tb_text")).join(F.broadcast(ids) if few <= BROADCAST_ROWS and 32 * few <= BROADCAST_BYTES else ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("__tb_text") == F.col("_hash")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -196,31 +214,49 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = list(shingle_sets(data, offsets, words))
                 same = [i for i, (s, k) in enumerate(zip(sets, batch.column("node")[at:to].to_pylist(), strict=True)) if set_mark(s) == k]
                 items = pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("node")[at:to].take(pa.array(same, pa.int64())), items], ["node", "items"])
+                own = pa.array(same, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("node")[at:to].take(own), batch.column("star")[at:to].take(own), items], ["node", "star", "items"])
 
-    return near.select("__tb_text", "node").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    sets = near.select("__tb_text", "node", "star").mapInArrow(run, "node long, star long, items array<long>")
+    return sets.dropDuplicates(["node"]) if repeats else sets
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, with their overlap."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+def _linked(percent: int) -> Column:
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("whole")).filter(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b")
+    return 100 * shared >= percent * (F.size("x") + F.size("y") - shared)
+
+
+def _of_stars(sets: DataFrame, pairs: DataFrame, star: str) -> DataFrame:
+    """(star, y) of the sets that are stars of pairs."""
+    return sets.select(F.col("node").alias(star), F.col("items").alias("y")).join(pairs.select(star).distinct(), star, "left_semi")
+
+
+def _first_links(sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of the sets with their stars. A star's rows are dealt over tasks by their number."""
+    pairs = sets.filter(F.col("star").isNotNull()).select("star", "node", F.col("items").alias("x"))
+    counts = pairs.groupBy("star").agg(F.count("*").alias("n"))
+    both = skew_join(pairs, _of_stars(sets, pairs, "star"), "star", counts=counts)
+    return both.filter(_linked(percent)).select(F.col("node").alias("a"), F.col("star").alias("b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked."""
+    own = pairs.select("a", "b")
+    left = skew_join(own, sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    both = skew_join(left, _of_stars(sets, own, "b"), "b", counts=own.groupBy("b").agg(F.count("*").alias("n")))
+    return both.filter(_linked(percent)).select("a", "b")
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(star, node, n_star, n, items, linked): what each set and its star don't share, and whether they are linked."""
-    left = sets.select("node", F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("star"), F.col("items").alias("y"))
-    both = pairs.join(left, "node").join(right, "star")
+    left = pairs.join(sets.select("node", F.col("items").alias("x")), "node")
+    both = skew_join(left, _of_stars(sets, pairs, "star"), "star", counts=pairs.groupBy("star").agg(F.count("*").alias("n")))
     own = both.select("star", "node", F.size("y").alias("n_star"), F.size("x").alias("n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("items"))
     shared = (F.col("n") + F.col("n_star") - F.size("items")) / 2
     return own.withColumn("linked", 100 * shared >= percent * (F.col("n") + F.col("n_star") - shared))
 
 
-def _apart(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _apart(near: DataFrame, labels: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """Pairs (a, b) of different components around one star that can still be linked.
 
     Sets x and y around a star differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, where D is a set's difference from the
@@ -228,77 +264,86 @@ def _apart(near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     x, isn't linked with the star: |Dx| > k (|x| + |star|). So Dx and Dy share more than
     (|Dy| + k (|star| - |y|)) / 2 items, and at least (|Dx| - k (|x| + |star|) + 1 - k) / 2, as |y| <= |star| + |Dy|: they
     meet within their rarest |D| - that + 1 items. Copies of one text with edits of their own share no rare items, so
-    they don't meet.
+    they don't meet. An item that is rarest for many unlinked sets of different components pairs all of them: this is
+    what is left to compare, and it has no bound but that.
     """
     k = (100 - percent) / (100 + percent)
-    own = near.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ends = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
-    own = own.join(ends, "star", "left").withColumn("star_label", F.coalesce("star_label", "star"))
-    sums = own.groupBy("star").agg(F.min(F.least("label", "star_label")).alias("low"), F.max(F.greatest("label", "star_label")).alias("high"))
-    own = own.join(sums.filter(F.col("low") != F.col("high")).select("star"), "star", "left_semi")
+    heads = near.select("star", "node").join(labels, "node", "left").select("star", "node", F.coalesce("label", "node").alias("label"))
+    heads = work.cut("heads", heads)
+    own_label = labels.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
+    sums = heads.groupBy("star").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).join(own_label, "star", "left")
+    star_label = F.coalesce("star_label", "star")
+    open_ = work.cut("open_stars", sums.filter(F.least("low", star_label) != F.greatest("high", star_label)).select("star", "n"))
+    own = skew_join(near, open_.select("star"), "star", counts=open_).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     size = F.size("items")
     as_other = F.floor((size + k * (F.col("n_star") - F.col("n"))) / 2 + 1e-9) + 1
     as_far = F.greatest(F.lit(1), F.ceil((size - k * (F.col("n") + F.col("n_star")) + 1 - k) / 2 - 1e-9))
-    # Large groups are dealt over their nodes, then over their items.
-    rows = own.repartition("star", "node").select("star", "node", "label", "n", "linked", size.alias("size"), (size + 1 - as_far).alias("far_prefix"), (size + 1 - as_other).alias("prefix"), F.explode("items").alias("item"))
-    met = rows.repartition("item", "star").withColumn("often", F.count("*").over(W.Window.partitionBy("item", "star")))
+    rows = work.cut("items", own.select("star", "node", "label", "n", "linked", size.alias("size"), (size + 1 - as_far).alias("far_prefix"), (size + 1 - as_other).alias("prefix"), F.explode("items").alias("item")))
+    often = work.cut("often", rows.groupBy("item", "star").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    met = skew_join(rows, often.withColumnRenamed("n", "often"), ["item", "star"], counts=often, how="left").fillna(1, ["often"])
     place = F.row_number().over(W.Window.partitionBy("star", "node").orderBy("often", "item"))
-    shared = met.withColumn("place", place).filter(F.col("often") > 1)
+    shared = work.cut("shared_items", met.withColumn("place", place).filter((F.col("often") > 1) & (F.col("place") <= F.greatest("prefix", "far_prefix"))))
+    work.free("heads", "open_stars", "items", "often")
     far = shared.filter(~F.col("linked") & (F.col("place") <= F.col("far_prefix"))).select("star", "item", "node", "label", "n", "size", "place")
     other = shared.filter(F.col("place") <= F.col("prefix")).select("star", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "size", "place")])
     fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
     # At their first common item, enough items must be left in both.
     enough = 2 * (1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))) >= F.col("size") + F.col("size_b") - F.floor(k * (F.col("n") + F.col("n_b")) + 1e-9)
-    same = (far.star == other.star) & (far.item == other.item)
-    pairs = far.join(other, same & (F.col("node") != F.col("node_b")) & (F.col("label") != F.col("label_b")) & fits & enough)
+    pairs = skew_join(far, other, ["star", "item"]).filter((F.col("node") != F.col("node_b")) & (F.col("label") != F.col("label_b")) & fits & enough)
     return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
 
 
 def _labelled(docs: DataFrame, words: int, percent: int, steps: int) -> tuple[DataFrame, DataFrame]:
     """The set of every row, and of every set with words: node, its smallest doc_id and its component's label."""
     docs = docs.select("doc_id", "text")
-    nodes = cut(set_table(docs, words))
-    entry = W.Window.partitionBy("entry")
-    met = entry_table(docs, words, percent, steps).withColumns({"low": F.min("node").over(entry), "high": F.max("node").over(entry), "n": F.count("*").over(entry)})
-    met = cut(met.filter(F.col("low") != F.col("high")).select("entry", "node", "kind", "n").distinct())
+    work = Scratch(docs.sparkSession)
+    coded = work.cut("coded", coded_table(docs, words, percent, steps))
+    nodes = work.cut("nodes", coded.select("doc_id", "text_hash", "n_shingles", "node"))
+    met = work.cut("met", shared_entries(entry_rows(coded), work))
+    work.free("coded", "hot")
     # Each set drops its commonest exact segments, as many as its band spares.
     largest = nodes.agg(F.max("n_shingles")).first()[0] or 1
     spare = F.element_at(F.array(*[F.lit(b[4]) for b in bands(percent, steps, 2 * largest + 64)]), F.floor(F.col("kind") / 2).cast("int") + 1)
     common = W.Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), "entry")
-    kept = met.withColumn("place", F.row_number().over(common)).filter((F.col("kind") % 2 == 0) | (F.col("place") > spare)).select("entry", "node")
-    kept = cut(kept)
+    kept = work.cut("kept", met.withColumn("place", F.row_number().over(common)).filter((F.col("kind") % 2 == 0) | (F.col("place") > spare)).select("entry", "node"))
+    work.free("met")
+    shared = work.cut("shared", kept.groupBy("entry").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most")).select("entry", "n"))
     # The star of an entry is its set with the most company over all entries: an original rather than one of its variants.
-    company = kept.withColumn("n", F.count("*").over(entry)).groupBy("node").agg(F.sum("n").alias("company"))
-    known = kept.join(company, "node")
-    most = F.max(F.struct("company", "node")).over(entry)
-    starred = known.withColumns({"star": most["node"], "star_company": most["company"], "least": F.min("node").over(entry), "most": F.max("node").over(entry)})
-    starred = cut(starred.filter(F.col("least") != F.col("most")).select("entry", "node", "star", "star_company"))
+    known = skew_join(kept, shared, "entry", counts=shared)
+    known = work.cut("known", known.select("entry", "node", F.sum("n").over(W.Window.partitionBy("node")).alias("company")))
+    work.free("kept")
+    star = known.groupBy("entry").agg(F.max(F.struct("company", "node")).alias("top")).select("entry", F.col("top.node").alias("star"), F.col("top.company").alias("star_company"))
+    starred = work.cut("starred", skew_join(known, star, "entry", counts=shared).select("entry", "node", "star", "star_company"))
+    work.free("known")
     ids = nodes.filter(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"))
-    ids = cut(ids)
-    texts = starred.select("node").distinct().join(ids, "node").select("doc_id", "text_hash", "node")
-    sets = cut(_sets_of(docs, cut(texts), words))
-    first = cut(starred.filter(F.col("node") != F.col("star")).groupBy(F.col("node").alias("a")).agg(F.max_by("star", F.struct("star_company", "star")).alias("b")))
-    links = cut(_verified(first, sets, percent))
-    labels = cut(components(links))
-
-    def open_entries(rows: DataFrame) -> DataFrame:
-        """Rows of the entries that hold sets of several components, with their component."""
-        own = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        return own.withColumns({"least": F.min("label").over(entry), "top": F.max("label").over(entry)}).filter(F.col("least") != F.col("top")).drop("least", "top")
-
-    rest = cut(open_entries(starred))
-    near = cut(_differences(rest.filter(F.col("node") != F.col("star")).select("star", "node").distinct(), sets, percent))
-    more = near.filter("linked").select(F.col("node").alias("a"), F.col("star").alias("b"))
-    links = cut(links.union(more))
-    labels = cut(components(links))
-    final = cut(_verified(cut(_apart(near, labels, percent)), sets, percent))
-    if final.limit(1).count():
-        links = cut(links.union(final))
-        labels = cut(components(links))
-    return nodes, ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-
-
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps: int = 1) -> DataFrame:
+    ids = work.cut("ids", ids)
+    first = starred.groupBy("node").agg(F.max(F.when(F.col("node") != F.col("star"), F.struct("star_company", "star"))).alias("top"))
+    texts = work.cut("texts", first.join(ids, "node").select("doc_id", "text_hash", "node", F.col("top.star").alias("star")))
+    repeats = nodes.filter(F.col("n_shingles") > 0).groupBy("doc_id", "text_hash").count().filter(F.col("count") > 1).limit(1).count() > 0
+    sets = work.cut("sets", _sets_of(docs, texts, words, repeats))
+    links = work.cut("links1", _first_links(sets, percent))
+    labels = components(links)
+    # What the entries that still hold several components have around their stars.
+    placed = work.cut("placed", starred.join(labels, "node", "left").select("entry", "node", "star", F.coalesce("label", "node").alias("label")))
+    several = placed.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("entry")
+    rest = work.cut("rest", skew_join(placed, several, "entry", counts=shared).filter(F.col("node") != F.col("star")).select("star", "node").distinct())
+    work.free("starred", "shared", "placed", "texts")
+    if rest.limit(1).count():
+        near = work.cut("near", _differences(rest, sets, percent))
+        links = work.cut("links2", links.union(near.filter("linked").select(F.col("node").alias("a"), F.col("star").alias("b"))))
+        labels = components(links)
+        pairs = work.cut("pairs", _apart(near, labels, percent, work))
+        work.free("near", "shared_items")
+        final = work.cut("final", _verified(pairs, sets, percent))
+        if final.limit(1).count():
+            labels = components(links.union(final))
+    work.free("sets", "rest", "pairs")
+    named = work.cut("named", ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+    work.free("links1", "links2", "final", "ids")
+    return nodes, named
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, its own included) of every row.
 
     Two texts link when 100 * shared >= percent * union of their distinct shingles of so many words (white space apart,
@@ -308,12 +353,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps
     """
     nodes, placed = _labelled(docs, words, percent, steps)
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = cut(placed.join(least, "label").select(F.col("node").alias("_node"), "component_id"))
-    # A node with very many copies would land whole in one task: rows are dealt by node and a salt.
-    salts = 16
-    rows = nodes.withColumn("__tb_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    named = named.withColumn("__tb_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("__tb_salt", "__tb_salt_b")
-    full = rows.join(named, (rows.node == named["_node"]) & (rows["__tb_salt"] == named["__tb_salt_b"]) & (rows.n_shingles > 0), "left")
+    named = cut(skew_join(placed, least, "label").select("node", "component_id"))
+    # A set may have very many copies.
+    full = skew_join(nodes, named, "node", how="left")
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -323,7 +365,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     It is the row of the smallest doc_id (nulls last), then of the smallest set mark and text hash, then the smallest by
     all columns. So ids may be null or repeat: texts that aren't near copies stay whatever their ids.
     """
-    nodes, placed = _labelled(docs, words, percent, 1)
+    nodes, placed = _labelled(docs, words, percent, 2)
     rows = nodes.filter(F.col("n_shingles") > 0)
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "text_hash")
     # Least of each set first: a set with very many copies is one row before it meets its label.
