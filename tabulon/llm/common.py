@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -136,6 +138,15 @@ def hash_share(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def kept_in_process(key: str, make):
+    """What make() gave when a task of this Python worker first asked for key. Functions travel by value, so each task has
+    its own copy of a module's globals; a module of the interpreter outlives the task."""
+    held = sys.modules.setdefault("_tabulon_kept", types.ModuleType("_tabulon_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 # ---- texts inside tasks, as bytes of Arrow columns ----
 
 
