@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import table
 
 ROUNDS = 8
-#: Dates are permuted among the days of 1900 to 2099: 73,049 = 319 x 229.
-FIRST_DAY, HIGH, LOW = "1900-01-01", 319, 229
+#: Dates are permuted among the 73,049 days of 1900 to 2099: in 319 x 229 places, of which the last two hold no day.
+FIRST_DAY, DAYS, HIGH, LOW = "1900-01-01", 73_049, 319, 229
+#: The session setting that holds the key, and the key of sessions without it, which is no secret.
+KEY_SETTING, OPEN_KEY = "spark.tabulon.pii.key", "tabulon"
 
 # One pattern per kind, tried in this order at each place.
 NOT_IN = r"(?<![0-9A-Za-z])"
@@ -151,25 +153,37 @@ def kind_of(m: Column) -> Column:
     return out
 
 
+def permuted(symbols: Column, radices: Column, kind: Column, label: Column) -> Column:
+    """The keyed permutation of a value's symbols. A date that meets a place without a day walks on to the next one: two steps at most."""
+    once = lambda row: feistel(row, radices, label)
+    walk = lambda row, _: F.when((kind == "date") & (row[0] * LOW + row[1] >= DAYS), once(row)).otherwise(row)
+    return F.aggregate(F.array(F.lit(1), F.lit(2)), once(symbols), walk)
+
+
 def pseudonyms(values: Column, key: str) -> Column:
-    """(old, kind, new) of an array of matched values; new is old where the value isn't valid. Each step reads the one before."""
+    """(old, kind, valid, new) of an array of matched values; new is old where the value isn't valid. Each step reads the one before."""
     kinds = F.transform(values, lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")))
     parsed = F.transform(kinds, lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), symbols_of(s["old"], s["kind"]).alias("p")))
-    moved = F.transform(parsed, lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), s["p"]["valid"].alias("valid"), F.when(s["p"]["valid"], feistel(s["p"]["symbols"], s["p"]["radices"], F.concat(F.lit(f"{key}|"), s["kind"]))).alias("new")))
-    return F.transform(moved, lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), F.when(s["valid"], shown(s["old"], s["kind"], s["new"])).otherwise(s["old"]).alias("new")))
+    tweak = lambda s: F.when(s["kind"] == "email", F.substring_index(s["old"], "@", -1)).otherwise(F.lit(""))
+    label = lambda s: F.concat(F.lit(f"{key}|"), s["kind"], F.lit("|"), tweak(s))
+    moved = F.transform(parsed, lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), s["p"]["valid"].alias("valid"), F.when(s["p"]["valid"], permuted(s["p"]["symbols"], s["p"]["radices"], s["kind"], label(s))).alias("new")))
+    return F.transform(moved, lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), s["valid"].alias("valid"), F.when(s["valid"], shown(s["old"], s["kind"], s["new"])).otherwise(s["old"]).alias("new")))
 
 
-def pseudonymise(docs: DataFrame, key: str = "tabulon", text: str = "text") -> DataFrame:
-    """docs with personal data in text replaced, and pii_<kind>: how many values of each kind were.
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
+    """docs with personal data in text replaced, and pii_<kind>: how many valid values of each kind it holds.
 
     Null texts stay null, without values. Values that fail validation stay. Equal values get equal pseudonyms under a
-    key, in every row. Columns named pii_<kind> are replaced. Texts without a match are not touched. Empty in, empty out.
+    key, in every row; a permutation can leave single values where they are. The key is the session's KEY_SETTING, if not
+    said. Mail domains stay, and key the rounds of their names: a name of one character moves by a constant of its domain.
+    Columns named pii_<kind> are replaced. Texts without a match are not touched. Empty in, empty out.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, OPEN_KEY)
     t = F.col(text)
     has = t.rlike("[0-9@]") & t.rlike(ANY)
     found = F.when(has, pseudonyms(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), key))
     marked = docs.withColumn("__tb_new", found)
-    count = lambda k: F.coalesce(F.size(F.filter("__tb_new", lambda x: (x["kind"] == k) & (x["old"] != x["new"]))), F.lit(0)).cast("long")
+    count = lambda k: F.coalesce(F.size(F.filter("__tb_new", lambda x: (x["kind"] == k) & x["valid"])), F.lit(0)).cast("long")
     pieces = F.zip_with(F.split(t, ANY), F.col("__tb_new"), lambda between, x: F.concat(between, F.coalesce(x["new"], F.lit(""))))
     counts = {f"pii_{k}": F.when(F.col("__tb_new").isNotNull(), count(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
     return marked.withColumns({text: F.when(F.col("__tb_new").isNotNull(), F.array_join(pieces, "")).otherwise(t)} | counts).drop("__tb_new")
