@@ -1,9 +1,11 @@
 """Exact top-k inner products from an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into blocks by a hash of their id. A block's index holds, per dimension and quantised level, the
-posting segment of the vectors at that level. A query adds segments by descending quantised impact (its own component
+Vectors are dealt into blocks by a hash. A block is indexed once and every query is brought to it. Its index holds, per
+dimension and quantised level, the posting segment of the vectors at that level. A query adds segments by descending quantised impact (its own component
 times the segment's best value) and keeps, per vector, an upper bound of the score. It stops only when the bound proves
-that few vectors can still be members; those are rescored exactly. Blocks answer apart; a window merges their answers.
+that few vectors can still be members; those are rescored exactly. Blocks answer apart; a window merges their answers. The few vectors whose components are so
+large that sums of products might leave 62 bits stand beside the index: doubles bound their scores, whole numbers of any
+size decide.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import window as W
 
 from tabulon.llm.common import table
 
-#: Vectors in a block, queries in a block, levels of a dimension.
-BLOCK_ROWS, BLOCK_QUERIES, LEVELS = 8_192, 1_024, 32
+#: Most vectors in a block; smaller tables have as many blocks as SPREAD, if each has FEW vectors. Levels of a dimension.
+BLOCK_ROWS, SPREAD, FEW, LEVELS = 65_536, 24, 2_048, 32
 #: Impacts, as shares of the query's largest, at which the proof is tried. At 0 no positive impact is left.
 STOPS = (0.35, 0.2, 0.1, 0.04, 0.0)
 #: Rounding of the bounds, which are sums of doubles, as a share of the largest impact in each dimension.
@@ -80,54 +82,117 @@ class Block:
         return self.ids[members][best], scores[best]
 
 
+class Wide:
+    """Vectors of any whole numbers, asked by bounds in doubles and exact whole numbers."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.doubles = ids, vectors, vectors.astype(float)
+
+    def top(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
+        others = np.flatnonzero(self.ids != own_id)
+        if not len(others):
+            return []
+        near, own = self.doubles[others], query.astype(float)
+        about, off = near @ own, (len(query) + 4) * 2.0**-51 * (np.abs(near) @ np.abs(own))
+        kth = np.sort(about - off)[-min(k, len(others))]
+        members = others[about + off >= kth]
+        scores = (self.vectors[members].astype(object) * query.astype(object)).sum(axis=1).tolist()
+        return sorted(zip(scores, self.ids[members].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+
+
+class Shelf:
+    """A block: the index over its ordinary vectors, and its wide ones."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.width = vectors.shape[1]
+        self.limit = int((2**62 / self.width) ** 0.5)
+        wide = (np.abs(vectors.astype(float)) >= self.limit).any(axis=1)
+        self.index = Block(ids[~wide], vectors[~wide]) if not wide.all() else None
+        self.wide = Wide(ids[wide], vectors[wide])
+        self.whole, self.all = None, (ids, vectors)
+
+    def top(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows but those of own_id; by score, then smaller id."""
+        query = np.pad(query, (0, max(0, self.width - len(query))))[: self.width]
+        if (np.abs(query.astype(float)) >= self.limit).any():
+            self.whole = self.whole or Wide(*self.all)
+            return self.whole.top(query, own_id, k)
+        best = []
+        if self.index is not None:
+            ids, scores = self.index.top(query, own_id, k)
+            best = list(zip(scores.tolist(), ids.tolist(), strict=True))
+        if len(self.wide.ids):
+            best = sorted(best + self.wide.top(query, own_id, k), key=lambda x: (-x[0], x[1]))[:k]
+        return best
+
+
 def whole_vectors(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     """(vec_id, v) with floor(256 x) of each component; without vectors that are null or hold null or non-finite components.
 
-    Of d components each must be below sqrt(2**63 / d) after scaling, else scores might not fit a long; vectors beyond
-    that take no part.
+    Nor do those take part of which a component isn't below 2**63 after scaling, as it is no long.
     """
-    most = F.sqrt(F.lit(2.0**63) / F.greatest(F.size(vector), F.lit(1))) - 1
     scaled = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * 256))
-    fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * 256 < most))
-    return vectors.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).filter(fine).select(F.col(id_).cast("long").alias("vec_id"), scaled.alias("v"))
+    fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * 256 < 2.0**63))
+    return vectors.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull()).filter(fine).select(F.col(id_).cast("long").alias("vec_id"), scaled.alias("v"))
+
+
+def _lists(column) -> list[np.ndarray]:
+    ends, flat = np.asarray(column.offsets), np.asarray(column.values)
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _square(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(1, *map(len, rows))), np.int64)
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products of whole-number vectors over all other rows.
 
     Rows with the query's id are its own. Ties go to the smaller id. Null ids take no part; missing trailing components
-    count as 0. Repeated rows are separate candidates; a repeated query id is asked once, by its smallest vector. Every
-    query block meets every row block; rows are copied once per block of 1,024 queries.
+    count as 0, so an empty vector scores 0. Repeated rows are separate candidates; a repeated query id is asked once, by
+    its smallest vector. Other columns are ignored. Empty in, empty out. Scores are exact; one among a query's k best that
+    is no long raises an error. Every query meets every block of BLOCK_ROWS rows; rows move once.
     """
     rows = whole_vectors(vectors, id_, vector)
     asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_rows, n_asked = rows.count(), asked.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asked // BLOCK_QUERIES))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    n_rows = rows.count()
+    blocks = max(1, -(-n_rows // BLOCK_ROWS), min(SPREAD, n_rows // FEW))
     # A hot id would fill one block; rows are dealt by id and vector.
-    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(row_blocks)).cast("int")).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("queries", deal(query_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-
-    def answer(_key, here, queries):
-        import pandas as pd
-
-        if len(here) and len(queries):
-            width = max(max(map(len, here["v"])), max(map(len, queries["v"])))
-            square = lambda vs: np.array([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in vs])
-            block = Block(here["vec_id"].to_numpy(), square(here["v"]))
-            for q, v in zip(queries["vec_id"], square(queries["v"]), strict=True):
-                ids, scores = block.top(v, q, k)
-                yield pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores})
-
-    def answers(key, here: Iterator, queries: Iterator):
-        import pandas as pd
-
-        parts = list(answer(key, here, queries))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    near = left.groupBy("queries", "block").cogroup(right.groupBy("queries", "block")).applyInPandas(answers, "query_id long, vec_id long, score long")
-    best = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
+
+    def answers(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, shelf, ids, held = None, None, [], []
+        for batch in batches:
+            block, asks = np.asarray(batch.column("block")), np.asarray(batch.column("asks"))
+            change = np.flatnonzero((np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(block)], strict=True):
+                if block[a] != at:
+                    at, shelf, ids, held = block[a], None, [], []
+                own = batch.slice(a, b - a)
+                if not asks[a]:
+                    ids.append(np.asarray(own.column("vec_id")))
+                    held.append(own.column("v"))
+                    continue
+                if shelf is None and ids:
+                    shelf = Shelf(np.concatenate(ids), _square([v for c in held for v in _lists(c)]))
+                    ids, held = [], []
+                out = [(q, i, s) for q, v in zip(own.column("vec_id").to_pylist(), _lists(own.column("v")), strict=True) for s, i in (shelf.top(v, q, k) if shelf else [])]
+                if any(s >= 2**63 for _, _, s in out):
+                    raise ValueError("the score of a query and one of its best vectors is no long")
+                scores = [s if s >= -(2**63) else None for _, _, s in out]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+
+    dealt = left.union(right).repartition(2 * blocks, "block").sortWithinPartitions("block", "asks")
+    near = dealt.mapInArrow(answers, "query_id long, vec_id long, score long")
+    best = W.Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id")
+    score = F.coalesce("score", F.raise_error(F.lit("the score of a query and one of its best vectors is no long")).cast("long"))
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
