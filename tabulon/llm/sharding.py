@@ -2,7 +2,8 @@
 
 A node is split along its widest dimension at the point that halves its bytes. The point is found by histograms: each
 round is one aggregation into a fixed number of bins per node, and the bin that holds the median is the next round's
-range. Rows never move to find it. Only one row per node comes back to the driver.
+range. Rows never move to find it. The tree is a table: nodes meet their rows by a broadcast within
+the measured bound, else by a join that deals large nodes over many tasks. Only counts come back to the driver.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tabulon.llm.common import cut, table, unsigned_crc32, values
+from tabulon.llm.common import BROADCAST_ROWS, Scratch, skew_join, table, unsigned_crc32
 
 #: Bins of one histogram round, and the share of a node's bytes below which a bin is not split further.
 BINS, CLOSE = 4096, 1e-4
-#: The tree is kept on the driver; beyond so many leaves, ask for larger leaves.
-MAX_LEAVES = 65_536
+#: Equal texts are one point, or several if they hold more than this share of a leaf.
+GROUP_SHARE = 1 / 64
 #: About so many rows are numbered in one group.
 SLOT_ROWS = 50_000
 
@@ -33,87 +34,95 @@ def number_axis(value: Column) -> Column:
     return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def _crossing(points: DataFrame, nodes: DataFrame, axis: Column, within: Column, lo: str, hi: str) -> list:
-    """Per node, the bin of its present range where the needed bytes are reached: (node, least, most, bytes, before)."""
-    width = F.col(hi) - F.col(lo)
-    place = F.when(width <= 0, F.lit(0)).otherwise(F.least(F.lit(BINS - 1), F.floor((axis - F.col(lo)) / width * BINS)))
-    bins = (
-        points.join(F.broadcast(nodes), "node").filter(within & axis.between(F.col(lo), F.col(hi)))
-        .groupBy("node", place.cast("int").alias("bin"))
-        .agg(F.min(axis).alias("least"), F.max(axis).alias("most"), F.sum("size").alias("bytes"), F.first("need").alias("need"))
-    )
-    order = W.Window.partitionBy("node").orderBy("bin")
-    run = bins.withColumn("upto", F.sum("bytes").over(order)).withColumn("last", F.lead("bin").over(order).isNull())
-    here = (F.col("upto") >= F.col("need")) | F.col("last")
-    return run.filter(here & (F.col("upto") - F.col("bytes") < F.greatest("need", F.lit(1)))).select("node", "least", "most", "bytes", (F.col("upto") - F.col("bytes")).alias("before")).collect()
+def _at_nodes(points: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """points with the columns of their nodes, which are at most so many; points of other nodes are left out."""
+    return points.join(F.broadcast(nodes), "node") if most <= BROADCAST_ROWS else skew_join(points, nodes, "node")
 
 
-def _cuts(points: DataFrame, axes: list[str], level: dict[int, dict]) -> dict[int, dict]:
-    """Where each node of this level is cut: along axis, rows below `at` go left; at `at`, those with a tie of at most `tie`."""
-    spark = points.sparkSession
-    open_ = {n: dict(d) for n, d in level.items()}
+def _crossing(points: DataFrame, open_: DataFrame, axes: list[str], most: int) -> DataFrame:
+    """Per node, the bin of its present range where the needed bytes are reached: (node, least, most, got, before)."""
     picked = F.coalesce(*[F.when(F.col("axis") == i, F.col(a)) for i, a in enumerate(axes)])
-    done: dict[int, dict] = {}
-    for phase in ("at", "tie"):
-        axis, within = (picked, F.lit(True)) if phase == "at" else (F.col("tie"), picked == F.col("v"))
-        while open_:
-            rows = [(n, d["axis"], d["lo"], d["hi"], d["need"], d.get("v", 0.0)) for n, d in open_.items() if d["phase"] == phase]
-            if not rows:
-                break
-            found = _crossing(points, values(spark, rows, "node int,axis int,lo double,hi double,need bigint,v double"), axis, within, "lo", "hi")
-            for r in found:
-                d = open_[r.node]
-                d["need"] -= r.before
-                d["lo"], d["hi"] = r.least, r.most
-                whole = r.least == r.most
-                if whole and phase == "at" and r.bytes > d["close"]:
-                    d |= {"phase": "tie", "v": r.least, "lo": 0.0, "hi": float(1 << 52)}
-                elif whole or r.bytes <= d["close"]:
-                    taken = 2 * d["need"] >= r.bytes  # the bin goes to the nearer side
-                    limit = r.most if taken else math.nextafter(r.least, -math.inf)
-                    done[r.node] = {"axis": d["axis"], "at": limit if phase == "at" else d["v"], "tie": float(1 << 53) if phase == "at" else limit}
-                    del open_[r.node]
-            for n in [n for n in open_ if open_[n]["phase"] == phase and n not in {r.node for r in found}]:
-                done[n] = {"axis": 0, "at": math.inf, "tie": float(1 << 53)}  # no rows
-                del open_[n]
-    return done
-
-
-def kd_shards(points: DataFrame, axes: list[str], leaves: int | None = None, leaf_bytes: int | None = None) -> DataFrame:
+    value = F.when(F.col("tying"), F.col("tie")).otherwise(picked)
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width <= 0, F.lit(0)).otherwise(F.least(F.lit(BINS - 1), F.floor((F.col("value") - F.col("lo")) / width * BINS)))
+    inside = _at_nodes(points, open_, most).withColumn("value", value).filter((~F.col("tying") | (picked == F.col("v"))) & F.col("value").between(F.col("lo"), F.col("hi")))
+    bins = inside.groupBy("node", place.cast("int").alias("bin")).agg(F.min("value").alias("least"), F.max("value").alias("most"), F.sum("size").alias("got"), F.first("need").alias("need"))
+    order = W.Window.partitionBy("node").orderBy("bin")
+    run = bins.withColumn("upto", F.sum("got").over(order)).withColumn("last", F.lead("bin").over(order).isNull())
+    here = (F.col("upto") >= F.col("need")) | F.col("last")
+    return run.filter(here & (F.col("upto") - F.col("got") < F.greatest("need", F.lit(1)))).select("node", "least", "most", "got", (F.col("upto") - F.col("got")).alias("before"))
+
+
+CUT = ["node", "axis", "at", "at_too", "tie_at", "tie_too"]
+
+
+def _cuts(points: DataFrame, axes: list[str], open_: DataFrame, most: int, work: Scratch, name: str) -> DataFrame:
+    """Where each open node is cut: below `at` along its axis rows go left (at_too: at `at` too; else there by the tie)."""
+    done, turn = None, 0
+    while True:
+        found = _crossing(points, open_, axes, most).join(open_, "node")
+        whole = F.col("least") == F.col("most")
+        to_tie = whole & ~F.col("tying") & (F.col("got") > F.col("close"))
+        need = F.col("need") - F.col("before")
+        taken = 2 * need >= F.col("got")  # the bin goes to the nearer side
+        limit = F.when(taken, F.col("most")).otherwise(F.col("least"))
+        state = found.select(
+            "node", "k", "axis", "close", need.alias("need"), (F.col("tying") | to_tie).alias("tying"), F.when(to_tie, F.col("least")).otherwise(F.col("v")).alias("v"),
+            F.when(to_tie, F.lit(0.0)).otherwise(F.col("least")).alias("lo"), F.when(to_tie, F.lit(float(1 << 53))).otherwise(F.col("most")).alias("hi"),
+            (~to_tie & (whole | (F.col("got") <= F.col("close")))).alias("done"),
+            F.when(F.col("tying"), F.col("v")).otherwise(limit).alias("at"), (~F.col("tying") & taken).alias("at_too"),
+            F.when(F.col("tying"), limit).alias("tie_at"), (F.col("tying") & taken).alias("tie_too"),
+        )
+        state = work.cut(f"{name}_{turn}", state)
+        ready = state.filter("done").select(*CUT)
+        done = ready if done is None else done.union(ready)
+        open_ = state.filter(~F.col("done")).drop("done", "at", "at_too", "tie_at", "tie_too")
+        if not open_.limit(1).count():
+            return done
+        turn += 1
+
+
+def kd_shards(points: DataFrame, axes: list[str], leaves: int | None = None, leaf_bytes: int | None = None, work: Scratch | None = None) -> DataFrame:
     """points (size, tie and the axes as doubles) with the leaf number in `shard`.
 
     leaves, or as many as leaf_bytes asks for. A node of k leaves gives floor(k / 2) / k of its bytes to the left. The
-    widest axis is that with the largest range, as a share of the whole table's range. Rows with equal coordinates are
-    parted by tie (a number below 2**52); rows equal in both stay together, as no rule can part them repeatably.
+    widest axis is that with the largest range, as a share of the whole table's range. Points with equal coordinates are
+    parted by tie (a number below 2**52); points equal in both stay together, as no rule can part them repeatably. Every
+    level is written before the next one reads it. Empty in, empty out.
     """
-    spark = points.sparkSession
-    spans = lambda df: df.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(a).alias(f"{k}{i}") for i, a in enumerate(axes) for k, f in (("lo", F.min), ("hi", F.max))]).collect()
-    placed = points.withColumn("node", F.lit(0))
-    root = next(iter(spans(placed)), None)
-    if root is None:
+    work = work or Scratch(points.sparkSession)
+    ends = [f(a).alias(f"{k}{i}") for i, a in enumerate(axes) for k, f in (("lo", F.min), ("hi", F.max))]
+    placed = points.withColumn("node", F.lit(0).cast("long"))
+    root = placed.agg(F.sum("size").alias("bytes"), *ends).first()
+    if root.bytes is None:
         return placed.withColumnRenamed("node", "shard")
-    if leaves is None:
-        leaves = max(1, -(-int(root.bytes) // int(leaf_bytes or 1)))
-    if leaves > MAX_LEAVES:
-        raise ValueError(f"{leaves} leaves; at most {MAX_LEAVES}, choose a larger leaf size")
+    leaves = leaves or max(1, -(-int(root.bytes) // int(leaf_bytes or 1)))
     wide = [max(root[f"hi{i}"] - root[f"lo{i}"], 1e-300) for i in range(len(axes))]
-    sizes, rows = {0: leaves}, [root]
-    while any(k > 1 for k in sizes.values()):
-        level = {}
-        for r in rows:
-            if (k := sizes[r.node]) > 1:
-                axis = max(range(len(axes)), key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / wide[i], -i))
-                level[r.node] = {"axis": axis, "lo": r[f"lo{axis}"], "hi": r[f"hi{axis}"], "need": int(r.bytes) * (k // 2) // k, "close": max(1, int(r.bytes * CLOSE)), "phase": "at"}
-        if not level:
-            break
-        made = _cuts(placed, axes, level)
-        split = values(spark, [(n, c["axis"], c["at"], c["tie"], n + sizes[n] // 2) for n, c in made.items()], "node int,axis int,at double,cut_tie double,right int")
-        value = F.coalesce(*[F.when(F.col("axis") == i, F.col(a)) for i, a in enumerate(axes)])
-        left = (value < F.col("at")) | ((value == F.col("at")) & (F.col("tie") <= F.col("cut_tie")))
-        placed = placed.join(F.broadcast(split), "node", "left").withColumn("node", F.when(F.col("axis").isNull() | left, F.col("node")).otherwise(F.col("right"))).drop("axis", "at", "cut_tie", "right")
-        sizes = {m: h for n, k in sizes.items() for m, h in (((n, k // 2), (n + k // 2, k - k // 2)) if n in made else ((n, 1),))}
-        rows = spans(placed) if any(k > 1 for k in sizes.values()) else []
-    return placed.withColumnRenamed("node", "shard")
+    value = F.coalesce(*[F.when(F.col("axis") == i, F.col(a)) for i, a in enumerate(axes)])
+    share = [(F.col(f"hi{i}") - F.col(f"lo{i}")) / F.lit(wide[i]) for i in range(len(axes))]
+    widest = F.array_position(F.array(*share), F.greatest(*share)).cast("int") - 1 if len(axes) > 1 else F.lit(0)
+    sizes = None
+    for level in range((leaves - 1).bit_length()):
+        spans = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *ends)
+        spans = spans.withColumn("k", F.lit(leaves)) if sizes is None else spans.join(sizes, "node")
+        spans = work.cut(f"spans{level}", spans.withColumn("axis", widest))
+        pick = lambda k: F.element_at(F.array(*[F.col(f"{k}{i}") for i in range(len(axes))]), F.col("axis") + 1)
+        open_ = spans.filter("k > 1").select(
+            "node", "k", "axis", F.greatest(F.lit(1), F.floor(F.col("bytes") * CLOSE)).cast("long").alias("close"), F.floor(F.col("bytes") * F.floor(F.col("k") / 2) / F.col("k")).cast("long").alias("need"),
+            F.lit(False).alias("tying"), F.lit(0.0).alias("v"), pick("lo").alias("lo"), pick("hi").alias("hi"),
+        )
+        most = min(leaves, 1 << level)
+        nodes = spans.select("node", "k").join(_cuts(placed, axes, open_, most, work, f"round{level}"), "node", "left")
+        here = value == F.col("at")
+        left = F.col("at").isNull() | (value < F.col("at")) | (here & F.col("at_too")) | (here & ((F.col("tie") < F.col("tie_at")) | ((F.col("tie") == F.col("tie_at")) & F.col("tie_too"))))
+        moved = F.when(F.coalesce(left, F.lit(False)), F.col("node")).otherwise(F.col("node") + F.floor(F.col("k") / 2))
+        placed = work.cut(f"placed{level}", _at_nodes(placed, nodes, most).withColumn("node", moved).drop("axis", "at", "at_too", "tie_at", "tie_too", "k"))
+        half = F.floor(F.col("k") / 2)
+        halves = F.when(F.col("at").isNotNull(), F.array(F.struct(F.col("node").alias("node"), half.alias("k")), F.struct((F.col("node") + half).alias("node"), (F.col("k") - half).alias("k"))))
+        sizes = nodes.select(F.explode(F.coalesce(halves, F.array(F.struct(F.col("node").alias("node"), F.col("k").cast("long").alias("k"))))).alias("x")).select("x.*")
+        if level:
+            work.free(f"placed{level - 1}")
+    return placed.withColumn("shard", F.col("node").cast("int")).drop("node")
 
 
 def slots(sharded: DataFrame, by: list[str], rows: int) -> DataFrame:
@@ -129,21 +138,36 @@ def slots(sharded: DataFrame, by: list[str], rows: int) -> DataFrame:
 def shard_documents(docs: DataFrame, leaves: int | None = None, leaf_bytes: int | None = None) -> DataFrame:
     """Every row of docs as (doc_id, size, text_crc32, shard, slot); size is UTF-8 bytes plus 1, shards are near equal in bytes.
 
-    The axes are length in characters, source, language and id. Ties are parted by the text's CRC and then the id, so
-    equal texts with equal metadata stay together unless a cut runs through them. Null text is empty; null metadata
-    come first on their axis. An empty table gives an empty result. Rows that agree in every column are indivisible.
+    The axes are length in characters, source, language and id. Rows of equal text are one point, at the least of their
+    metadata, and stay together, unless they hold more than GROUP_SHARE of a leaf: then near equal sizes ask for parts,
+    dealt by id. Null text is empty; null metadata come first on their axis. Repeated rows are repeated. Columns other
+    than doc_id, text, source and lang are ignored. An empty table gives an empty result.
     """
+    work = Scratch(docs.sparkSession)
     text = F.col("text")
-    crc = unsigned_crc32(text)
-    points = cut(
-        docs.select(
-            "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), crc.alias("text_crc32"),
-            number_axis(F.char_length(text)).alias("x_length"), text_axis(F.col("source")).alias("x_source"), text_axis(F.col("lang")).alias("x_lang"), number_axis(F.col("doc_id")).alias("x_id"),
-            (crc.cast("double") * F.lit(float(1 << 20)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("double")).alias("tie"),
-        )
+    rows = docs.select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), unsigned_crc32(text).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_mark"),
+        number_axis(F.char_length(text)).alias("x_length"), text_axis(F.col("source")).alias("x_source"), text_axis(F.col("lang")).alias("x_lang"), number_axis(F.col("doc_id")).alias("x_id"),
     )
-    placed = kd_shards(points, ["x_length", "x_source", "x_lang", "x_id"], leaves, leaf_bytes)
-    return slots(placed.select("doc_id", "size", "text_crc32", "shard"), ["doc_id", "text_crc32", "size"], points.count())
+    rows = work.cut("rows", rows)
+    group = ["text_mark", "text_crc32", "size"]
+    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    limit = max(1, int((leaf_bytes or (total or 0) / (leaves or 1)) * GROUP_SHARE))
+    sums = rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    large = work.cut("large", sums.withColumn("parts", F.ceil(F.col("n") * F.col("size") / limit).cast("int")).filter("parts > 1").select(*group, "parts"))
+    dealt = rows.join(F.broadcast(large), group, "left") if large.count() <= BROADCAST_ROWS else skew_join(rows, large, group, "left")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "x_source", "x_lang"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = work.cut("dealt", dealt.withColumn("part", part).drop("parts"))
+    axes = ["x_length", "x_source", "x_lang", "x_id"]
+    tie = F.col("text_crc32").cast("double") * F.lit(float(1 << 20)) + F.pmod(F.xxhash64("part", "text_mark"), F.lit(1 << 20)).cast("double")
+    points = dealt.groupBy(*group, "part").agg(F.sum("size").alias("weight"), *[F.min(a).alias(a) for a in axes]).withColumn("tie", tie)
+    points = work.cut("points", points.withColumnsRenamed({"size": "own_size", "weight": "size"}))
+    placed = kd_shards(points, axes, leaves, leaf_bytes, work).select("text_mark", "text_crc32", F.col("own_size").alias("size"), "part", "shard")
+    # Parts are bounded shares of a leaf, so no key of this join is hot.
+    sharded = dealt.select("doc_id", *group, "part").join(placed, [*group, "part"])
+    sharded = work.cut("sharded", sharded.select("doc_id", "size", "text_crc32", "shard"))
+    work.free("rows", "dealt", "points", "large")
+    return slots(sharded, ["doc_id", "text_crc32", "size"], count)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
