@@ -15,13 +15,14 @@ path that is left is the answer. For a unigram model any neighbours are allowed
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, table, utf8_parts
+from tabulon.llm.common import cut, kept_in_process, skew_join, table, utf8_parts
 
 #: Where the public model lies, unless the caller says.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -47,6 +48,8 @@ class Model:
         self.ids = {names[i]: i for i in plain}
         self.score = {names[i]: sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids))
+        if any(MARK in x.lstrip(MARK) for x in self.ids):
+            raise ValueError("a piece holds a word mark after another character: texts don't fall apart at word marks")
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         # Of two words joined by a merge only one piece may be left: such a model merges; a unigram model's scores add.
@@ -219,15 +222,9 @@ class Model:
         return np.concatenate([np.array(kept(head), np.int32), middle, np.array(kept(tail[:-1] if over else tail), np.int32)])
 
 
-_LOADED: dict[str, Model] = {}
-
-
 def loaded(proto: bytes) -> Model:
-    """The model in this task's process, built once."""
-    mark = hashlib.md5(proto).hexdigest()
-    if mark not in _LOADED:
-        _LOADED[mark] = Model(proto)
-    return _LOADED[mark]
+    """The model and its words, built once in a Python worker's process."""
+    return kept_in_process(hashlib.md5(proto).hexdigest(), lambda: Model(proto))
 
 
 def _normal(text: str) -> str:
@@ -278,9 +275,22 @@ def _leaves(held, chunks: DataFrame) -> DataFrame:
     return chunks.mapInPandas(run, MATRIX)
 
 
-def _rows(pdf) -> list[tuple[list, list, np.ndarray]]:
-    pdf = pdf.sort_values("no")
-    return [(list(a), list(b), np.asarray(s, float).reshape(len(a), len(b))) for a, b, s in zip(pdf["lefts"], pdf["rights"], pdf["sums"], strict=True)]
+def _groups(batches: Iterator, keys: list[str]) -> Iterator[list]:
+    """Rows of sorted pandas batches, one list for each run of equal keys. A run is a text's block or its blocks."""
+    rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+    for _, group in itertools.groupby(rows, key=lambda r: tuple(getattr(r, k) for k in keys)):
+        yield list(group)
+
+
+def _matrices(rows: list) -> list[tuple[list, list, np.ndarray]]:
+    return [(list(r.lefts), list(r.rights), np.asarray(r.sums, float).reshape(len(r.lefts), len(r.rights))) for r in rows]
+
+
+def _in_batches(rows: Iterator[tuple], columns: list[str], many: int = 256) -> Iterator:
+    import pandas as pd
+
+    while held := list(itertools.islice(rows, many)):
+        yield pd.DataFrame(held, columns=columns)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -288,14 +298,18 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(axis=1, initial=NONE)
 
 
-def _folded(pdf):
-    import pandas as pd
+def _folded(batches: Iterator) -> Iterator:
+    """One matrix for each block of a text."""
+
+    def each() -> Iterator[tuple]:
+        for group in _groups(batches, ["mark", "block"]):
+            rows = _matrices(group)
+            total = rows[0][2]
+            for _, _, m in rows[1:]:
+                total = times(total, m)
+            yield group[0].mark, int(group[0].block), 0, rows[0][0], rows[-1][1], total.ravel().tolist()
 
-    rows = _rows(pdf)
-    total = rows[0][2]
-    for _, _, m in rows[1:]:
-        total = times(total, m)
-    return pd.DataFrame([(pdf["mark"].iloc[0], int(pdf["block"].iloc[0]), 0, rows[0][0], rows[-1][1], total.ravel().tolist())], columns=["mark", "no", "block", "lefts", "rights", "sums"])
+    return _in_batches(each(), ["mark", "no", "block", "lefts", "rights", "sums"])
 
 
 def choose(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
@@ -309,46 +323,53 @@ def choose(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     return path[::-1]
 
 
-CHOSEN = "mark string, no int, from int, to int"
+CHOSEN = "mark string, no int, first int, last int"
 
 
-def _chosen(pdf):
+def _chosen(keys: list[str]):
     """Of consecutive matrices of a text: the states at each one's ends, given those at the ends of all (or the best ones)."""
-    import pandas as pd
 
-    rows = _rows(pdf)
-    if "from" in pdf:
-        first, last = rows[0][0].index(int(pdf["from"].iloc[0])), rows[-1][1].index(int(pdf["to"].iloc[0]))
-    else:
-        total = rows[0][2]
-        for _, _, m in rows[1:]:
-            total = times(total, m)
-        ends = np.array([_unpacked(c)[1] == 0 for c in rows[-1][1]])
-        flat = int(np.argmax(np.where(ends[None], total, NONE)))
-        first, last = divmod(flat, total.shape[1])
-        if total[first, last] == NONE:
-            raise ValueError("no path of pieces through a text: the model doesn't merge by scores")
-    path = choose([m for _, _, m in rows], first, last)
-    ordered = pdf.sort_values("no")
-    return pd.DataFrame({"mark": ordered["mark"], "no": ordered["no"], "from": [r[0][i] for r, i in zip(rows, path, strict=False)], "to": [r[1][j] for r, j in zip(rows, path[1:], strict=True)]})
+    def each(batches: Iterator) -> Iterator[tuple]:
+        for group in _groups(batches, keys):
+            rows = _matrices(group)
+            if hasattr(group[0], "first"):
+                first, last = rows[0][0].index(int(group[0].first)), rows[-1][1].index(int(group[0].last))
+            else:
+                total = rows[0][2]
+                for _, _, m in rows[1:]:
+                    total = times(total, m)
+                ends = np.array([_unpacked(c)[1] == 0 for c in rows[-1][1]])
+                flat = int(np.argmax(np.where(ends[None], total, NONE)))
+                first, last = divmod(flat, total.shape[1])
+                if total[first, last] == NONE:
+                    raise ValueError("no path of pieces through a text: the model doesn't merge by scores")
+            path = choose([m for _, _, m in rows], first, last)
+            for r, (lefts, rights, _), a, b in zip(group, rows, path, path[1:], strict=False):
+                yield r.mark, r.no, lefts[a], rights[b]
+
+    return lambda batches: _in_batches(each(batches), ["mark", "no", "first", "last"], 4096)
 
 
 def scan_giants(held, texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(mark, ids) of (mark, text), by the scan. A text's blocks are at most 2**31 / (chunk * BLOCK) matrices, about 500."""
+    """(mark, ids) of (mark, text), by the scan. A text's blocks are at most 2**31 / (chunk * BLOCK) matrices, about 500.
+
+    Shuffles of the small matrices keep their number of partitions: they are light in bytes, not in work.
+    """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = cut(_chunks(held, texts, chunk))
-    spread = chunks.repartition(F.col("mark"), F.col("no"))
+    spread = chunks.repartition(tasks, "mark", "no")
     leaves = cut(_leaves(held, spread))
-    blocks = cut(leaves.groupBy("mark", "block").applyInPandas(_folded, MATRIX))
-    tops = blocks.groupBy("mark").applyInPandas(_chosen, CHOSEN)
-    inner = leaves.join(tops.withColumnRenamed("no", "block"), ["mark", "block"])
-    states = inner.groupBy("mark", "block").applyInPandas(_chosen, CHOSEN)
+    by_block = lambda df: df.repartition(tasks, "mark", "block").sortWithinPartitions("mark", "block", "no")
+    blocks = cut(by_block(leaves).mapInPandas(_folded, MATRIX))
+    tops = cut(blocks.repartition(tasks, "mark").sortWithinPartitions("mark", "no").mapInPandas(_chosen(["mark"]), CHOSEN))
+    states = by_block(leaves.join(tops.withColumnRenamed("no", "block"), ["mark", "block"])).mapInPandas(_chosen(["mark", "block"]), CHOSEN)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         model = loaded(held.value)
         for pdf in batches:
-            ids = [model.trace(b + body + a, len(b), len(b) + len(body), _unpacked(x), _unpacked(y)) for b, body, a, x, y in zip(pdf["before"], pdf["body"], pdf["after"], pdf["from"], pdf["to"], strict=True)]
+            ids = [model.trace(b + body + a, len(b), len(b) + len(body), _unpacked(x), _unpacked(y)) for b, body, a, x, y in zip(pdf["before"], pdf["body"], pdf["after"], pdf["first"], pdf["last"], strict=True)]
             yield pd.DataFrame({"mark": pdf["mark"], "no": pdf["no"], "ids": ids})
 
     parts = chunks.join(states, ["mark", "no"]).mapInPandas(run, "mark string, no int, ids array<int>")
@@ -359,9 +380,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, te
     """The columns keep of docs (all but text, if not said) with ids: the pieces of each whole text.
 
     Null and empty texts have no ids. Texts of more than chunk characters are scanned; equal ones once. Repeated rows
-    are repeated. The model's file is read on the driver and broadcast (half a megabyte).
+    are repeated. A kept column named ids is replaced. Empty in, empty out. The model's file is read on the driver and
+    broadcast (half a megabyte).
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c != "ids"]
     held = docs.sparkSession.sparkContext.broadcast(open(model, "rb").read())
     kinds = dict(docs.dtypes)
     inner = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__tb_text"))
@@ -381,15 +404,21 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, te
 
     short = inner.filter(~long).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>"]))
     giants = inner.filter(long).withColumn("__tb_mark", F.sha2("__tb_text", 256))
-    texts = cut(giants.groupBy(F.col("__tb_mark").alias("mark")).agg(F.first("__tb_text").alias("text")))
+    texts = cut(giants.groupBy(F.col("__tb_mark").alias("mark")).agg(F.first("__tb_text").alias("text"), F.count("*").alias("n")))
     if not texts.limit(1).count():
         return short
-    scanned = scan_giants(held, texts, chunk).withColumnRenamed("mark", "__tb_key")
-    return short.unionByName(giants.drop("__tb_text").join(scanned, F.col("__tb_mark") == F.col("__tb_key")).select(*keep, "ids"))
+    scanned = scan_giants(held, texts.select("mark", "text"), chunk).withColumnRenamed("mark", "__tb_mark")
+    whole = skew_join(giants.drop("__tb_text"), scanned, "__tb_mark", counts=texts.select(F.col("mark").alias("__tb_mark"), "n"))
+    return short.unionByName(whole.select(*keep, "ids"))
 
 
 def decode_documents(encoded: DataFrame, keep: list[str], model: str = MODEL, ids: str = "ids") -> DataFrame:
-    """The columns keep of encoded with text: the pieces' text; bytes that are no UTF-8 become U+FFFD. Null ids give null."""
+    """The columns keep of encoded with text: the pieces' text; bytes that are no UTF-8 become U+FFFD.
+
+    Null ids give a null text, no ids an empty one. A kept column named text is replaced. Repeated rows are repeated.
+    Empty in, empty out.
+    """
+    keep = [c for c in keep if c != "text"]
     held = encoded.sparkSession.sparkContext.broadcast(open(model, "rb").read())
     kinds = dict(encoded.dtypes)
 
