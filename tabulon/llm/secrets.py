@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,6 +132,18 @@ def _class_of(n: int) -> int:
     return int(np.searchsorted(LENGTHS, n, "right")) - 1
 
 
+def _merged(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that the spans cover, in order."""
+    begins, ends = [], []
+    for a, _, b in sorted(base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def scan_part(data: np.ndarray, offsets: np.ndarray, null: dict) -> Iterator[tuple[int, list[tuple[int, int, int]], list[tuple[int, int, int, int]]]]:
     """Of each row of UTF-8 bytes that has any: (row, base spans (start, kind, end), candidates (start, end, length class, bin)).
 
@@ -150,8 +163,11 @@ def scan_part(data: np.ndarray, offsets: np.ndarray, null: dict) -> Iterator[tup
         if any(h in low for h in ASSIGN_HINTS):
             base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= LEAST_VALUE]
         tokens = []
+        taken_s, taken_e = _merged(base)
         for s, e in zip(tok_s[tok_b[i] : tok_b[i + 1]].tolist(), tok_e[tok_b[i] : tok_b[i + 1]].tolist(), strict=True):
-            fit, as_text = (0.0, 1.0) if any(s - lo < b and a < e - lo for a, _, b in base) else battery(data[s:e], null)
+            near = bisect_right(taken_e, s - lo)  # the first span that ends beyond the token's begin
+            meets = near < len(taken_s) and taken_s[near] < e - lo
+            fit, as_text = (0.0, 1.0) if meets else battery(data[s:e], null)
             tokens.append((s - lo, e - lo, _class_of(e - s), _bin(as_text) if fit >= FIT else 0))
         if base or tokens:
             place = np.zeros(hi - lo + 1, np.int64)
@@ -165,7 +181,8 @@ CANDIDATES = "array<struct<start:int,stop:int,class:int,bin:int>>"
 
 
 def scan(docs: DataFrame, null: dict, keep: list[str]) -> DataFrame:
-    """The columns keep of docs with `base` spans and `candidates` of each whole text."""
+    """The columns keep of docs with `base` spans and `candidates` of each whole text; kept columns of these names are replaced."""
+    keep = [c for c in keep if c not in ("base", "candidates")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -209,7 +226,7 @@ def with_spans(scanned: DataFrame, least: list[int]) -> DataFrame:
 def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs, with `base` and `found` spans of each whole text (kind: place in KINDS, offsets in code points).
 
-    Null texts are empty. Base spans always stay; a random token is reported unless it meets one. The thresholds depend
+    Null texts are empty. Kept columns named base, found or candidates are replaced. Base spans always stay; a random token is reported unless it meets one. The thresholds depend
     on all rows of docs; repeated rows get equal spans. Empty in, empty out.
     """
     scanned = cut(scan(docs, corpus_null(docs), keep))
@@ -230,7 +247,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<SECRET>", length: str | None = None) -> DataFrame:
     """docs with every secret in `text` replaced by mark; overlapping spans are replaced once. Other rows stay as they are.
 
-    length: a column that holds the text's length in characters, put right where the text changes.
+    length: a column that holds the text's length in characters, put right where the text changes. Null texts stay null,
+    empty ones empty; repeated rows are changed alike; other columns stay, whatever their names. Empty in, empty out.
     """
     null = corpus_null(docs)
     least = thresholds(cut(scan(docs, null, [])))
