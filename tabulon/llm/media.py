@@ -249,7 +249,11 @@ CLIPS = "array<struct<clip:int,first:int,stop:int,start_s:double,stop_s:double>>
 
 
 def clip_table(media: DataFrame, keep: list[str], avi: str = "media") -> DataFrame:
-    """Timed clip rows of AVI columns: keep, clip, first, stop (frames), start_s, stop_s. Null or other bytes give no row."""
+    """Timed clip rows of AVI columns: keep, clip, first, stop (frames), start_s, stop_s. Null or other bytes give no row.
+
+    Kept columns of these names are replaced. Repeated rows give repeated clips. Empty in, empty out.
+    """
+    keep = [c for c in keep if c not in ("clip", "first", "stop", "start_s", "stop_s")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -274,10 +278,12 @@ def payload_of(text: np.ndarray) -> np.ndarray:
 def media_columns(docs: DataFrame, keep: list[str], with_media: bool = False, text: str = "text") -> DataFrame:
     """Each whole text stored as an AVI and read back: digests of both, shots, and the AVI itself if asked for.
 
-    Null texts are empty; equal texts give equal values; repeated rows are repeated. Empty in, empty out.
+    Null texts are empty; equal texts give equal values; repeated rows are repeated. Kept columns of the new ones' names
+    are replaced. Empty in, empty out.
     """
     kinds = dict(docs.dtypes)
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    keep = [c for c in keep if c not in [*names, "media"]]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"])
 
     def run(batches: Iterator) -> Iterator:

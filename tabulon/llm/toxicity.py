@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import hash_share, lowered, mixed, span_hashes, table, utf8_parts, word_spans
+from tabulon.llm.common import cut, hash_share, lowered, mixed, span_hashes, table, utf8_parts, word_spans
 
 #: Features are hashed to so many bits; this bounds the model.
 BITS = 20
-#: At most about so many labelled rows are used, in groups of GROUP_ROWS that train apart.
-MAX_TRAIN_ROWS, GROUP_ROWS = 32_768, 8_192
+#: At most about so many labelled rows are used, in groups of GROUP_ROWS and GROUP_BYTES of text that train apart.
+MAX_TRAIN_ROWS, GROUP_ROWS, GROUP_BYTES = 32_768, 8_192, 64 << 20
 #: A longer word also counts by its first so many bytes.
 STEMS = (4, 6)
 #: Rate, its smoothing, L1 and L2 strength, passes over a group's rows.
@@ -107,7 +107,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         known = known.filter(hash_share(F.lit("train"), F.col("doc_id")) < max_rows / n)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_rows ids and numbers
     texts = texts.groupBy(F.md5("text").alias("mark")).agg(F.min(F.struct("doc_id", "label", "text")).alias("x")).select("x.*")
-    groups = max(1, -(-min(n, max_rows) // GROUP_ROWS))
+    texts = cut(texts)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-min(n, max_rows) // GROUP_ROWS), -(-size // GROUP_BYTES))
     parts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("part").applyInPandas(_train_group, "feature long, weight double")
     mean = parts.groupBy("feature").agg((F.sum("weight") / F.lit(float(groups))).alias("weight")).toPandas()  # at most 2**BITS rows
     bias = mean.loc[mean["feature"] == -1, "weight"]
@@ -126,7 +128,11 @@ def _scores(column, bias: float, dense: np.ndarray) -> np.ndarray:
 
 
 def score_texts(df: DataFrame, model: dict, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:
-    """The columns keep of df and a score from 0 to 1 of each whole text; null texts score as empty ones."""
+    """The columns keep of df and a score from 0 to 1 of each whole text; null texts score as empty ones.
+
+    A kept column of the score's name is replaced. Equal texts score alike; repeated rows are repeated. Empty in, empty out.
+    """
+    keep = [c for c in keep if c != score]
     held = df.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS numbers
 
     def run(batches: Iterator) -> Iterator:
@@ -145,7 +151,10 @@ def score_texts(df: DataFrame, model: dict, keep: list[str], text: str = "text",
 
 
 def without_toxic(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame:
-    """The rows of docs whose whole text scores below limit, as they were."""
+    """The rows of docs whose whole text scores below limit, as they were, with all their columns.
+
+    Null and empty texts score as the model's bias says. Repeated rows stay or go together. Empty in, empty out.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
