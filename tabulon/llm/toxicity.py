@@ -18,6 +18,8 @@ from tabulon.llm.common import cut, hash_share, lowered, mixed, span_hashes, tab
 BITS = 20
 #: At most about so many labelled rows are used, in groups of GROUP_ROWS and GROUP_BYTES of text that train apart.
 MAX_TRAIN_ROWS, GROUP_ROWS, GROUP_BYTES = 32_768, 8_192, 64 << 20
+#: Features of about so many bytes of text are held at once.
+PART_BYTES = 1 << 20
 #: A longer word also counts by its first so many bytes.
 STEMS = (4, 6)
 #: Rate, its smoothing, L1 and L2 strength, passes over a group's rows.
@@ -86,7 +88,7 @@ def _train_group(pdf):
 
     pdf = pdf.sort_values(["doc_id"])
     rows: list[np.ndarray] = []
-    for _, _, data, offsets in utf8_parts(pa.array(pdf["text"], pa.large_string())):
+    for _, _, data, offsets in utf8_parts(pa.array(pdf["text"], pa.large_string()), PART_BYTES):
         row, feature = text_features(data, offsets)
         pairs = np.unique(row << BITS | feature)
         rows += np.split(pairs & ((1 << BITS) - 1), np.searchsorted(pairs >> BITS, np.arange(1, len(offsets) - 1)))
@@ -119,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 def _scores(column, bias: float, dense: np.ndarray) -> np.ndarray:
     out = np.full(len(column), bias)
-    for at, to, data, offsets in utf8_parts(column):
+    for at, to, data, offsets in utf8_parts(column, PART_BYTES):
         row, feature = text_features(data, offsets)
         hit = dense[feature] != 0
         pairs = np.unique(row[hit] << BITS | feature[hit])
