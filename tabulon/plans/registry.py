@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tabulon.plans import catalog, estimates, records, search, streams, texts
+from tabulon.plans import catalog, enrichment, estimates, records, search, streams, texts
 
-MODULES = (estimates, catalog, search, records, texts, streams)
+MODULES = (estimates, catalog, search, records, texts, streams, enrichment)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
