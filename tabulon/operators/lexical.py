@@ -10,13 +10,24 @@ from tabulon.functions.text import tokens
 
 #: A query dimension of at most so many rows is broadcast; a larger one is dealt into blocks of about so many.
 SMALL_DIM = 10_000
+#: At most so many distinct asked tokens are broadcast; more are met by a shuffle.
+SMALL_TOKENS = 100_000
 # BM25's usual constants and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, id_: str, text: Column) -> DataFrame:
-    """(token, id, tf) of every text."""
-    return docs.select(id_, F.explode(tokens(text)).alias("token")).groupBy("token", id_).agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_: str, text: Column, queries: DataFrame | None = None) -> DataFrame:
+    """(token, id, tf) of every text; with queries (words), of the tokens that they ask for, which are kept before rows move."""
+    rows = docs.select(id_, F.explode(tokens(text)).alias("token"))
+    if queries is not None:
+        asked = queries.select(F.explode("words").alias("token")).distinct()
+        rows = rows.join(F.broadcast(asked) if asked.count() <= SMALL_TOKENS else asked, "token", "left_semi")
+    return rows.groupBy("token", id_).agg(F.count("*").alias("tf"))
+
+
+def lengths(docs: DataFrame, id_: str, text: Column) -> DataFrame:
+    """(id, dl): tokens of every text that has any."""
+    return docs.groupBy(id_).agg(F.sum(F.coalesce(F.size(tokens(text)), F.lit(0))).alias("dl")).filter("dl > 0")
 
 
 def with_synonyms(index: DataFrame, synonyms: DataFrame, id_: str) -> DataFrame:
@@ -51,14 +62,21 @@ def suggestions(found: DataFrame, labels: DataFrame, id_: str, label: str, thres
     return rows.select("query_id", "rank", F.concat(F.col(id_).cast("string"), F.lit(" - "), F.substring("_l", 1, 60), F.lit("...")).alias("suggestion"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, id_: str, k: int = 1) -> DataFrame:
-    """query_id, id, score, rank: documents with all of a query's tokens, by BM25 (higher is better, ties by id)."""
-    lengths = index.groupBy(id_).agg(F.sum("tf").alias("dl"))
+def bm25(queries: DataFrame, index: DataFrame, id_: str, k: int = 1, lengths: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank: documents with all of a query's tokens, by BM25 (higher is better, ties by id).
+
+    As all tokens are required, only the documents of a query's rarest token are looked at. lengths (id, dl) of all
+    documents must be given where index holds asked tokens only.
+    """
+    lengths = index.groupBy(id_).agg(F.sum("tf").alias("dl")) if lengths is None else lengths
     whole = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("token"))
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
-    df = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    hits = asked.join(index, "token").join(df, "token").join(lengths, id_).crossJoin(F.broadcast(whole))
+    df = index.groupBy("token").agg(F.count("*").alias("df"))
+    known = asked.join(df, "token")
+    rarest = known.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    candidates = rarest.join(index, "token").select("query_id", id_)
+    hits = candidates.join(known, "query_id").join(index, ["token", id_]).join(lengths, id_).crossJoin(F.broadcast(whole))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", id_).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("met"))

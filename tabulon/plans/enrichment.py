@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 
 from tabulon.functions import text as T
 from tabulon.operators import enrich, sample
+from tabulon.plans.texts import counted_phrases
 from tabulon.sources import sinks
 from tabulon.sources.tables import literals, table
 
@@ -211,15 +212,8 @@ def phrase_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases of two, three and four words in whole texts, seen twice or more, and whether a geographic key is in them.
-
-    64-bit hashes are counted first, so of the many phrases that are seen once only hashes move.
-    """
-    words = F.filter(T.tokens(F.col("text")), lambda w: w.rlike("^[a-z]+$") & ~w.isin(*T.STOP_WORDS))
-    rows = table(spark, d, "documents").select(words.alias("words")).select(F.explode(F.concat(*[T.ngrams(F.col("words"), n) for n in (2, 3, 4)])).alias("phrase"))
-    often = rows.select(F.xxhash64("phrase").alias("mark")).groupBy("mark").agg(F.count("*").alias("_n")).filter("_n >= 2").select("mark")
-    named = rows.withColumn("mark", F.xxhash64("phrase")).join(often, "mark", "left_semi").groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 2")
-    return named.select("phrase", "n", F.col("phrase").rlike("|".join(GEO_KEYS)).alias("geo"))
+    """Phrases of two, three and four words in whole texts, seen twice or more, and whether a geographic key is in them."""
+    return counted_phrases(spark, d, (2, 3, 4)).select("phrase", "n", F.col("phrase").rlike("|".join(GEO_KEYS)).alias("geo"))
 
 
 def sink_phrases(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,11 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
+def _met(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the asked tokens alone."""
+    return lexical.postings(table(spark, d, "documents"), "doc_id", F.col("text"), _asked(spark, d))
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("words"))
 
@@ -23,18 +28,18 @@ def inverted_index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.keyword_search(_asked(spark, d), _index(spark, d), "doc_id", 10)
+    found = lexical.keyword_search(_asked(spark, d), _met(spark, d), "doc_id", 10)
     return found.select("query_id", "doc_id", "matches", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 def keyword_search_domain_boost(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "labels").select("doc_id", (F.col("quality") * 0.5).alias("weight"))
-    found = lexical.keyword_search(_asked(spark, d), _index(spark, d), "doc_id", 10, weights)
+    found = lexical.keyword_search(_asked(spark, d), _met(spark, d), "doc_id", 10, weights)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def suggestions_low_conf(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.keyword_search(_asked(spark, d), _index(spark, d), "doc_id", 5)
+    found = lexical.keyword_search(_asked(spark, d), _met(spark, d), "doc_id", 5)
     return lexical.suggestions(found, table(spark, d, "documents"), "doc_id", "source", 0.9)
 
 
@@ -45,7 +50,8 @@ def synonym_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_asked(spark, d), _index(spark, d), "doc_id", 5).select("query_id", "doc_id", "score", "rank")
+    lengths = lexical.lengths(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return lexical.bm25(_asked(spark, d), _met(spark, d), "doc_id", 5, lengths).select("query_id", "doc_id", "score", "rank")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:

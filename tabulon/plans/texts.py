@@ -16,14 +16,19 @@ def html_to_text_len(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.length(T.html_text(F.col("html"))).alias("n"), F.md5(T.html_text(F.col("html"))).alias("mark"))
 
 
-def _grams(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases of two and three words of the whole texts, seen twice or more."""
+def counted_phrases(spark: SparkSession, d: str, lengths: tuple[int, ...]) -> DataFrame:
+    """(phrase, n): phrases of so many words of the whole texts, seen twice or more."""
     words = F.filter(T.tokens(F.col("text")), lambda w: w.rlike("^[a-z]+$") & ~w.isin(*T.STOP_WORDS))
-    rows = table(spark, d, "documents").select("doc_id", words.alias("words"))
-    rows = rows.select(F.explode(F.concat(T.ngrams(F.col("words"), 2), T.ngrams(F.col("words"), 3))).alias("phrase"))
+    rows = table(spark, d, "documents").select(words.alias("words"))
+    rows = rows.select(F.explode(F.concat(*[T.ngrams(F.col("words"), n) for n in lengths])).alias("phrase"))
     return rows.groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
+def _grams(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of two and three words."""
+    return counted_phrases(spark, d, (2, 3))
+
+
 def ngram_phrases(spark: SparkSession, d: str) -> DataFrame:
     return _grams(spark, d)
 
