@@ -20,9 +20,9 @@ from pyspark.sql import window as W
 from tabulon.llm.common import table
 
 #: Most vectors in a block; smaller tables have as many blocks as SPREAD, if each has FEW vectors. Levels of a dimension.
-BLOCK_ROWS, SPREAD, FEW, LEVELS = 65_536, 24, 2_048, 32
-#: Impacts, as shares of the query's largest, at which the proof is tried. At 0 no positive impact is left.
-STOPS = (0.35, 0.2, 0.1, 0.04, 0.0)
+BLOCK_ROWS, SPREAD, FEW, LEVELS = 65_536, 24, 8_192, 32
+#: Impacts, as shares of the query's largest, at which the proof is tried before all segments are added.
+STOPS = (0.35, 0.2)
 #: Rounding of the bounds, which are sums of doubles, as a share of the largest impact in each dimension.
 SLACK = 1e-12
 
@@ -36,46 +36,60 @@ class Block:
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         step = np.maximum(1, -(-(high - low + 1) // LEVELS))
         level = (vectors - low) // step
-        self.order = np.argsort(level, axis=0, kind="stable").T.copy()
-        sorted_levels = np.take_along_axis(level, self.order.T, axis=0)
+        order = np.argsort(level, axis=0, kind="stable").T
+        sorted_levels = np.take_along_axis(level, order.T, axis=0)
+        self.rows = order.astype(np.int32).ravel()  # of all dimensions, one after the other
         at, dims, lows, highs, ends = [], [], [], [], []
+        self.codes = np.empty((d, n), np.uint8)  # the segment of a row in each dimension
+        self.starts = [0]
         for j in range(d):
             first = np.flatnonzero(np.diff(sorted_levels[:, j], prepend=-1))
-            own = np.take(vectors[:, j], self.order[j])
-            at.append(first)
-            ends.append(np.append(first[1:], n))
+            own = np.take(vectors[:, j], order[j])
+            self.codes[j, order[j]] = np.repeat(np.arange(len(first)), np.diff(first, append=n))
+            self.starts.append(self.starts[-1] + len(first))
+            at.append(j * n + first)
+            ends.append(j * n + np.append(first[1:], n))
             dims.append(np.full(len(first), j))
             lows.append(np.minimum.reduceat(own, first))
             highs.append(np.maximum.reduceat(own, first))
         self.at, self.ends, self.dims, self.lows, self.highs = (np.concatenate(x) for x in (at, ends, dims, lows, highs))
 
+    def _members(self, query: np.ndarray, own_id: int, k: int, bound: np.ndarray, more: float) -> np.ndarray:
+        """Rows whose bound, with what they can gain, reaches a floor for the k-th score: exact scores of those that look best."""
+        some = min(len(bound), 4 * k + 1)
+        look = np.argpartition(-bound, some - 1)[:some]
+        exact = np.sort((self.vectors[look] @ query)[self.ids[look] != own_id])[::-1]
+        return np.flatnonzero(bound + more >= exact[k - 1]) if len(exact) >= k else np.arange(len(bound))
+
     def top(self, query: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but those of own_id; by score, then smaller id."""
-        impact = np.where(query[self.dims] >= 0, query[self.dims] * self.highs, query[self.dims] * self.lows)
+        own = query[self.dims]
+        impact = np.where(own >= 0, own * self.highs, own * self.lows).astype(float)
         order = np.argsort(-impact, kind="stable")
         falling = impact[order]
         bound = np.zeros(len(self.ids))
         slack = SLACK * len(query) * float(np.abs(impact).max())
-        most, done, floor = float(max(falling[0], 0)), 0, -np.inf
+        most, done = float(max(falling[0], 0)), 0
         for stop in STOPS:
-            to = int(np.searchsorted(-falling, -stop * most, "left")) if stop else int(np.searchsorted(-falling, 0, "left"))
+            to = int(np.searchsorted(-falling, -stop * most, "left"))
             chosen = order[done:to]
             if len(chosen):
-                rows = np.concatenate([self.order[j][a:b] for j, a, b in zip(self.dims[chosen], self.at[chosen], self.ends[chosen], strict=True)])
-                bound += np.bincount(rows, weights=np.repeat(impact[chosen], self.ends[chosen] - self.at[chosen]), minlength=len(bound))
+                sizes = self.ends[chosen] - self.at[chosen]
+                upto = np.cumsum(sizes)
+                rows = self.rows[np.repeat(self.at[chosen] - upto + sizes, sizes) + np.arange(upto[-1])]
+                bound += np.bincount(rows, weights=np.repeat(impact[chosen], sizes), minlength=len(bound))
             done = max(done, to)
             # What a row can still gain: the next impact of every dimension.
             rest = np.zeros(len(query))
-            np.maximum.at(rest, self.dims[order[done:]], falling[done:])
-            # A floor for the k-th score: exact scores of the rows that look best so far.
-            some = min(len(bound), 4 * k + 1)
-            look = np.argpartition(-bound, some - 1)[:some]
-            exact = np.sort((self.vectors[look] @ query)[self.ids[look] != own_id])[::-1]
-            if len(exact) >= k:
-                floor = max(floor, exact[k - 1])
-            members = np.flatnonzero(bound + (rest.sum() + slack) >= floor)
+            rest[self.dims[order[done:]][::-1]] = falling[done:][::-1]  # the first of each dimension is written last
+            members = self._members(query, own_id, k, bound, np.maximum(rest, 0).sum() + slack)
             if len(members) <= max(64, len(bound) // 50):
                 break
+        else:  # the segments that are left, down to the most negative impact: bounds are off by the width of the levels alone
+            bound, part = np.zeros(len(self.ids)), np.empty(len(self.ids))
+            for j, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+                bound += np.take(impact[a:b], self.codes[j], out=part, mode="clip")
+            members = self._members(query, own_id, k, bound, slack)
         members = members[self.ids[members] != own_id]
         scores = self.vectors[members] @ query
         best = np.lexsort((self.ids[members], -scores))[:k]
