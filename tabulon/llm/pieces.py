@@ -22,14 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, kept_in_process, skew_join, table, utf8_parts
+from tabulon.llm.common import cut, hot_keys, kept_in_process, skew_join, table, utf8_parts
 
 #: Where the public model lies, unless the caller says.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are scanned. Chunks combined in the first level.
 CHUNK, BLOCK = 16_384, 256
-#: Words that a task remembers.
-MOST_WORDS = 400_000
+#: Words, and pairs of pieces, that a Python worker remembers.
+MOST_WORDS = MOST_PAIRS = 100_000
 MARK = "▁"
 NONE = -np.inf
 
@@ -112,7 +112,7 @@ class Model:
         if not self.merges:
             return True
         if (a, b) not in self.pairs:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = self.merged(a + b) == [a, b]
         return self.pairs[a, b]
@@ -408,7 +408,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, te
     if not texts.limit(1).count():
         return short
     scanned = scan_giants(held, texts.select("mark", "text"), chunk).withColumnRenamed("mark", "__tb_mark")
-    whole = skew_join(giants.drop("__tb_text"), scanned, "__tb_mark", counts=texts.select(F.col("mark").alias("__tb_mark"), "n"))
+    counts = texts.select(F.col("mark").alias("__tb_mark"), "n")
+    giants = giants.drop("__tb_text")
+    if hot_keys(giants, ["__tb_mark"], counts).limit(1).count():  # a text with very many copies is dealt over several tasks
+        whole = skew_join(giants, cut(scanned), "__tb_mark", counts=counts)
+    else:  # the ids lie by mark already
+        whole = giants.join(scanned, "__tb_mark")
     return short.unionByName(whole.select(*keep, "ids"))
 
 
