@@ -65,16 +65,17 @@ def location_confidence(location: Column) -> Column:
 def match_places(asked: DataFrame, names: DataFrame, place: str = "place", name: str = "name") -> DataFrame:
     """Names that match each place by the first rule that has any: whole, before a comma, with a suffix, or containing its base.
 
-    names is joined by a broadcast of asked (requests, of bounded size).
+    asked may have any size: see lexical.crossed.
     """
-    from tabulon.operators.vector import small
+    from tabulon.operators.lexical import crossed
 
     p, n = F.lower(place), F.lower(name)
     base = F.regexp_replace(p, " (city|town|village)$", "")
     rule = F.when(n == p, 1).when(n.startswith(F.concat(p, F.lit(","))), 2)
     for i, suffix in enumerate((" city,", " town,", " village,"), 3):
         rule = rule.when(n.contains(F.concat(p, F.lit(suffix))), i)
-    met = names.crossJoin(small(asked)).withColumn("rule", rule.when(n.contains(base), 6)).filter(F.col("rule").isNotNull())
+    rule = rule.when(n.contains(base), 6)
+    met = crossed(names, asked, rule.isNotNull()).withColumn("rule", rule)
     return met.withColumn("_best", F.min("rule").over(W.Window.partitionBy(place))).filter("rule = _best").drop("_best")
 
 
