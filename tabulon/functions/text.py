@@ -48,6 +48,16 @@ def html_stripped(html: Column) -> Column:
     return entities(F.regexp_replace(html, r"<[^>]+>", " "))
 
 
+def markdown_text(text: Column) -> Column:
+    """Visible text of Markdown: marks of headings, quotes, lists, fences, rules, emphasis and code dropped, links as their words, images as nothing; white space collapsed."""
+    for mark, kept in (
+        (r"(?m)^[ \t]*(```|~~~).*$", " "), (r"(?m)^[ \t]*([-*_][ \t]*){3,}$", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"(?m)^[ \t]*(#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|[0-9]+\.[ \t]+)", ""), (r"\*\*|__|`", ""), (r"\*([^*\n]+)\*", "$1"),
+    ):
+        text = F.regexp_replace(text, mark, kept)
+    return squeezed(entities(F.regexp_replace(text, r"<[^>]+>", " ")))
+
+
 def entities(text: Column) -> Column:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -217,39 +214,33 @@ def phrase_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_phrases(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{_scratch(spark)}/phrases"
+    path = f"{sinks.scratch(spark)}/phrases"
     sinks.write_phrases(table(spark, d, "part").select(F.col("p_name").alias("phrase")), path)
     return spark.read.text(path).select(F.col("value").alias("phrase"))
 
 
 def sink_routed(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{_scratch(spark)}/routed"
+    path = f"{sinks.scratch(spark)}/routed"
     rows = _pairs(spark, d).select("event_id", "a")
     sinks.write_routed(rows, F.when(F.col("a") >= 0.9, "auto").when(F.col("a") >= 0.5, "review").otherwise("rejected"), path)
     return spark.read.schema("event_id long, a double, route string").json(path).groupBy("route").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 def sink_links(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{_scratch(spark)}/links"
+    path = f"{sinks.scratch(spark)}/links"
     links = _weights(spark, d).select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("variable"), F.explode("weights").alias("concept", "weight"))
     sinks.write_links(links, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def sink_runs(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark)
+    path = sinks.scratch(spark)
     runs = table(spark, d, "labels").groupBy(F.concat(F.lit("run"), (F.col("doc_id") % 5).cast("string")).alias("run_name")).agg(F.sum("quality").cast("long").alias("passed"))
     sinks.append_results(runs.filter("run_name < 'run2'"), f"{path}/runs")
     sinks.append_results(runs.filter("run_name >= 'run2'"), f"{path}/runs")
     return sinks.upsert_runs(spark, runs.filter("run_name = 'run3'").withColumn("passed", F.lit(-1).cast("long")), f"{path}/runs", f"{path}/new")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/sinks/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="sinks-")
-
-
 QUERIES = {
     f.__name__: f
     for f in (

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or in local mode a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/sinks/{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="sinks-")
+
+
 def write_phrases(phrases: DataFrame, path: str, phrase: str = "phrase") -> None:
     """Distinct phrases, one a line, in order over all files."""
     phrases.select(phrase).distinct().orderBy(phrase).write.mode("overwrite").text(path)

@@ -30,9 +30,11 @@ def catalog_from_json(spark: SparkSession, path: str, survey: str = "acs5") -> D
 
 def catalog_from_records(spark: SparkSession, path: str, survey: str = "acs5") -> DataFrame:
     """The same of a JSON array of records with `variable_id` or `name`."""
-    rows = spark.read.json(path, multiLine=True, schema="variable_id string, name string, label string, concept string, predicateType string, `group` string")
+    read = spark.read.json(path, multiLine=True, schema="variable_id string, name string, label string, concept string, predicateType string, `group` string")
+    file = W.Window.partitionBy("path").orderBy("position")
+    rows = read.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position")).withColumn("ordinal", (F.row_number().over(file) - 1).cast("long"))
     named = rows.withColumn("variable_id", F.coalesce("variable_id", "name")).filter(F.col("variable_id").isNotNull())
-    return named.select("variable_id", "label", "concept", F.col("predicateType").alias("predicate_type"), "group", F.lit(survey).alias("survey"), F.monotonically_increasing_id().alias("ordinal"))
+    return named.select("variable_id", "label", "concept", F.col("predicateType").alias("predicate_type"), "group", F.lit(survey).alias("survey"), "ordinal")
 
 
 def _exploded(maps: DataFrame, survey: str) -> DataFrame:
@@ -56,7 +58,7 @@ def last_row_wins(rows: DataFrame, key: str, ordinal: str = "ordinal") -> DataFr
 
 def csv_catalog(spark: SparkSession, path: str, schema: str, key: str = "variable_id") -> DataFrame:
     """A CSV with header; of repeated keys the last row wins, as by a dict."""
-    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE").withColumn("ordinal", F.monotonically_increasing_id())
+    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE").withColumn("ordinal", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("position")))
     return last_row_wins(rows, key)
 
 

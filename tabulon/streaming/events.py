@@ -39,6 +39,12 @@ def first_of_key(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
     return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def earliest(events: DataFrame, key: str, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The whole first event of each key by order, with map-side partials; a null key is a key."""
+    first = events.groupBy(key).agg(F.min_by(F.struct(*events.columns), F.struct(*order)).alias("e"))
+    return first.select("e.*")
+
+
 def token_counts(docs: DataFrame, text: str) -> DataFrame:
     """Running document frequency of every token, for an index that grows with the stream."""
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
