@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import chat, jaccard, media, mixing, pieces, pii, secrets, sharding, topk, toxicity
+from tabulon.llm import chat, jaccard, media, mixing, pieces, pii, repair, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_media": media.op10_media,
+    "op13_repair": repair.op13_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op5_topk": topk.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op13_repair": repair.ORACLE,
 }
