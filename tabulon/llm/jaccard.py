@@ -15,7 +15,7 @@ star, an index over the sets' differences from the star finds the pairs that can
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -307,6 +307,15 @@ def _labelled(docs: DataFrame, words: int, percent: int, steps: int) -> tuple[Da
     common = W.Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), "entry")
     kept = work.cut("kept", met.withColumn("place", F.row_number().over(common)).filter((F.col("kind") % 2 == 0) | (F.col("place") > spare)).select("entry", "node"))
     work.free("met")
+    return nodes, linked_sets(docs, nodes, kept, words, percent, work)
+
+
+def linked_sets(docs: DataFrame, nodes: DataFrame, kept: DataFrame, words: int, percent: int, work: Scratch, likely: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """(node, doc_id, label) of every set with words: its smallest doc_id and its component, from the index entries kept (entry, node).
+
+    nodes: doc_id, text_hash, n_shingles, node of each row of docs. Both are tables of work; kept is freed. likely, if there is
+    one, leaves out pairs of these two columns that are surely no links before their sets are compared.
+    """
     shared = work.cut("shared", kept.groupBy("entry").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most")).select("entry", "n"))
     # The star of an entry is its set with the most company over all entries: an original rather than one of its variants.
     known = skew_join(kept, shared, "entry", counts=shared)
@@ -319,6 +328,9 @@ def _labelled(docs: DataFrame, words: int, percent: int, steps: int) -> tuple[Da
     ids = work.cut("ids", ids)
     first = starred.groupBy("node").agg(F.max(F.when(F.col("node") != F.col("star"), F.struct("star_company", "star"))).alias("top"))
     texts = work.cut("texts", first.join(ids, "node").select("doc_id", "text_hash", "node", F.col("top.star").alias("star")))
+    if likely:
+        near = likely(texts.filter(F.col("star").isNotNull()).select("node", "star"), "node", "star")
+        texts = work.cut("likely", texts.drop("star").join(near, "node", "left").select("doc_id", "text_hash", "node", "star"))
     repeats = nodes.filter(F.col("n_shingles") > 0).groupBy("doc_id", "text_hash").count().filter(F.col("count") > 1).limit(1).count() > 0
     sets = work.cut("sets", _sets_of(docs, texts, words, repeats))
     links = work.cut("links1", _first_links(sets, percent))
@@ -332,15 +344,16 @@ def _labelled(docs: DataFrame, words: int, percent: int, steps: int) -> tuple[Da
         near = work.cut("near", _differences(rest, sets, percent))
         links = work.cut("links2", links.union(near.filter("linked").select(F.col("node").alias("a"), F.col("star").alias("b"))))
         labels = components(links)
-        pairs = work.cut("pairs", _apart(near, labels, percent, work))
+        apart = _apart(near, labels, percent, work)
+        pairs = work.cut("pairs", likely(apart, "a", "b") if likely else apart)
         work.free("near", "shared_items")
         final = work.cut("final", _verified(pairs, sets, percent))
         if final.limit(1).count():
             labels = components(links.union(final))
     work.free("sets", "rest", "pairs")
     named = work.cut("named", ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
-    work.free("links1", "links2", "final", "ids")
-    return nodes, named
+    work.free("links1", "links2", "final", "ids", "likely")
+    return named
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, steps: int = 2) -> DataFrame:

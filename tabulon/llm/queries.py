@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import chat, jaccard, media, mixing, pieces, pii, repair, secrets, sharding, topk, toxicity
+from tabulon.llm import chat, jaccard, media, minhash, mixing, pieces, pii, repair, secrets, sharding, topk, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_media": media.op10_media,
+    "op11_minhash": minhash.op11_minhash,
+    "op12_ranked": wavelet.op12_ranked,
     "op13_repair": repair.op13_repair,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -26,5 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_topk": topk.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op11_minhash": minhash.ORACLE,
+    "op12_ranked": wavelet.ORACLE,
     "op13_repair": repair.ORACLE,
 }
