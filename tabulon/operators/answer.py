@@ -47,21 +47,31 @@ def resolve_texts(texts: DataFrame, labels: DataFrame, core: DataFrame, keywords
 
 
 def answer(requests: DataFrame, codes: DataFrame, estimates: DataFrame) -> DataFrame:
-    """requests (request_id, location, variable) with code, geography, name, estimate, moe, moe_pct, shown and error.
+    """requests (request_id, location, variable) with code, geography, name, estimate, moe, moe_pct, shown, error, confidence and candidates.
 
-    codes (variable, code) has one row a variable; estimates (level, name, code, estimate, moe). A location of the nation
-    takes the row of level us; any other the first name that matches its place by the best rule. What has no row gets an
-    error text. A state that the location names isn't looked at.
+    codes (variable, code) has one row a variable; estimates (level, name, code, estimate, moe). The nation takes the row of
+    level us, a state that of level state, a county the county of its state, and a place the first name that matches by the
+    best rule within its state, if the location names one (`Springfield, MO` never takes a row of Illinois). confidence tells
+    how sure the location's reading is, candidates how many names match a place by its best rule. What has no row gets an
+    error text; null locations and variables have none. Of several rows of one name and code the least counts.
     """
     asked = geo.parse_location(requests.join(codes, "variable", "left"))
-    value = F.struct("name", "estimate", "moe").alias("found")
-    nation = estimates.filter("level = 'us'").groupBy("code").agg(F.min_by(F.struct("name", "estimate", "moe"), "name").alias("found")).withColumn("place", F.lit(None).cast("string"))
+    text = lambda *parts: F.concat_ws(":", *parts)
+    spot = F.when(F.col("geography") == "us", "us").when(F.col("geography") == "state", text(F.lit("state"), "state"))
+    spot = spot.when(F.col("geography") == "county", text(F.lit("county"), "state", F.lower("county"))).otherwise(text(F.lit("place"), F.coalesce("state", F.lit("-")), "place"))
+    value = F.struct("name", "estimate", "moe")
+    first = lambda rows, by: rows.groupBy("_spot", "code").agg(F.min_by(value, by).alias("found"), F.count_distinct("name").alias("candidates"))
+    by_level = lambda level, key: first(estimates.filter(F.col("level") == level).withColumn("_spot", key), value)
+    county = F.lower(F.regexp_replace(F.substring_index("name", ",", 1), " [Cc]ounty$", ""))
+    whole = [by_level("us", F.lit("us")), by_level("state", text(F.lit("state"), geo.state_code(F.col("name")))), by_level("county", text(F.lit("county"), geo.name_state(F.col("name")), county))]
     local = estimates.filter("level = 'place'")
-    names = geo.match_places(asked.select("place").filter("place IS NOT NULL").distinct(), local.select("name").distinct())
-    rows = names.join(local, "name").groupBy("place", "code").agg(F.min_by(value, F.struct("rule", "name")).alias("found"))
-    known = nation.select("place", "code", "found").unionByName(rows).withColumnsRenamed({"place": "_place", "code": "_code"})
-    out = asked.join(known, asked.code.eqNullSafe(known["_code"]) & asked.place.eqNullSafe(known["_place"]) & (asked.place.isNotNull() | (asked.geography == "us")), "left")
-    out = out.select("request_id", "location", "variable", "code", "geography", "found.*")
+    places = asked.filter("geography = 'place' AND place IS NOT NULL").select("place", "state").distinct()
+    names = geo.match_places(places, local.select("name").distinct(), state="state")
+    known = first(names.join(local, "name").withColumn("_spot", text(F.lit("place"), F.coalesce("state", F.lit("-")), "place")), F.struct("rule", value))
+    for part in whole:
+        known = known.unionByName(part)
+    out = asked.withColumn("_spot", spot).join(known, ["_spot", "code"], "left")
+    out = out.select("request_id", "location", "variable", "code", "geography", "found.*", geo.location_confidence(F.col("location")).alias("confidence"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
     e, m = F.col("estimate"), F.col("moe")
     return out.withColumns({"moe_pct": F.when(e.isNotNull() & m.isNotNull(), retrieval.stats.moe_percent(e, m)), "shown": retrieval.rendered(e, m), "error": F.when(e.isNull(), NO_DATA)})
 

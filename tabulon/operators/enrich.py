@@ -67,10 +67,13 @@ def concept_errors(label: Column, confidence: Column, status: Column) -> Column:
 def category_by_prefix(rows: DataFrame, key: str, dim: DataFrame, default: str = "uncategorized") -> DataFrame:
     """rows with `category`: of the equal key of dim (key, category, ordinal), else of its first key that begins the row's.
 
-    Prefixes are cut at the lengths that dim has, so both steps are joins on equal values.
+    Prefixes are cut at the lengths that dim has, which are no more than its longest key has characters, so both steps are
+    joins on equal values. Rows without a key get the default, keys of dim that are null or empty count as none, and of
+    equal keys that of the least ordinal counts. Repeated rows are repeated; an empty dim gives the default.
     """
-    lengths = [r[0] for r in dim.select(F.length(key).alias("n")).distinct().orderBy("n").limit(1000).collect()]
-    cuts = F.array_distinct(F.array(*[F.substring(key, 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    dim = dim.filter(F.length(key) > 0)
+    lengths = sorted(r[0] for r in dim.select(F.length(key)).distinct().collect())
+    cuts = F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n))
     heads = rows.select(key).distinct().select(F.col(key).alias("_whole"), F.explode(cuts).alias(key))
     rank = F.struct((F.col("_whole") != F.col(key)).alias("prefix"), "ordinal")
     best = heads.join(dim, key).groupBy("_whole").agg(F.min_by("category", rank).alias("category"))

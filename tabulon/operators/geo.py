@@ -62,10 +62,16 @@ def location_confidence(location: Column) -> Column:
     return F.when(low.isin(*sure), "high").when(low.rlike("springfield|washington|baltimore"), "low").otherwise("medium")
 
 
-def match_places(asked: DataFrame, names: DataFrame, place: str = "place", name: str = "name") -> DataFrame:
+def name_state(name: Column) -> Column:
+    """The state that a name like `Springfield city, Illinois` ends with; null if it ends with none."""
+    return F.when(name.contains(","), state_code(F.substring_index(name, ",", -1)))
+
+
+def match_places(asked: DataFrame, names: DataFrame, place: str = "place", name: str = "name", state: str | None = None) -> DataFrame:
     """Names that match each place by the first rule that has any: whole, before a comma, with a suffix, or containing its base.
 
-    asked may have any size: see lexical.crossed.
+    state: a column of asked; a place of a known state is matched with the names of that state alone, and with names that
+    end with no state. asked may have any size: see lexical.crossed.
     """
     from tabulon.operators.lexical import crossed
 
@@ -75,8 +81,13 @@ def match_places(asked: DataFrame, names: DataFrame, place: str = "place", name:
     for i, suffix in enumerate((" city,", " town,", " village,"), 3):
         rule = rule.when(n.contains(F.concat(p, F.lit(suffix))), i)
     rule = rule.when(n.contains(base), 6)
-    met = crossed(names, asked, rule.isNotNull()).withColumn("rule", rule)
-    return met.withColumn("_best", F.min("rule").over(W.Window.partitionBy(place))).filter("rule = _best").drop("_best")
+    hit = rule.isNotNull()
+    if state:
+        own = name_state(F.col(name))
+        hit &= F.col(state).isNull() | own.isNull() | (own == F.col(state))
+    met = crossed(names, asked, hit).withColumn("rule", rule)
+    best = F.min("rule").over(W.Window.partitionBy(place, *([state] if state else [])))
+    return met.withColumn("_best", best).filter("rule = _best").drop("_best")
 
 
 def levels(spark: SparkSession) -> DataFrame:

@@ -20,7 +20,8 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: str = "42") -> DataFr
 def quota_fill(rows: DataFrame, key: str, family: str, quotas: list[tuple[str, int]], target: int, seed: str = "42") -> DataFrame:
     """Of each listed family as many rows as its quota and the slots left by those before it, then others up to target.
 
-    Slots left are a running sum over the families that have rows, which are few; no row is moved to find it.
+    Slots left are a running sum over the families that have rows, which are few; no row is moved to find it. Rows without
+    a family are of no listed one, so they fill up like others. Rows of one key are in no set order among each other.
     """
     at = W.Window.partitionBy(family).orderBy(seeded_order(F.col(key), seed), key)
     names = [q[0] for q in quotas]
@@ -32,7 +33,7 @@ def quota_fill(rows: DataFrame, key: str, family: str, quotas: list[tuple[str, i
     slots = sizes.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("_take"), F.lit(target) - F.coalesce(run, F.lit(0))))).select(family, "_take")
     first = listed.withColumn("_place", F.row_number().over(at)).join(F.broadcast(slots), family).filter(F.col("_place") <= F.col("_take")).drop("_place", "_take")
     left = max(0, target - (slots.agg(F.sum("_take")).first()[0] or 0))
-    return first.unionByName(seeded_sample(rows.filter(~F.col(family).isin(names)), key, left, seed))
+    return first.unionByName(seeded_sample(rows.filter(~F.coalesce(F.col(family).isin(names), F.lit(False))), key, left, seed))
 
 
 def first_per_prefix(rows: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
@@ -49,9 +50,15 @@ def review_buckets(rows: DataFrame, key: str, confidence: str, cap: int = 50) ->
     return placed.filter("bucket <> 'review'").unionByName(queue)
 
 
-def numbered(rows: DataFrame, key: str, block: int = 10_000) -> DataFrame:
-    """rows with `number` from 0 by a whole-number key: blocks of the key are numbered apart and offset."""
-    dealt = rows.withColumn("_block", F.floor(F.col(key) / block))
+def numbered(rows: DataFrame, key: str, blocks: int = 256) -> DataFrame:
+    """rows with `number` from 0 by a numeric key, nulls first; repeated keys are in no set order among each other.
+
+    Blocks of about equally many rows are numbered apart and offset. Their bounds are quantiles of the key, so there are
+    never more than `blocks` sums to order, whatever the number of rows and the spread of the key.
+    """
+    shares = [i / blocks for i in range(1, blocks)]
+    bounds = rows.agg(F.percentile_approx(key, F.lit(shares), 16 * blocks)).first()[0] or []
+    dealt = rows.withColumn("_block", F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<double>"), lambda b: F.coalesce(b <= F.col(key), F.lit(False)))))
     sums = dealt.groupBy("_block").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.Window.orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(W.Window.partitionBy("_block").orderBy(key))

@@ -44,6 +44,8 @@ def scored_pairs(rows: DataFrame, concepts: DataFrame, score: Column) -> DataFra
 def nearest(rows: DataFrame, queries: DataFrame, score: Column, query: str, id_: str, k: int, threshold: float | None = None) -> DataFrame:
     """query, id, score and rank of the k best rows of each query by score, then id; the threshold applies after the cut to k.
 
+    Pairs without a score (vectors that are null, of length 0 or not finite) are no answers.
+
     Any number of queries: rows and queries are dealt into blocks of about BLOCK_ROWS and BLOCK_QUERIES, each pair of blocks
     keeps the k best of each of its queries, and a window over these merges the blocks.
     """
@@ -53,7 +55,7 @@ def nearest(rows: DataFrame, queries: DataFrame, score: Column, query: str, id_:
     right = queries.withColumn("_queries", F.pmod(F.xxhash64(query), F.lit(query_blocks)).cast("int")).withColumn("_rows", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     # Blocks are few bytes and much work: with a number of partitions given, they aren't coalesced.
     left = left.repartition(min(2 * row_blocks * query_blocks, 4_096), "_rows", "_queries")
-    pairs = left.join(right.hint("shuffle_hash"), ["_rows", "_queries"]).select("_rows", "_queries", query, id_, score.alias("score"))
+    pairs = left.join(right.hint("shuffle_hash"), ["_rows", "_queries"]).select("_rows", "_queries", query, id_, score.alias("score")).filter("score IS NOT NULL AND NOT isnan(score)")
     order = (F.col("score").desc(), F.col(id_))
     # The join has dealt by block, so this cut needs no exchange.
     own = pairs.withColumn("_place", F.row_number().over(W.Window.partitionBy("_rows", "_queries", query).orderBy(*order))).filter(F.col("_place") <= k)

@@ -37,7 +37,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 _P = """e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, (event_id % 11) / 10.0::DOUBLE AS a, (user_id % 11) / 10.0::DOUBLE AS b,
   CASE WHEN user_id % 3 = 0 THEN '' ELSE 'u' || (user_id % 5)::VARCHAR END AS second FROM events),
-p AS (SELECT *, (coalesce(CASE WHEN k % 2 = 0 THEN k / 100.0::DOUBLE END, 0) + coalesce(CASE WHEN event_id % 3 > 0 THEN (event_id % 100) / 100.0::DOUBLE END, 0) + 1 - abs(a - b))
+p AS (SELECT *, (coalesce(CASE WHEN k % 2 = 0 THEN k / 100.0::DOUBLE END, 0) + coalesce(CASE WHEN event_id % 3 > 0 THEN (event_id % 100) / 100.0::DOUBLE END, 0) + (1 - abs(a - b)))
   / ((k % 2 = 0)::INT + (event_id % 3 > 0)::INT + 1) AS score FROM e),
 m AS (SELECT *, CASE WHEN score > 0.8 THEN 'high_agreement_merge' WHEN score > 0.5 THEN 'collaborative_resolution' ELSE 'arbitration_required' END AS method FROM p)"""
 _CONFIDENCE = "CASE WHEN score > 0.8 THEN (a + b) / 2 WHEN score > 0.5 THEN greatest(a, b) * 0.9 ELSE 0.3 END"
@@ -87,7 +87,7 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alternating_reviewer(spark: SparkSession, d: str) -> DataFrame:
-    rows = sample.numbered(table(spark, d, "events").select("event_id"), "event_id", 1000)
+    rows = sample.numbered(table(spark, d, "events").select("event_id"), "event_id")
     return rows.select("event_id", F.when(F.col("number") % 2 == 0, "first").otherwise("second").alias("reviewer"))
 
 

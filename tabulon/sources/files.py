@@ -22,12 +22,16 @@ def read_order() -> Column:
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
-    """key, item, ordinal of JSON files: an object's entries, an array's items (without key), either of them below `variables` if there is such a key."""
-    whole = spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", "$.variables"), F.col("value")).alias("v"))
+    """key, item, ordinal of JSON files: an object's entries, an array's items (without key), either of them below `variables` if there is such a key.
+
+    ordinal is the path and the place in the file. A file is one row, so at most 2 GB.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.coalesce(F.get_json_object("value", "$.variables"), F.col("value")).alias("v"))
     array = F.ltrim("v").startswith("[")
     items = F.transform(F.from_json("v", "array<string>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("item")))
     pairs = F.transform(F.map_entries(F.from_json("v", "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("item")))
-    return whole.select(F.posexplode(F.when(array, items).otherwise(pairs)).alias("ordinal", "e")).select("e.key", "e.item", "ordinal")
+    rows = whole.select("path", F.posexplode(F.when(array, items).otherwise(pairs)).alias("place", "e"))
+    return rows.select("e.key", "e.item", F.struct("path", "place").alias("ordinal"))
 
 
 def variable_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +47,7 @@ def variable_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def enriched_records(spark: SparkSession, path: str) -> DataFrame:
-    """variable_id, record (JSON) of an enriched universe: an array of records, `{"variables": object or array}` or a bare object. Of one id's records the last stays; records without id are left out."""
+    """variable_id, record (JSON) of an enriched universe: an array of records, `{"variables": object or array}` or a bare object. Of one id's records the last stays, by path and then by place in the file; records without id are left out."""
     rows = _entries(spark, path).select(F.coalesce("key", F.get_json_object("item", "$.variable_id")).alias("variable_id"), "item", "ordinal")
     return rows.filter("variable_id IS NOT NULL").groupBy("variable_id").agg(F.max_by("item", "ordinal").alias("record"))
 

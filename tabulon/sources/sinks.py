@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,13 +12,16 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or in local mode a temporary one."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or in local mode, where both are one process, a temporary one that goes with it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/sinks/{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="sinks-")
+    path = tempfile.mkdtemp(prefix="sinks-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def write_phrases(phrases: DataFrame, path: str, phrase: str = "phrase") -> None:
