@@ -22,6 +22,8 @@ BINS, CLOSE = 4096, 1e-4
 GROUP_SHARE = 1 / 64
 #: About so many rows are numbered in one group.
 SLOT_ROWS = 50_000
+#: Points are written with their nodes after every so many levels of the tree; between these their place is a few lookups.
+WRITE_LEVELS = 4
 
 
 def text_axis(value: Column) -> Column:
@@ -87,8 +89,8 @@ def kd_shards(points: DataFrame, axes: list[str], leaves: int | None = None, lea
 
     leaves, or as many as leaf_bytes asks for. A node of k leaves gives floor(k / 2) / k of its bytes to the left. The
     widest axis is that with the largest range, as a share of the whole table's range. Points with equal coordinates are
-    parted by tie (a number below 2**52); points equal in both stay together, as no rule can part them repeatably. Every
-    level is written before the next one reads it. Empty in, empty out.
+    parted by tie (a number below 2**52); points equal in both stay together, as no rule can part them repeatably. The
+    cuts of every level are written, and the placed points after every WRITE_LEVELS levels. Empty in, empty out.
     """
     work = work or Scratch(points.sparkSession)
     ends = [f(a).alias(f"{k}{i}") for i, a in enumerate(axes) for k, f in (("lo", F.min), ("hi", F.max))]
@@ -116,23 +118,27 @@ def kd_shards(points: DataFrame, axes: list[str], leaves: int | None = None, lea
         here = value == F.col("at")
         left = F.col("at").isNull() | (value < F.col("at")) | (here & F.col("at_too")) | (here & ((F.col("tie") < F.col("tie_at")) | ((F.col("tie") == F.col("tie_at")) & F.col("tie_too"))))
         moved = F.when(F.coalesce(left, F.lit(False)), F.col("node")).otherwise(F.col("node") + F.floor(F.col("k") / 2))
-        placed = work.cut(f"placed{level}", _at_nodes(placed, nodes, most).withColumn("node", moved).drop("axis", "at", "at_too", "tie_at", "tie_too", "k"))
+        nodes = work.cut(f"nodes{level}", nodes)
+        placed = _at_nodes(placed, nodes, most).withColumn("node", moved).drop("axis", "at", "at_too", "tie_at", "tie_too", "k")
+        if level % WRITE_LEVELS == WRITE_LEVELS - 1:
+            placed = work.cut(f"placed{level}", placed)
+            if level >= WRITE_LEVELS:
+                work.free(f"placed{level - WRITE_LEVELS}")
         half = F.floor(F.col("k") / 2)
         halves = F.when(F.col("at").isNotNull(), F.array(F.struct(F.col("node").alias("node"), half.alias("k")), F.struct((F.col("node") + half).alias("node"), (F.col("k") - half).alias("k"))))
         sizes = nodes.select(F.explode(F.coalesce(halves, F.array(F.struct(F.col("node").alias("node"), F.col("k").cast("long").alias("k"))))).alias("x")).select("x.*")
-        if level:
-            work.free(f"placed{level - 1}")
     return placed.withColumn("shard", F.col("node").cast("int")).drop("node")
 
 
 def slots(sharded: DataFrame, by: list[str], rows: int) -> DataFrame:
-    """A gapless number from 0 within each shard. Groups of about SLOT_ROWS rows, dealt by a hash, are numbered apart and offset."""
+    """A row for each copy (n) of a row, with a gapless number from 0 within its shard. Groups of about SLOT_ROWS rows, dealt by a hash of by, are numbered apart and offset."""
     groups = 1 << max(8, math.ceil(math.log2(max(1, rows) / SLOT_ROWS)))
     dealt = sharded.withColumn("__tb_group", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int"))
-    sums = dealt.groupBy("shard", "__tb_group").count()
+    sums = dealt.groupBy("shard", "__tb_group").agg(F.sum("n").alias("count"))
     offsets = sums.withColumn("__tb_before", F.coalesce(F.sum("count").over(W.Window.partitionBy("shard").orderBy("__tb_group").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = F.row_number().over(W.Window.partitionBy("shard", "__tb_group").orderBy(*by))
-    return dealt.join(offsets, ["shard", "__tb_group"]).withColumn("slot", F.col("__tb_before") + inside - 1).drop("__tb_group", "__tb_before")
+    upto = F.sum("n").over(W.Window.partitionBy("shard", "__tb_group").orderBy(*by).rowsBetween(W.Window.unboundedPreceding, 0))
+    last = dealt.join(offsets, ["shard", "__tb_group"]).withColumn("__tb_last", F.col("__tb_before") + upto)
+    return last.withColumn("slot", F.explode(F.sequence(F.col("__tb_last") - F.col("n"), F.col("__tb_last") - 1))).drop("__tb_group", "__tb_before", "__tb_last", "n")
 
 
 def shard_documents(docs: DataFrame, leaves: int | None = None, leaf_bytes: int | None = None) -> DataFrame:
@@ -140,8 +146,9 @@ def shard_documents(docs: DataFrame, leaves: int | None = None, leaf_bytes: int
 
     The axes are length in characters, source, language and id. Rows of equal text are one point, at the least of their
     metadata, and stay together, unless they hold more than GROUP_SHARE of a leaf: then near equal sizes ask for parts,
-    dealt by id. Null text is empty; null metadata come first on their axis. Repeated rows are repeated. Columns other
-    than doc_id, text, source and lang are ignored. An empty table gives an empty result.
+    dealt by id and metadata, and rows that are equal in these too by number. Null text is empty; null metadata come first
+    on their axis. Repeated rows are one with a number until they get their slots. Columns other than doc_id, text, source
+    and lang are ignored. An empty table gives an empty result.
     """
     work = Scratch(docs.sparkSession)
     text = F.col("text")
@@ -149,25 +156,31 @@ def shard_documents(docs: DataFrame, leaves: int | None = None, leaf_bytes: int
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), unsigned_crc32(text).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_mark"),
         number_axis(F.char_length(text)).alias("x_length"), text_axis(F.col("source")).alias("x_source"), text_axis(F.col("lang")).alias("x_lang"), number_axis(F.col("doc_id")).alias("x_id"),
     )
-    rows = work.cut("rows", rows)
+    axes = ["x_length", "x_source", "x_lang", "x_id"]
     group = ["text_mark", "text_crc32", "size"]
-    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    rows = work.cut("rows", rows.groupBy("doc_id", *group, *axes).agg(F.count("*").alias("n")))
+    total, count = rows.agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).first()
+    count = count or 0
     limit = max(1, int((leaf_bytes or (total or 0) / (leaves or 1)) * GROUP_SHARE))
-    sums = rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    sums = rows.groupBy(*group).agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
     large = work.cut("large", sums.withColumn("parts", F.ceil(F.col("n") * F.col("size") / limit).cast("int")).filter("parts > 1").select(*group, "parts"))
     dealt = rows.join(F.broadcast(large), group, "left") if large.count() <= BROADCAST_ROWS else skew_join(rows, large, group, "left")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "x_source", "x_lang"), F.col("parts")), F.lit(0)).cast("int")
-    dealt = work.cut("dealt", dealt.withColumn("part", part).drop("parts"))
-    axes = ["x_length", "x_source", "x_lang", "x_id"]
+    # Equal rows are dealt over the parts of their group by number, and over pieces that a task gives slots to.
+    parts = F.coalesce("parts", F.lit(1))
+    pieces = F.greatest(F.least(F.col("n"), parts), F.ceil(F.col("n") / SLOT_ROWS)).cast("long")
+    dealt = dealt.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    part = F.pmod(F.xxhash64("doc_id", "x_source", "x_lang") + F.col("piece"), parts).cast("int")
+    own = F.floor(F.col("n") / F.col("pieces")) + (F.col("piece") < F.col("n") % F.col("pieces")).cast("int")
+    dealt = work.cut("dealt", dealt.withColumn("part", part).withColumn("n", own.cast("long")).drop("parts", "pieces"))
     tie = F.col("text_crc32").cast("double") * F.lit(float(1 << 20)) + F.pmod(F.xxhash64("part", "text_mark"), F.lit(1 << 20)).cast("double")
-    points = dealt.groupBy(*group, "part").agg(F.sum("size").alias("weight"), *[F.min(a).alias(a) for a in axes]).withColumn("tie", tie)
+    points = dealt.groupBy(*group, "part").agg(F.sum(F.col("size") * F.col("n")).alias("weight"), *[F.min(a).alias(a) for a in axes]).withColumn("tie", tie)
     points = work.cut("points", points.withColumnsRenamed({"size": "own_size", "weight": "size"}))
     placed = kd_shards(points, axes, leaves, leaf_bytes, work).select("text_mark", "text_crc32", F.col("own_size").alias("size"), "part", "shard")
     # Parts are bounded shares of a leaf, so no key of this join is hot.
-    sharded = dealt.select("doc_id", *group, "part").join(placed, [*group, "part"])
-    sharded = work.cut("sharded", sharded.select("doc_id", "size", "text_crc32", "shard"))
+    sharded = dealt.select("doc_id", *group, "part", "piece", "n").join(placed, [*group, "part"])
+    sharded = work.cut("sharded", sharded.select("doc_id", "size", "text_crc32", "shard", "piece", "n"))
     work.free("rows", "dealt", "points", "large")
-    return slots(sharded, ["doc_id", "text_crc32", "size"], count)
+    return slots(sharded, ["doc_id", "text_crc32", "size", "piece"], count).drop("piece")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
