@@ -86,7 +86,7 @@ def _train_group(pdf):
     import pandas as pd
     import pyarrow as pa
 
-    pdf = pdf.sort_values(["doc_id"])
+    pdf = pdf.sort_values(["doc_id", "mark"])
     rows: list[np.ndarray] = []
     for _, _, data, offsets in utf8_parts(pa.array(pdf["text"], pa.large_string()), PART_BYTES):
         row, feature = text_features(data, offsets)
@@ -102,18 +102,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     """{features, weights, bias} from labels (doc_id, label) and the texts of docs.
 
     Repeated labels of a document count as their largest; null ids and labels are left out; equal texts count once.
-    Beyond max_rows, a sample by a hash of doc_id is used. Without rows the model says 0.1 for every text.
+    Beyond max_rows labels a sample by a hash of doc_id is used, and beyond max_rows texts (an id may hold many) one by a
+    hash of the text, so no group that trains together grows with the tables. Without rows the model says 0.1 for every text.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     if n > max_rows:
         known = known.filter(hash_share(F.lit("train"), F.col("doc_id")) < max_rows / n)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_rows ids and numbers
-    texts = texts.groupBy(F.md5("text").alias("mark")).agg(F.min(F.struct("doc_id", "label", "text")).alias("x")).select("x.*")
+    n_texts = docs.select("doc_id").join(F.broadcast(known.select("doc_id")), "doc_id").count()
+    if n_texts > max_rows:
+        texts = texts.filter(hash_share(F.lit("text"), F.md5("text")) < max_rows / n_texts)
+    texts = texts.groupBy(F.md5("text").alias("mark")).agg(F.min(F.struct("doc_id", "label", "text")).alias("x")).select("mark", "x.*")
     texts = cut(texts)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-min(n, max_rows) // GROUP_ROWS), -(-size // GROUP_BYTES))
-    parts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("part").applyInPandas(_train_group, "feature long, weight double")
+    size, n_texts = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    groups = max(1, -(-n_texts // GROUP_ROWS), -(-(size or 0) // GROUP_BYTES))
+    parts = texts.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(groups))).groupBy("part").applyInPandas(_train_group, "feature long, weight double")
     mean = parts.groupBy("feature").agg((F.sum("weight") / F.lit(float(groups))).alias("weight")).toPandas()  # at most 2**BITS rows
     bias = mean.loc[mean["feature"] == -1, "weight"]
     mean = mean[(mean["feature"] >= 0) & (mean["weight"].abs() > 1e-6)].sort_values("feature")

@@ -316,3 +316,34 @@ def test_shots_against_plain_loops(spark):
         edges = [*cuts, len(frames)]
         clips = "|".join(f"{a / media.RATE:.2f}-{b / media.RATE:.2f}" for a, b in zip(edges, edges[1:], strict=False))
         assert got[i] == f"frames={len(frames)};shots={len(cuts)};clips={clips}"
+
+
+def test_a_third_of_the_rows_are_equal(spark):
+    """Rows without ids and with one text are dealt over shards by number: sizes stay within 2 %, slots have no gaps."""
+    rows = [(None, "y" * 120, "s")] * 1000 + [(i, f"{i} " + "x" * 117, "s") for i in range(2000)]
+    got = sharding.shard_documents(documents(spark, rows), leaves=8).collect()
+    assert len(got) == 3000
+    sums, places = Counter(), {}
+    for r in got:
+        sums[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    mean = sum(sums.values()) / 8
+    assert len(sums) == 8 and all(abs(s - mean) <= 0.02 * mean for s in sums.values())
+    assert all(sorted(s) == list(range(len(s))) for s in places.values())
+
+
+def test_one_id_with_many_texts_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "GROUP_ROWS", 50)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, label int")
+    docs = spark.createDataFrame([(i, f"word {i} more") for i in range(100)] + [(7, f"text {i} of one id") for i in range(3000)], "doc_id long, text string")
+    sizes = spark.sparkContext.accumulator(0)
+
+    def group(pdf):
+        import pandas as pd
+
+        sizes.add(len(pdf))
+        return pd.DataFrame({"feature": [-1, len(pdf)], "weight": [0.5, 1.0]})
+
+    monkeypatch.setattr(toxicity, "_train_group", group)
+    model = toxicity.train(docs, labels, 200)
+    assert sizes.value <= 260 and max(model["features"]) <= 100  # the features are the groups' sizes
