@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import tokens
-from tabulon.operators import cluster, lexical, vector
+from tabulon.operators import cluster, lexical, textindex, vector
+from tabulon.sources import sinks
 from tabulon.sources.tables import literals, table
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
-
-
-def _met(spark: SparkSession, d: str) -> DataFrame:
-    """The index of the asked tokens alone."""
-    return lexical.postings(table(spark, d, "documents"), "doc_id", F.col("text"), _asked(spark, d))
+def _index(spark: SparkSession, d: str) -> textindex.TextIndex:
+    """The stored index of the documents; the first query of a session builds it."""
+    return textindex.index_of(table(spark, d, "documents"), "doc_id", "text", lambda: sinks.scratch(spark))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -24,22 +21,22 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inverted_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return textindex.token_stats(_index(spark, d))
 
 
 def keyword_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.keyword_search(_asked(spark, d), _met(spark, d), "doc_id", 10)
-    return found.select("query_id", "doc_id", "matches", F.round("confidence", 6).alias("confidence"), "rank")
+    found = textindex.overlap_indexed(_index(spark, d), _asked(spark, d), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), "matches", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 def keyword_search_domain_boost(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "labels").select("doc_id", (F.col("quality") * 0.5).alias("weight"))
-    found = lexical.keyword_search(_asked(spark, d), _met(spark, d), "doc_id", 10, weights)
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    found = textindex.overlap_indexed(_index(spark, d), _asked(spark, d), 10, weights)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def suggestions_low_conf(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.keyword_search(_asked(spark, d), _met(spark, d), "doc_id", 5)
+    found = textindex.overlap_indexed(_index(spark, d), _asked(spark, d), 5).withColumnRenamed("id", "doc_id")
     return lexical.suggestions(found, table(spark, d, "documents"), "doc_id", "source", 0.9)
 
 
@@ -50,8 +47,29 @@ def synonym_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    lengths = lexical.lengths(table(spark, d, "documents"), "doc_id", F.col("text"))
-    return lexical.bm25(_asked(spark, d), _met(spark, d), "doc_id", 5, lengths).select("query_id", "doc_id", "score", "rank")
+    return textindex.bm25_indexed(_index(spark, d), _asked(spark, d), 5).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
+def index_append(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over an index that was built in three loads, the second with documents that are there already, and over its merged version.
+
+    All documents are in one of the loads, so both versions answer like one build over the whole table.
+    """
+    docs = table(spark, d, "documents")
+    own = lambda *rest: docs.filter((F.col("doc_id") % 3).isin(*rest))
+    text = F.col("text")
+    first = textindex.build_index(own(0), "doc_id", text, sinks.scratch(spark))
+    third = textindex.append_index(textindex.append_index(first, own(0, 1), "doc_id", text), own(2), "doc_id", text)
+    merged = textindex.merge_index(third)
+    found = lambda index: textindex.bm25_indexed(index, _asked(spark, d), 5).select(F.lit(index.version).alias("version"), "query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return found(textindex.open_index(spark, third.path, third.version)).unionByName(found(textindex.open_index(spark, merged.path)))
+
+
+def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold the second to fifth word of a benchmark item next to each other."""
+    phrases = _asked(spark, d).select("query_id", F.slice("words", 2, 4).alias("words"))
+    found = textindex.phrase_search(_index(spark, d), table(spark, d, "documents"), "doc_id", F.col("text"), phrases)
+    return found.select("query_id", F.col("id").alias("doc_id"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +141,7 @@ def kmeans_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.first("silhouette"), 4).alias("silhouette"))
 
 
-QUERIES = {f.__name__: f for f in (inverted_index_stats, keyword_search_topk, keyword_search_domain_boost, suggestions_low_conf, synonym_expansion, bm25_topk, vector_topk_cosine, vector_topk_l2_threshold, concept_links_normalised, category_weights_linear, category_weights_log, max_over_concepts, similarity_summary, pairwise_agreement, weight_validate_top4, cluster_profile, kmeans_silhouette)}
+QUERIES = {f.__name__: f for f in (inverted_index_stats, keyword_search_topk, keyword_search_domain_boost, suggestions_low_conf, synonym_expansion, bm25_topk, index_append, phrase_matches, vector_topk_cosine, vector_topk_l2_threshold, concept_links_normalised, category_weights_linear, category_weights_log, max_over_concepts, similarity_summary, pairwise_agreement, weight_validate_top4, cluster_profile, kmeans_silhouette)}
 
 _TOK = "regexp_extract_all(lower({}), '[A-Za-z0-9]+')"
 _P = f"toks AS (SELECT doc_id, unnest({_TOK.format('text')}) AS token FROM documents), p AS (SELECT token, doc_id, count(*) AS tf FROM toks GROUP BY 1, 2)"
@@ -141,6 +159,11 @@ ORACLE_SQL = {
     "bm25_topk": f"""WITH {_P}, q AS (SELECT item_id AS query_id, list_distinct({_TOK.format('text')}) AS words FROM benchmark), a AS (SELECT query_id, unnest(words) AS token FROM q), dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), w AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
 x AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS met FROM a JOIN p USING (token) JOIN df USING (token) JOIN dl USING (doc_id), w GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x JOIN q USING (query_id) WHERE met = len(words)) WHERE rank <= 5""",
+    "index_append": f"""WITH {_P}, q AS (SELECT item_id AS query_id, list_distinct({_TOK.format('text')}) AS words FROM benchmark), a AS (SELECT query_id, unnest(words) AS token FROM q), dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), w AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+x AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS met FROM a JOIN p USING (token) JOIN df USING (token) JOIN dl USING (doc_id), w GROUP BY 1, 2)
+SELECT version, query_id, doc_id, score, rank FROM (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x JOIN q USING (query_id) WHERE met = len(words)), (VALUES (3), (4)) v(version) WHERE rank <= 5""",
+    "phrase_matches": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOK.format('text')}, ' ') || ' ' AS t FROM documents), q AS (SELECT item_id AS query_id, array_to_string({_TOK.format('text')}[2:5], ' ') AS p FROM benchmark)
+SELECT DISTINCT query_id, doc_id FROM q JOIN d ON contains(t, ' ' || p || ' ') WHERE p <> ''""",
     "vector_topk_cosine": f"WITH {_D}, x AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score FROM e, e q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 5",
     "vector_topk_l2_threshold": f"WITH {_D}, x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_distance(e.v, q.v) ** 2 AS score FROM e, e q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= 5 AND score >= 0.3",
     "concept_links_normalised": f"WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, concept) AS rank FROM s WHERE score >= 0.2) SELECT vec_id, concept, round(score, 6) AS similarity, round(score / sum(score) OVER (PARTITION BY vec_id), 6) AS weight, rank FROM k WHERE rank <= 5",
