@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.operators import answer as A
-from tabulon.operators import lexical, vector
+from tabulon.operators import fulltext, lexical, vector
 from tabulon.plans.catalog import _V, variables
 from tabulon.plans.estimates import nation_orders
 from tabulon.sources.tables import literals, table
@@ -57,6 +57,34 @@ def bm25_columns(spark: SparkSession, d: str) -> DataFrame:
     return A.search_columns(terms, docs, "ordinal", FIELDS, 3).select("query_id", "ordinal", "score", "rank")
 
 
+#: Query strings of every form; the clauses that they stand for: (query, alternative, part, excluded, clause, field, words, prefix).
+STRINGS = [
+    (1, "large widget"), (2, "large OR rod"), (3, "steel NOT widget"), (4, '"economy"'), (5, "label:economy bolt"), (6, "eco* anv*"), (7, '"blue anvil" OR "rod"'), (8, "concept : blue NOT anvil NOT rod"),
+    (9, "owner-occupied"), (10, "bachelor's"), (11, "65+"), (12, 'an "open quote'), (13, "rate: x"), (14, ""), (15, "price AND size NOT widget bolt"), (16, '"blue anv"*'), (17, "OR blue"), (18, None), (19, "unheard OR anvil AND promo"),
+]
+CLAUSES = [
+    (1, 0, 0, False, 0, None, "large", False), (1, 0, 0, False, 1, None, "widget", False), (2, 0, 0, False, 0, None, "large", False), (2, 1, 1, False, 2, None, "rod", False),
+    (3, 0, 0, False, 0, None, "steel", False), (3, 0, 1, True, 2, None, "widget", False), (4, 0, 0, False, 0, None, "economy", False), (5, 0, 0, False, 0, "label", "economy", False), (5, 0, 0, False, 1, None, "bolt", False),
+    (6, 0, 0, False, 0, None, "eco", True), (6, 0, 0, False, 1, None, "anv", True), (7, 0, 0, False, 0, None, "blue anvil", False), (7, 1, 1, False, 2, None, "rod", False),
+    (8, 0, 0, False, 0, "concept", "blue", False), (8, 0, 1, True, 2, None, "anvil", False), (8, 0, 2, True, 4, None, "rod", False),
+    (15, 0, 0, False, 0, None, "price", False), (15, 0, 1, False, 2, None, "size", False), (15, 0, 2, True, 4, None, "widget", False), (15, 0, 2, True, 5, None, "bolt", False),
+    (16, 0, 0, False, 0, None, "blue anv", True), (19, 0, 0, False, 0, None, "unheard", False), (19, 1, 1, False, 2, None, "anvil", False), (19, 1, 2, False, 4, None, "promo", False),
+]
+
+
+def _catalog_columns(spark: SparkSession, d: str) -> DataFrame:
+    more = table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("size"), F.concat(F.lit("price "), F.floor("p_retailprice").cast("string")).alias("price"), F.col("p_partkey").cast("string").alias("number"))
+    return variables(spark, d).withColumnRenamed("group", "grp").withColumn("family", F.substring("variable_id", 1, 3)).join(more, "ordinal")
+
+
+def fts_query(spark: SparkSession, d: str) -> DataFrame:
+    """Query strings of every form, and every name of a part as a phrase with its type as a prefix, over eight columns of every part."""
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_type").alias("t"))
+    asked = names.select((F.col("k") + 100).cast("long").alias("query_id"), F.concat(F.lit('"'), "p_name", F.lit('" label:'), F.substring("t", 1, 3), F.lit("*")).alias("q"))
+    asked = asked.unionByName(literals(spark, "query_id long, q string", STRINGS).drop("ordinal"))
+    return fulltext.match_search(asked, _catalog_columns(spark, d), "ordinal", FIELDS, 3).select("query_id", "ordinal", "score", "rank")
+
+
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
     """level, name, code, estimate, moe of nations and of all together, for two variables."""
     rows = nation_orders(spark, d).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -111,7 +139,7 @@ def semantic_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return A.cached_answers(queries, rows, score, "query_id", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (resolver_cascade_parts, keyword_search_direct, bm25_columns, answer_path, compare_matrix, semantic_cache, semantic_cache_hits)}
+QUERIES = {f.__name__: f for f in (resolver_cascade_parts, keyword_search_direct, bm25_columns, fts_query, answer_path, compare_matrix, semantic_cache, semantic_cache_hits)}
 
 _sql = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 _values = lambda rows: ", ".join(f"({', '.join(map(_sql, r))})" for r in rows)
@@ -143,6 +171,18 @@ t AS (SELECT ordinal, field AS f, unnest({_tok.format('body')}) AS token FROM c)
 m AS (SELECT token, coalesce(field, '') AS want, ordinal, count(*) AS tf FROM t JOIN (SELECT DISTINCT token, field FROM q) USING (token) WHERE field IS NULL OR field = f GROUP BY 1, 2, 3), df AS (SELECT token, want, count(*) AS df FROM m GROUP BY 1, 2),
 n AS (SELECT query_id, count(*) AS needed FROM q GROUP BY 1), x AS (SELECT query_id, ordinal, {_score} AS score, count(*) AS met FROM (SELECT query_id, token, coalesce(field, '') AS want FROM q) JOIN m USING (token, want) JOIN df USING (token, want) JOIN dl USING (ordinal), w GROUP BY 1, 2)
 SELECT query_id, ordinal, score, rank FROM (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM x JOIN n USING (query_id) WHERE met = needed) WHERE rank <= 3""",
+    "fts_query": f"""WITH {_V}, lit(query_id, alternative, part, excluded, clause, field, words, prefix) AS (VALUES {_values(CLAUSES)}),
+nm AS (SELECT p_name, min(p_partkey) + 100 AS query_id, lower(substr(min(p_type), 1, 3)) AS t FROM part GROUP BY p_name),
+q AS (SELECT * FROM lit UNION ALL SELECT query_id, 0, 0, FALSE, 0, NULL, p_name, FALSE FROM nm UNION ALL SELECT query_id, 0, 0, FALSE, 1, 'label', t, TRUE FROM nm),
+c AS (SELECT ordinal, unnest([{{'field': 'variable_id', 'body': variable_id}}, {{'field': 'label', 'body': label}}, {{'field': 'concept', 'body': concept}}, {{'field': 'grp', 'body': "group"}}, {{'field': 'size', 'body': 'size ' || p_size}}, {{'field': 'price', 'body': 'price ' || floor(p_retailprice)::BIGINT}}, {{'field': 'family', 'body': substr(variable_id, 1, 3)}}, {{'field': 'number', 'body': p_partkey::VARCHAR}}], recursive := true) FROM v JOIN part ON p_partkey = ordinal),
+g AS (SELECT ordinal, field AS f, {_tok.format('body')} AS w FROM c), dl AS (SELECT ordinal, sum(len(w)) AS dl FROM g GROUP BY 1 HAVING sum(len(w)) > 0), w AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+o AS (SELECT q.query_id, clause, alternative, part, excluded, ordinal, sum(len(list_filter(range(1, len(g.w) - len(string_split(words, ' ')) + 2), lambda i: CASE WHEN prefix THEN starts_with(array_to_string(g.w[i:i + len(string_split(words, ' ')) - 1], ' '), words) ELSE array_to_string(g.w[i:i + len(string_split(words, ' ')) - 1], ' ') = words END))) AS tf
+  FROM q JOIN g ON field IS NULL OR field = f GROUP BY ALL HAVING tf > 0),
+n AS (SELECT query_id, alternative, part, excluded, count(*) AS needed FROM q GROUP BY ALL), h AS (SELECT query_id, alternative, part, excluded, ordinal, count(*) AS met FROM o GROUP BY ALL),
+pt AS (SELECT h.query_id, h.alternative, h.excluded, ordinal FROM h JOIN n ON h.query_id = n.query_id AND h.part = n.part AND met = needed), pos AS (SELECT query_id, alternative, count(*) AS parts FROM n WHERE NOT excluded GROUP BY ALL),
+mt AS (SELECT DISTINCT query_id, ordinal FROM (SELECT query_id, alternative, ordinal, count(*) FILTER (NOT excluded) AS met, bool_or(excluded) AS gone FROM pt GROUP BY ALL) JOIN pos USING (query_id, alternative) WHERE met = parts AND NOT gone),
+df AS (SELECT query_id, clause, count(*) AS df FROM o WHERE NOT excluded GROUP BY ALL), x AS (SELECT query_id, ordinal, {_score} AS score FROM o JOIN mt USING (query_id, ordinal) JOIN df USING (query_id, clause) JOIN dl USING (ordinal), w WHERE NOT excluded GROUP BY ALL)
+SELECT query_id, ordinal, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM x) WHERE rank <= 3""",
     "answer_path": f"""WITH {_est}, pl(location) AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) || ' town' END FROM nation UNION ALL VALUES ('USA'), (' Atlantis'), ('Maryland')),
 va(variable, code) AS (VALUES ('order value', 'V_TOTAL'), ('Account balance', 'V_BALANCE'), ('shoe size', 'shoe size')),
 a AS (SELECT location || '/' || variable AS request_id, code, CASE WHEN location = 'USA' THEN 'us' WHEN location = 'Maryland' THEN 'state' ELSE 'place' END AS geography, CASE WHEN location IN ('USA', 'Maryland') THEN NULL WHEN contains(location, ' town') THEN location ELSE trim(location) || ' city' END AS place FROM pl, va),
