@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tabulon.operators.lexical import SMALL_DIM, top
+from tabulon.operators.lexical import crossed, top
 
 
 #: Rows in a block and queries in a block of a search.
@@ -29,16 +29,9 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def small(side: DataFrame) -> DataFrame:
-    """side as a broadcast, after its size was checked."""
-    if side.limit(SMALL_DIM + 1).count() > SMALL_DIM:
-        raise ValueError(f"more than {SMALL_DIM} rows on the side of a similarity join that is broadcast")
-    return F.broadcast(side)
-
-
 def scored_pairs(rows: DataFrame, concepts: DataFrame, score: Column) -> DataFrame:
-    """rows crossed with a small set of concepts or queries, and their score."""
-    return rows.crossJoin(small(concepts)).withColumn("score", score)
+    """Each row with each concept, and their score. Concepts may have any number: few are broadcast, more are dealt into blocks (see lexical.crossed)."""
+    return crossed(rows, concepts, F.lit(True)).withColumn("score", score)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, score: Column, query: str, id_: str, k: int, threshold: float | None = None) -> DataFrame:

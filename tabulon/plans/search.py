@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import tokens
-from tabulon.operators import cluster, lexical, textindex, vector
+from tabulon.operators import cluster, lexical, nearest, textindex, vector
 from tabulon.sources import sinks
 from tabulon.sources.tables import literals, table
 
@@ -77,13 +77,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    return vector.nearest(rows, _queries(spark, d), vector.cosine(F.col("embedding"), F.col("q")), "query_id", "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    near = nearest.nearest_vectors(table(spark, d, "embeddings"), _queries(spark, d), "vec_id", "embedding", "query_id", "q", 5)
+    return near.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_topk_l2_threshold(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    near = vector.nearest(rows, _queries(spark, d), 1 - vector.squared_l2(F.col("embedding"), F.col("q")), "query_id", "vec_id", 5, 0.3)
+    near = nearest.nearest_vectors(table(spark, d, "embeddings"), _queries(spark, d), "vec_id", "embedding", "query_id", "q", 5, "l2", 0.3)
     return near.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
