@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tabulon.functions.stats import moe_ratio_band, spatial_category
+from tabulon.operators.patterns import contained
 from tabulon.sources.tables import literals
 
 # States with their abbreviations, city aliases, levels from coarse to fine.
@@ -71,21 +72,20 @@ def match_places(asked: DataFrame, names: DataFrame, place: str = "place", name:
     """Names that match each place by the first rule that has any: whole, before a comma, with a suffix, or containing its base.
 
     state: a column of asked; a place of a known state is matched with the names of that state alone, and with names that
-    end with no state. asked may have any size: see lexical.crossed.
+    end with no state. Both sides may have any size.
     """
-    from tabulon.operators.lexical import crossed
-
     p, n = F.lower(place), F.lower(name)
     base = F.regexp_replace(p, " (city|town|village)$", "")
     rule = F.when(n == p, 1).when(n.startswith(F.concat(p, F.lit(","))), 2)
     for i, suffix in enumerate((" city,", " town,", " village,"), 3):
         rule = rule.when(n.contains(F.concat(p, F.lit(suffix))), i)
     rule = rule.when(n.contains(base), 6)
-    hit = rule.isNotNull()
+    # Every rule asks for the base, so names and places meet where the name contains it (see patterns).
+    low, bases = names.withColumn("_n", n), asked.withColumn("_b", base)
+    met = low.join(contained(low, "_n", bases, "_b"), "_n").join(bases, "_b").withColumn("rule", rule).filter("rule IS NOT NULL").drop("_n", "_b")
     if state:
         own = name_state(F.col(name))
-        hit &= F.col(state).isNull() | own.isNull() | (own == F.col(state))
-    met = crossed(names, asked, hit).withColumn("rule", rule)
+        met = met.filter(F.col(state).isNull() | own.isNull() | (own == F.col(state)))
     best = F.min("rule").over(W.Window.partitionBy(place, *([state] if state else [])))
     return met.withColumn("_best", best).filter("rule = _best").drop("_best")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tabulon.functions.text import tokens
+from tabulon.operators.patterns import contained
 
 #: A query dimension of at most so many rows is broadcast; a larger one is dealt into blocks of about so many.
 SMALL_DIM = 10_000
@@ -104,14 +105,17 @@ def crossed(rows: DataFrame, dim: DataFrame, hit: Column) -> DataFrame:
 def first_contained(queries: DataFrame, dim: DataFrame, text: str, key: str, both_ways: bool = True, whole_words: bool = False) -> DataFrame:
     """query_id with the code of the first dim row (by ordinal) whose key is a substring of the text, or the reverse.
 
-    dim may have any size: see crossed. whole_words asks for matches at word boundaries.
+    Both sides may have any size: distinct texts and keys meet by anchors (see patterns). whole_words asks for matches at
+    word boundaries. Null texts and keys match nothing; of equal keys the first by ordinal counts.
     """
-    t, k = F.col(text), F.col(key)
-    if whole_words:
-        t, k = F.concat(F.lit(" "), t, F.lit(" ")), F.concat(F.lit(" "), k, F.lit(" "))
-    hit = t.contains(k) | (k.contains(t) if both_ways else F.lit(False))
-    met = crossed(queries.select("query_id", text), dim.select(key, "code", "ordinal"), hit).groupBy("query_id").agg(F.min_by("code", "ordinal").alias("code"), F.min_by(key, "ordinal").alias("via"))
-    return met
+    edge = F.lit(" ") if whole_words else F.lit("")
+    asked = queries.select("query_id", F.concat(edge, F.col(text), edge).alias("_t"))
+    keys = dim.filter(F.col(key).isNotNull()).groupBy(F.concat(edge, F.col(key), edge).alias("_k")).agg(F.min(F.struct("ordinal", "code", F.col(key).alias("via"))).alias("first"))
+    met = contained(asked, "_t", keys, "_k")
+    if both_ways:
+        met = met.unionByName(contained(keys, "_k", asked, "_t")).distinct()
+    best = met.join(keys, "_k").groupBy("_t").agg(F.min("first").alias("first"))
+    return asked.join(best, "_t").groupBy("query_id").agg(F.min("first").alias("first")).select("query_id", "first.code", "first.via")
 
 
 def resolve(queries: DataFrame, core: DataFrame, index: DataFrame, bm25_top: DataFrame, code_pattern: str, fuzzy: DataFrame, keywords: DataFrame, whole_words: bool = True) -> DataFrame:
@@ -136,31 +140,43 @@ def resolve(queries: DataFrame, core: DataFrame, index: DataFrame, bm25_top: Dat
     return out.select("query_id", F.coalesce(*[c for _, c in stages]).alias("code"), stage.alias("stage"))
 
 
+def concept_keywords(concepts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """concept_id, keyword, place of concepts (concept_id, concept, definition): what the scorer looks for.
+
+    dictionary (key, keywords, ordinal). The keywords of the key that the concept, in lower case and without blanks, is; if
+    it is none, those of all keys that it contains, in their order; then the words of the definition. Repeats stay. Concepts
+    of one id are taken apart by their text; null concepts match no key, null definitions have no words.
+    """
+    asked = concepts.select("concept_id", F.replace(F.lower("concept"), F.lit(" "), F.lit("")).alias("_c"), F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("definition", F.lit(""))), r"\s+", " ")), " ").alias("_words"))
+    keys = dictionary.select(F.col("key").alias("_k"), "keywords", "ordinal")
+    exact = asked.join(keys, F.col("_c") == F.col("_k")).select("concept_id", "_c", "keywords", "ordinal")
+    other = asked.join(exact.select("_c").distinct(), "_c", "left_anti")
+    partial = other.join(contained(other, "_c", keys, "_k"), "_c").join(keys, "_k").select("concept_id", "_c", "keywords", "ordinal")
+    named = exact.unionByName(partial).distinct().select("concept_id", "_c", "ordinal", F.posexplode("keywords").alias("at", "keyword"))
+    words = asked.select("concept_id", "_c", F.lit(None).cast("int").alias("ordinal"), F.posexplode(F.filter("_words", lambda w: w != "")).alias("at", "keyword"))
+    order = W.Window.partitionBy("concept_id", "_c").orderBy(F.col("ordinal").asc_nulls_last(), "at")
+    return named.unionByName(words).withColumn("place", F.row_number().over(order)).select("concept_id", "keyword", "place")
+
+
 def candidate_scores(concepts: DataFrame, variables: DataFrame, k: int = 15) -> DataFrame:
     """concept_id, variable_id, score, rank: variables by keyword hits in label (3), concept (2) and id (4, 25 for long ids).
 
     concepts (concept_id, keyword) rows, repeats count; variables (variable_id, label, concept). Base tables gain 10, their
-    first two variables 20 more, those of the poverty table 30 more. Keywords are grouped per concept; more than SMALL_DIM
-    of them are dealt into groups of about so many, whose hits are summed.
+    first two variables 20 more, those of the poverty table 30 more. Texts and keywords meet by anchors (see patterns), so
+    neither side has a bound. Keywords of two characters or fewer and null ones count for nothing; a repeated variable is
+    ranked again.
     """
-    words = concepts.filter(F.length("keyword") > 2)
-    blocks = max(1, -(-words.count() // SMALL_DIM))
-    # A repeated keyword counts again, so repeats are dealt apart.
-    again = F.row_number().over(W.Window.partitionBy("concept_id", "keyword").orderBy(F.lit(0)))
-    words = words.withColumn("_block", F.pmod(F.xxhash64("concept_id", "keyword", again), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0))
-    grouped = words.groupBy("concept_id", "_block").agg(F.collect_list("keyword").alias("words"))
-    v = variables.select("variable_id", F.lower(F.coalesce("label", F.lit(""))).alias("l"), F.lower(F.coalesce("concept", F.lit(""))).alias("c"))
-    n = lambda b: b.cast("int")
-    hit = lambda w: n(F.col("l").contains(F.lower(w))) * 3 + n(F.col("c").contains(F.lower(w))) * 2 + n(F.lower("variable_id").contains(F.lower(w))) * 4 + n(F.col("variable_id").contains(F.upper(w)) & (F.length(w) >= 5)) * 25
-    summed = F.aggregate("words", F.lit(0), lambda a, w: a + hit(w))
-    if blocks == 1:
-        scored = v.crossJoin(F.broadcast(grouped)).withColumn("s", summed).filter("s > 0")
-    else:
-        # Equal variables are one row with their number, so that each is ranked again at the end.
-        v = v.groupBy("variable_id", "l", "c").agg(F.count("*").alias("_copies")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        parts = v.join(grouped.hint("shuffle_hash"), "_block").withColumn("s", summed).filter("s > 0")
-        scored = parts.groupBy("concept_id", "variable_id", "l", "c", "_copies").agg(F.sum("s").cast("int").alias("s"))
-        scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    words = concepts.filter(F.length("keyword") > 2).groupBy("concept_id", "keyword").agg(F.count("*").alias("_times"))
+    words = words.select("concept_id", "_times", F.lower("keyword").alias("_low"), F.when(F.length("keyword") >= 5, F.upper("keyword")).alias("_up"))
+    v = variables.groupBy("variable_id", F.lower(F.coalesce("label", F.lit(""))).alias("l"), F.lower(F.coalesce("concept", F.lit(""))).alias("c")).agg(F.count("*").alias("_copies"))
+    # A variable's texts with what a hit in them counts: label, concept, id; long keywords again in the id as it is written.
+    fields = F.array(*[F.struct(c.alias("_t"), F.lit(gain).alias("_gain")) for c, gain in ((F.col("l"), 3), (F.col("c"), 2), (F.lower("variable_id"), 4))])
+    own = v.select("variable_id", "l", "c", F.explode(fields).alias("f")).select("variable_id", "l", "c", "f.*")
+    key = ["variable_id", "l", "c"]
+    small = own.join(contained(own, "_t", words, "_low"), "_t").join(words, "_low").select("concept_id", *key, (F.col("_gain") * F.col("_times")).alias("s"))
+    ids = v.select(*key).join(contained(v, "variable_id", words, "_up"), "variable_id").join(words, "_up").select("concept_id", *key, (25 * F.col("_times")).alias("s"))
+    scored = small.unionByName(ids).groupBy("concept_id", *key).agg(F.sum("s").cast("int").alias("s")).join(v, key)
+    scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     parts = F.split("variable_id", "_")
     first = F.replace(parts[1], F.lit("E"), F.lit("")).isin("001", "002")
     base = (F.size(parts) == 2) & parts[0].rlike("[0-9]$")

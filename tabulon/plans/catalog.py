@@ -119,6 +119,17 @@ def candidate_scorer_all(spark: SparkSession, d: str) -> DataFrame:
     return lexical.candidate_scores(literals(spark, "concept_id string, keyword string", [("Steel", w) for w in STEEL]), variables(spark, d))
 
 
+#: Keys of part names, some within others.
+DICTIONARY = [("blueanvil", ["B1", "blue anvil"]), ("anvil", ["B2", "anvil"]), ("blue", ["B3"]), ("steel", ["B4", "steel", "iron"]), ("steelbolt", ["B5"])]
+
+
+def concept_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The keywords of every part's name, with its type as the definition."""
+    concepts = table(spark, d, "part").select(F.col("p_partkey").alias("concept_id"), F.initcap("p_name").alias("concept"), F.col("p_type").alias("definition"))
+    found = lexical.concept_keywords(concepts, literals(spark, "key string, keywords array<string>", DICTIONARY))
+    return found.select("concept_id", "keyword", "place")
+
+
 def catalog_diff(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     old = p.filter(F.col("p_partkey") % 10 != 1).select("p_partkey", F.col("p_type").alias("label"))
@@ -142,7 +153,7 @@ def fuzzy_contains_first(spark: SparkSession, d: str) -> DataFrame:
     return lexical.first_contained(queries, dim, "q", "key").select("query_id", "code", "via")
 
 
-QUERIES = {f.__name__: f for f in (catalog_measure_type, catalog_keywords, catalog_relevance_score, useful_filter, catalog_relevance_score_all, useful_filter_all, top_concepts, build_metadata, table_routing, canonical_keys, candidate_scorer, candidate_scorer_all, catalog_diff, resolver_cascade, fuzzy_contains_first)}
+QUERIES = {f.__name__: f for f in (catalog_measure_type, catalog_keywords, catalog_relevance_score, useful_filter, catalog_relevance_score_all, useful_filter_all, top_concepts, build_metadata, table_routing, canonical_keys, candidate_scorer, candidate_scorer_all, concept_keywords, catalog_diff, resolver_cascade, fuzzy_contains_first)}
 _BOTH = f"WITH {_V}, {_L}, b AS (SELECT label, concept FROM v UNION SELECT label, concept FROM w)"
 _HAS = lambda w: f"list_contains(k, '{w}')"
 _ALIAS = " || ".join(f"(CASE WHEN {_HAS(k)} THEN [{', '.join(repr(x) for x in v)}] ELSE [] END)" for k, v in C.ALIASES.items())
@@ -168,3 +179,8 @@ _HITS = " + ".join(f"3 * contains(lower(label), lower('{w}'))::INT + 2 * contain
 ORACLE_SQL["candidate_scorer_all"] = f"""WITH {_V}, h AS (SELECT variable_id, split_part(variable_id, '_', 1) AS t, split_part(variable_id, '_', 2) IN ('001', '002') AS f, {_HITS} AS s FROM v),
 x AS (SELECT variable_id, s + 10 + CASE WHEN f THEN 20 ELSE 0 END + CASE WHEN f AND t = 'B17001' THEN 30 ELSE 0 END AS score FROM h WHERE s > 0)
 SELECT 'Steel' AS concept_id, * FROM (SELECT variable_id, score, row_number() OVER (ORDER BY score DESC, variable_id) AS rank FROM x) WHERE rank <= 15"""
+ORACLE_SQL["concept_keywords"] = f"""WITH k(key, keywords, ordinal) AS (VALUES {', '.join(f"('{k}', {v}, {i})" for i, (k, v) in enumerate(DICTIONARY))}),
+c AS (SELECT p_partkey AS concept_id, replace(lower(p_name), ' ', '') AS c, string_split(lower(p_type), ' ') AS w FROM part),
+e AS (SELECT concept_id, keywords, ordinal FROM c JOIN k ON c = key), n AS (SELECT * FROM e UNION ALL SELECT concept_id, keywords, ordinal FROM c JOIN k ON contains(c, key) WHERE concept_id NOT IN (SELECT concept_id FROM e)),
+u AS (SELECT concept_id, ordinal, unnest(keywords) AS keyword, unnest(range(len(keywords))) AS at FROM n UNION ALL SELECT concept_id, 99, unnest(w), unnest(range(len(w))) FROM c)
+SELECT concept_id, keyword, row_number() OVER (PARTITION BY concept_id ORDER BY ordinal, at) AS place FROM u"""

@@ -40,7 +40,7 @@ def test_links(spark):
 
 
 def test_nearest_of_many_queries(spark):
-    n = vector.SMALL_DIM + 300
+    n = lexical.SMALL_DIM + 300
     rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v")).filter("vec_id < 3 or vec_id >= 2500")
     queries = spark.range(n).select(F.col("id").alias("query_id"), F.array((F.col("id") % 2).cast("double")).alias("q"))
     got = vector.nearest(rows, queries, 1 - vector.squared_l2(F.col("v"), F.col("q")), "query_id", "vec_id", 2, 0.5)
