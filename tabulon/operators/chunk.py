@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATE = "struct<now:string,out:array<string>>"
+def pack(parts: list[str], most: int, overlap: int, glue: str) -> list[str]:
+    """Parts joined by glue into chunks of about `most` characters; each begins with the last `overlap` characters of the one before it."""
+    now, out = "", []
+    for part in parts:
+        if now and len(now) + len(part) > most:
+            out.append(now)
+            now = (now[-overlap:] if overlap else "") + glue + part
+        else:
+            now = now + glue + part if now else part
+    return [*out, now] if now else out
+
+
+def pack_sentences(parts: list[str], target: int, most: int, overlap: int, words: int) -> list[str]:
+    """Sentences packed towards `target` characters with an overlap of characters; a sentence beyond `most` is cut at words, each piece beginning with the last `words` words of the one before it."""
+    fine: list[str] = []
+    for part in parts:
+        if len(part) <= most:
+            fine.append(part)
+            continue
+        own: list[str] = []
+        size = 0
+        for word in part.split(" "):
+            if own and size + 1 + len(word) > most:
+                fine.append(" ".join(own))
+                own = own[-words:] if words else []
+                size = len(" ".join(own))
+            size += len(word) + (1 if own else 0)
+            own.append(word)
+        fine.append(" ".join(own))
+    return pack(fine, target, overlap, " ")
+
+
+def _packer(parts: Column, fold) -> Column:
+    """A fold over each row's parts, in Arrow batches; null parts give null."""
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else fold(list(r)) for r in rows], dtype=object)
+
+    return run(parts)
 
 
 def packed(parts: Column, most: int, overlap: int, glue: str) -> Column:
-    """Parts joined by glue into chunks of at most about `most` characters; each begins with the last `overlap` characters of the one before it."""
-    begin = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out")).cast(STATE)
+    """The chunks of each row's parts, as pack makes them: a chunk depends on all before it, so a text is folded in one pass, linear in its length."""
+    return _packer(parts, partial(pack, most=most, overlap=overlap, glue=glue))
 
-    def step(s: Column, p: Column) -> Column:
-        full = (F.length(s["now"]) + F.length(p) > most) & (F.length(s["now"]) > 0)
-        carried = F.concat(F.substring(s["now"], F.greatest(F.lit(1), F.length(s["now"]) - overlap + 1), F.lit(overlap)), F.lit(glue), p)
-        joined = F.when(F.length(s["now"]) == 0, p).otherwise(F.concat(s["now"], F.lit(glue), p))
-        return F.struct(F.when(full, carried).otherwise(joined).alias("now"), F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]).alias("out")).cast(STATE)
 
-    return F.aggregate(parts, begin, step, lambda s: F.when(F.length(s["now"]) > 0, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]))
+def packed_sentences(parts: Column, target: int = 800, most: int = 1200, overlap: int = 200, words: int = 20) -> Column:
+    """The chunks of each row's sentences, as pack_sentences makes them."""
+    return _packer(parts, partial(pack_sentences, target=target, most=most, overlap=overlap, words=words))
 
 
 def paragraphs(text: Column) -> Column:
@@ -30,8 +69,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda p: p != "")
 
 
-def chunks(docs: DataFrame, id_: str, parts: Column, most: int = 1000, overlap: int = 200, least: int = 100, glue: str = "\n") -> DataFrame:
-    """id, chunk_number (from 0), text, chunk_id of every chunk of at least `least` characters."""
-    rows = docs.select(id_, F.posexplode(packed(parts, most, overlap, glue)).alias("chunk_number", "text"))
+def numbered_chunks(docs: DataFrame, id_: str, texts: Column, least: int = 100) -> DataFrame:
+    """id, chunk_number (from 0), text, chunk_id of every chunk of at least `least` characters; rows without chunks have none."""
+    rows = docs.select(id_, F.posexplode(texts).alias("chunk_number", "text"))
     key = F.concat_ws("_", F.col(id_).cast("string"), F.col("chunk_number").cast("string"), F.substring(F.md5("text"), 1, 8))
     return rows.filter(F.length("text") >= least).withColumn("chunk_id", key)
+
+
+def chunks(docs: DataFrame, id_: str, parts: Column, most: int = 1000, overlap: int = 200, least: int = 100, glue: str = "\n") -> DataFrame:
+    """The numbered chunks of packed parts."""
+    return numbered_chunks(docs, id_, packed(parts, most, overlap, glue), least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -55,16 +57,40 @@ def quota_sample(rows: DataFrame, family: str, quotas: Column, order: Column) ->
     return rows.withColumn("place", F.row_number().over(spec)).filter(F.col("place") <= quotas)
 
 
+class GreedyBatches:
+    """Numbers rows by a running cost: a batch ends before its cost would pass the budget. Null costs count as 0."""
+
+    def __init__(self):
+        self.sum, self.batch = 0.0, 0
+
+    def next(self, cost: float | None, budget: float) -> int:
+        cost = cost or 0.0
+        if self.sum > 0 and self.sum + cost > budget:
+            self.sum, self.batch = 0.0, self.batch + 1
+        self.sum += cost
+        return self.batch
+
+
 def running_batches(rows: DataFrame, group: str, order: str, cost: str, budget: float) -> DataFrame:
-    """A greedy batch number in each group: a batch ends before its cost would pass budget. A fold over the
-    group's ordered rows, which are one array: for groups of bounded size, such as a conversation's turns."""
-    parts = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c")))).alias("x"))
-    state = "struct<sum:double,batch:int,out:array<struct<o:bigint,batch:int>>>"
-    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        over = (s["sum"] + x["c"] > budget) & (s["sum"] > 0)
-        batch = s["batch"] + F.when(over, 1).otherwise(0)
-        return F.struct(F.when(over, x["c"]).otherwise(s["sum"] + x["c"]).alias("sum"), batch.cast("int").alias("batch"), F.concat(s["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.cast("int").alias("batch")))).alias("out")).cast(state)
-
-    return parts.select(group, F.inline(F.aggregate("x", begin, step, lambda s: s["out"]))).withColumnRenamed("o", order)
+    """(group, order, batch): a greedy batch number, from 0, in each group.
+
+    Rows are sorted in their tasks and numbered as they pass, so a group of any size needs no memory but its sum; it does
+    pass through one task, as a batch depends on all before it. Rows of one order go by cost; null groups are one group.
+    """
+    own = rows.select(group, order, F.col(cost).cast("double").alias("_cost"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, state = object(), GreedyBatches()
+        for batch in batches:
+            out = []
+            for name, c in zip(batch.column(group).to_pylist(), batch.column("_cost").to_pylist(), strict=True):
+                if name != at:
+                    at, state = name, GreedyBatches()
+                out.append(state.next(c, budget))
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column(order), pa.array(out, pa.int32())], [group, order, "batch"])
+
+    kinds = dict(own.dtypes)
+    dealt = own.repartition(group).sortWithinPartitions(group, order, "_cost")
+    return dealt.mapInArrow(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, batch int")

@@ -182,5 +182,5 @@ SELECT 'Steel' AS concept_id, * FROM (SELECT variable_id, score, row_number() OV
 ORACLE_SQL["concept_keywords"] = f"""WITH k(key, keywords, ordinal) AS (VALUES {', '.join(f"('{k}', {v}, {i})" for i, (k, v) in enumerate(DICTIONARY))}),
 c AS (SELECT p_partkey AS concept_id, replace(lower(p_name), ' ', '') AS c, string_split(lower(p_type), ' ') AS w FROM part),
 e AS (SELECT concept_id, keywords, ordinal FROM c JOIN k ON c = key), n AS (SELECT * FROM e UNION ALL SELECT concept_id, keywords, ordinal FROM c JOIN k ON contains(c, key) WHERE concept_id NOT IN (SELECT concept_id FROM e)),
-u AS (SELECT concept_id, ordinal, unnest(keywords) AS keyword, unnest(range(len(keywords))) AS at FROM n UNION ALL SELECT concept_id, 99, unnest(w), unnest(range(len(w))) FROM c)
-SELECT concept_id, keyword, row_number() OVER (PARTITION BY concept_id ORDER BY ordinal, at) AS place FROM u"""
+u AS (SELECT concept_id, ordinal, unnest(keywords) AS keyword, unnest(range(len(keywords))) AS pos FROM n UNION ALL SELECT concept_id, 99, unnest(w), unnest(range(len(w))) FROM c)
+SELECT concept_id, keyword, row_number() OVER (PARTITION BY concept_id ORDER BY ordinal, pos) AS place FROM u"""

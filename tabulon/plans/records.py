@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.functions import stats
+from tabulon.functions import sql, stats
 from tabulon.functions import text as T
 from tabulon.operators import merge
 from tabulon.sources.tables import table
@@ -74,6 +74,14 @@ def running_batches(spark: SparkSession, d: str) -> DataFrame:
     return merge.running_batches(rows, "conv_id", "turn", "cost", 150.0).select("conv_id", "turn", "batch")
 
 
+def running_batches_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the table function, from SQL."""
+    sql.register(spark)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.size(T.tokens(F.col("text"))).cast("double").alias("cost"))
+    text = "SELECT key AS conv_id, ordinal AS turn, batch FROM greedy_batches(TABLE(SELECT * FROM {rows}) PARTITION BY (conv_id) ORDER BY (turn), 150.0D)"
+    return spark.sql(text, rows=rows)
+
+
 def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     chars = F.length("text")
@@ -92,7 +100,7 @@ def weight_histogram(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.min("l_discount"), 6).alias("least"), F.round(F.avg("l_discount"), 6).alias("mean"), F.round(F.max("l_discount"), 6).alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (priority_dedup, exact_dup_by_hash, anti_exclude_processed, semi_keep_listed, upsert_merge, prefix_expand, left_merge_fanout, quota_sample, consolidation_stats, union_definitions, set_operations, running_batches, cost_estimate, confidence_tiers, weight_histogram)}
+QUERIES = {f.__name__: f for f in (priority_dedup, exact_dup_by_hash, anti_exclude_processed, semi_keep_listed, upsert_merge, prefix_expand, left_merge_fanout, quota_sample, consolidation_stats, union_definitions, set_operations, running_batches, running_batches_sql, cost_estimate, confidence_tiers, weight_histogram)}
 _SLUG = "trim(regexp_replace(regexp_replace(lower({}), '[^A-Za-z0-9_ ]', '', 'g'), '[_ ]+', '_', 'g'), '_')"
 ORACLE_SQL = {
     "priority_dedup": "SELECT mark, doc_id, source FROM (SELECT md5(text) AS mark, doc_id, source, row_number() OVER (PARTITION BY md5(text) ORDER BY regexp_extract(source, '[0-9]+')::INT, doc_id) AS n FROM documents) WHERE n = 1",
@@ -111,3 +119,4 @@ ORACLE_SQL = {
     "confidence_tiers": "SELECT CASE WHEN o_totalprice / 500000 >= 0.9 THEN 'auto' WHEN o_totalprice / 500000 >= 0.75 THEN 'review' ELSE 'low' END AS tier, count(*) AS n FROM orders GROUP BY 1",
     "weight_histogram": "SELECT CASE WHEN l_discount * 5 < 0.30 THEN 'nationally_stable' WHEN l_discount * 5 < 0.38 THEN 'regionally_variable' ELSE 'locally_clustered' END AS kind, count(*) AS n, round(min(l_discount), 6) AS least, round(avg(l_discount), 6) AS mean, round(max(l_discount), 6) AS most FROM lineitem GROUP BY 1",
 }
+ORACLE_SQL["running_batches_sql"] = ORACLE_SQL["running_batches"]

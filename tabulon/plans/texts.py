@@ -47,6 +47,12 @@ def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_number", "chunk_id", F.length("text").alias("n"))
 
 
+def chunk_long_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences towards 400 characters, those beyond 60 cut at words with an overlap of 5 words: the long rule is met often."""
+    texts = chunk.packed_sentences(chunk.sentences(F.col("text")), 400, 60, 50, 5)
+    return chunk.numbered_chunks(table(spark, d, "documents"), "doc_id", texts, 1).select("doc_id", "chunk_number", F.length("text").alias("n"), F.md5("text").alias("mark"))
+
+
 def json_field_salvage(spark: SparkSession, d: str) -> DataFrame:
     k = F.coalesce(F.get_json_object(T.repaired_json(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))), "$.k"), F.regexp_extract("props", r'"k": *([0-9]+)', 1)).cast("int")
     return table(spark, d, "events").select("event_id", k.alias("k"))
@@ -89,7 +95,7 @@ def failing_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").filter("quality = 0").select("doc_id", "toxic").orderBy("toxic", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (html_to_text_len, ngram_phrases, geo_phrase_class, chunk_fold, chunk_sentences, json_field_salvage, eval_category_rollup, eval_compare_runs, response_rubric, smoke_grade, run_summary, failing_rows)}
+QUERIES = {f.__name__: f for f in (html_to_text_len, ngram_phrases, geo_phrase_class, chunk_fold, chunk_sentences, chunk_long_sentences, json_field_salvage, eval_category_rollup, eval_compare_runs, response_rubric, smoke_grade, run_summary, failing_rows)}
 _SQZ = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'))"
 _ENT = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _HTML = _SQZ.format(_ENT("regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"))

@@ -102,9 +102,13 @@ def first_concepts(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """variable, concept: a line that holds a subject only, with the first hasConcept below it; if a subject comes twice, its last pair."""
     lines = spark.read.text(path).select(read_order().alias("o"), "value").withColumns(
         {"variable": F.nullif(F.regexp_extract("value", rf"^\s*{prefix}:(\w+)\s*$", 1), F.lit("")), "concept": F.nullif(F.regexp_extract("value", rf"{prefix}:hasConcept\s+{prefix}:(\w+)", 1), F.lit(""))})
-    told = lines.filter("variable IS NOT NULL OR concept IS NOT NULL")
-    order = W.Window.partitionBy("o.path").orderBy("o")
-    before = told.select("o", "concept", F.lag("variable").over(order).alias("variable"), F.col("variable").isNull().alias("says"))
+    told = lines.filter("variable IS NOT NULL OR concept IS NOT NULL").withColumns({"path": F.col("o.path"), "start": F.col("o.start")})
+    # A split of a file is ordered in its task; what its first line follows is the last line told by the split before it.
+    own = W.Window.partitionBy("path", "start").orderBy("o")
+    splits = told.groupBy("path", "start").agg(F.max_by(F.struct("variable"), "o").alias("last"))
+    splits = splits.select("path", "start", F.lag("last").over(W.Window.partitionBy("path").orderBy("start")).alias("carried"))
+    placed = told.select("o", "path", "start", "concept", "variable", F.lag(F.struct("variable")).over(own).alias("inner")).join(splits, ["path", "start"])
+    before = placed.select("o", "concept", F.coalesce("inner", "carried")["variable"].alias("variable"), F.col("variable").isNull().alias("says"))
     return before.filter("says AND variable IS NOT NULL").groupBy("variable").agg(F.max_by("concept", "o").alias("concept"))
 
 
@@ -124,13 +128,31 @@ def contents_entries(lines: DataFrame, line: str = "line") -> DataFrame:
     return read.filter((F.length(name) > 3) & (F.upper(name) == name) & ~name.startswith("TABLE OF") & ~name.startswith("AMERICAN COMMUNITY"))
 
 
+#: Lines of a file that are ordered in one task.
+BLOCK_LINES = 65_536
+
+
+def running_counts(lines: DataFrame, counts: dict[str, Column], order: str = "ordinal", path: str = "path", block_lines: int = BLOCK_LINES) -> DataFrame:
+    """lines with running sums over each path in the order of a whole number: blocks of lines are summed apart, and the few sums of blocks are added up.
+
+    So a file of any length is ordered by many tasks. Null paths are one path.
+    """
+    dealt = lines.withColumn("_block", F.floor(F.col(order) / block_lines))
+    own = W.Window.partitionBy(path, "_block").orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0)
+    earlier = W.Window.partitionBy("_p").orderBy("_b").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(F.col(path).alias("_p"), F.col("_block").alias("_b")).agg(*[F.sum(c.cast("long")).alias(f"_{n}") for n, c in counts.items()])
+    sums = sums.select("_p", "_b", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in counts])
+    inner = dealt.withColumns({n: F.sum(c.cast("long")).over(own) for n, c in counts.items()})
+    met = inner.join(sums, inner[path].eqNullSafe(sums["_p"]) & inner["_block"].eqNullSafe(sums["_b"]))
+    return met.withColumns({n: F.col(n) + F.col(f"_{n}") for n in counts}).drop("_p", "_b", "_block", *[f"_{n}" for n in counts])
+
+
 def nested_sections(lines: DataFrame, is_main: Column, is_sub: Column, order: str = "ordinal") -> DataFrame:
     """path, main, sub, body of lines (path, ordinal, line): each main heading's parts, the one before its first sub heading with a null sub; lines before the first main heading are left out."""
-    by = W.Window.partitionBy("path").orderBy(order)
-    marked = lines.withColumns({"_m": is_main, "_s": is_sub & ~is_main}).withColumn("_main", F.sum(F.col("_m").cast("int")).over(by)).filter("_main > 0")
-    inner = W.Window.partitionBy("path", "_main").orderBy(order)
-    parted = marked.withColumns({"_part": F.sum(F.col("_s").cast("int")).over(inner), "_head": F.first("line").over(inner)})
-    rows = parted.groupBy("path", "_main", "_part").agg(F.first("_head").alias("main"), F.max(F.when(F.col("_s"), F.col("line"))).alias("sub"), F.array_sort(F.collect_list(F.when(~F.col("_m") & ~F.col("_s"), F.struct(order, "line")))).getField("line").alias("x"))
+    marked = running_counts(lines.withColumns({"_m": is_main, "_s": is_sub & ~is_main}), {"_main": F.col("_m"), "_part": F.col("_s")}, order).filter("_main > 0")
+    heads = marked.filter("_m").select(F.col("path").alias("_p"), F.col("_main").alias("_n"), F.col("line").alias("main"))
+    parted = marked.join(heads, marked["path"].eqNullSafe(heads["_p"]) & (marked["_main"] == heads["_n"])).drop("_p", "_n")
+    rows = parted.groupBy("path", "_main", "_part").agg(F.first("main").alias("main"), F.max(F.when(F.col("_s"), F.col("line"))).alias("sub"), F.array_sort(F.collect_list(F.when(~F.col("_m") & ~F.col("_s"), F.struct(order, "line")))).getField("line").alias("x"))
     return rows.select("path", "main", "sub", F.array_join("x", "\n").alias("body"))
 
 

@@ -88,8 +88,9 @@ def concept_blocks(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 
 
 def headings_to_sections(lines: DataFrame, is_heading: Column, order: str = "ordinal") -> DataFrame:
-    """heading, body: lines grouped under the heading before them, per `path` (gaps and islands)."""
-    island = F.sum(is_heading.cast("int")).over(W.Window.partitionBy("path").orderBy(order))
-    grouped = lines.withColumn("_s", island).filter("_s > 0").groupBy("path", "_s")
+    """heading, body: lines grouped under the heading before them, per `path`; a path of any length is ordered in blocks."""
+    from tabulon.sources.files import running_counts
+
+    grouped = running_counts(lines, {"_s": is_heading}, order).filter("_s > 0").groupBy("path", "_s")
     parts = grouped.agg(F.array_sort(F.collect_list(F.struct(order, "line"))).getField("line").alias("x"))
     return parts.select("path", F.trim(F.col("x")[0]).alias("heading"), F.trim(F.array_join(F.slice("x", 2, 1 << 30), "\n")).alias("body"))
