@@ -36,6 +36,26 @@ def quota_fill(rows: DataFrame, key: str, family: str, quotas: list[tuple[str, i
     return first.unionByName(seeded_sample(rows.filter(~F.coalesce(F.col(family).isin(names), F.lit(False))), key, left, seed))
 
 
+def mixed_strata(rows: DataFrame, key: str, family: str, complexity: str, size: int, families: int = 20, seed: str = "42") -> DataFrame:
+    """rows with `stratum` of a sample of `size`: two fifths of rows of the largest families, then of each complexity a quarter of three tenths, then any others.
+
+    Every stratum is the first rows in a seeded order among those that no stratum before it has, and what one can't fill
+    goes to the last. Families of equal size go by name, and a null family or complexity is one of its own. Each task keeps
+    no more rows of a stratum than are asked for, so no stratum is sorted whole.
+    """
+    order = [seeded_order(F.col(key), seed), F.col(key)]
+    largest = rows.groupBy(F.col(family).alias("_f")).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), F.col("_f").asc_nulls_first()).limit(families)
+    of_families = rows.join(F.broadcast(largest), rows[family].eqNullSafe(largest["_f"]), "left_semi").orderBy(*order).limit(size * 2 // 5)
+    first = of_families.select(F.col(key), F.lit("family").alias("stratum"))
+    each = size * 3 // 10 // 4
+    left = rows.join(F.broadcast(first.select(key)), key, "left_anti")
+    place = F.row_number().over(W.Window.partitionBy(complexity).orderBy(*order))
+    second = left.withColumn("_place", place).filter(F.col("_place") <= each).select(F.col(key), F.lit("complexity").alias("stratum"))
+    both = first.unionByName(second)
+    rest = rows.join(F.broadcast(both.select(key)), key, "left_anti").orderBy(*order).limit(max(0, size - both.count()))
+    return rows.join(F.broadcast(both.unionByName(rest.select(F.col(key), F.lit("random").alias("stratum")))), key)
+
+
 def first_per_prefix(rows: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
     """(prefix, key): the smallest key that begins with each prefix."""
     arms = [F.when(F.col(key).startswith(p), F.lit(p)) for p in prefixes]

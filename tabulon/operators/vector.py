@@ -81,6 +81,16 @@ def category_weights(pairs: DataFrame, id_: str, category: str, threshold: float
     return kept.withColumn("weight", F.when(F.col("_any") == 1, F.col("_share") / F.sum("_share").over(own)).otherwise(1.0)).drop("_raw", "_share", "_n", "_any")
 
 
+def clipped_weights(pairs: DataFrame, id_: str, category: str, threshold: float = 0.05, log: bool = False) -> DataFrame:
+    """The earlier form of category_weights: negative scores are 0 and shares have 1e-8 in their denominator; if none reaches the threshold, the best category has 1."""
+    raw = F.greatest("score", F.lit(0.0))
+    own = W.Window.partitionBy(id_)
+    shared = pairs.withColumn("_raw", F.log1p(raw) if log else raw).withColumn("_share", F.col("_raw") / (F.sum("_raw").over(own) + 1e-8))
+    placed = shared.withColumn("_n", F.row_number().over(own.orderBy(F.col("_raw").desc(), category))).withColumn("_any", F.max((F.col("_share") >= threshold).cast("int")).over(own))
+    kept = placed.filter(F.when(F.col("_any") == 1, F.col("_share") >= threshold).otherwise(F.col("_n") == 1))
+    return kept.withColumn("weight", F.when(F.col("_any") == 1, F.col("_share") / F.sum("_share").over(own)).otherwise(1.0)).drop("_raw", "_share", "_n", "_any")
+
+
 def checked_weights(rows: DataFrame, id_: str, domain: str, weight: str, domains: list[str], least: float = 0.05, most: int = 4) -> DataFrame:
     """Valid weights of at least `least`, or else the largest valid one as 1, or else core_demographics; the largest `most`, shared out."""
     own = W.Window.partitionBy(id_)
