@@ -48,6 +48,18 @@ def weights_accepted(weights: Column, known: list[str], most: int = 4) -> Column
     return (F.size(weights) <= most) & (F.abs(total - 1.0) < 1e-6) & (F.size(unknown_domains(weights, known)) == 0)
 
 
+def weight_issues(weights: Column, known: list[str], most: int = 4) -> Column:
+    """What is wrong with a map of weights, as an array: too many or no domains, unknown ones, negative weights, a sum that isn't 1. A null map has none."""
+    values = F.map_values(weights)
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    bad = F.array_sort(unknown_domains(weights, known))
+    checks = [
+        F.when(F.size(weights) == 0, "no domains"), F.when(F.size(weights) > most, "too many domains"), F.when(F.size(bad) > 0, F.concat(F.lit("unknown domains: "), F.array_join(bad, ", "))),
+        F.when(F.exists(values, lambda x: x < 0), "negative weights"), F.when((F.size(weights) > 0) & (F.abs(total - 1.0) >= 1e-6), F.concat(F.lit("weights sum to "), F.format_string("%.3f", total))),
+    ]
+    return F.when(weights.isNotNull(), F.filter(F.array(*checks), lambda x: x.isNotNull()))
+
+
 def primary_domain(weights: Column) -> Column:
     """The domain of the largest weight, the first of equal ones."""
     ranked = F.transform(F.map_entries(weights), lambda e, i: F.struct(e["value"].alias("w"), (-i).alias("i"), e["key"].alias("k")))

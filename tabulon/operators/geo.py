@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -105,8 +107,13 @@ def coarser_levels(requests: DataFrame, available: DataFrame, dim: DataFrame) ->
     return near.groupBy("request_id").agg(F.array_sort(F.collect_set(F.struct("rank", "coarser"))).getField("coarser").alias("coarser"))
 
 
-def advise(requests: DataFrame, available: DataFrame, weights: DataFrame, dim: DataFrame) -> DataFrame:
-    """request_id, status, reason, suggestion, note of requests (request_id, variable_id, table_id, level, moe_ratio)."""
+def advise(requests: DataFrame, available: DataFrame, weights: DataFrame, dim: DataFrame, moe_resolver: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """request_id, status, reason, suggestion, note of requests (request_id, variable_id, table_id, level, moe_ratio).
+
+    moe_resolver gives the margin's ratio as a column of the requests, in place of their own moe_ratio; a null ratio warns of nothing.
+    """
+    if moe_resolver:
+        requests = requests.withColumn("moe_ratio", moe_resolver(requests))
     there = available.select("table_id", "level").distinct().withColumn("_there", F.lit(True))
     joined = requests.join(there, ["table_id", "level"], "left").join(weights, "variable_id", "left").join(coarser_levels(requests, available, dim), "request_id", "left")
     blocked = F.col("_there").isNull()

@@ -150,6 +150,12 @@ def token_stats(index: TextIndex) -> DataFrame:
     return index.blocks().groupBy("token").agg(F.sum("n").alias("df"), F.sum(tf).alias("tf"))
 
 
+def index_stats(index: TextIndex) -> DataFrame:
+    """One row: documents, tokens, distinct tokens, postings and segments of an index's version; lists aren't read."""
+    sums = index.blocks().agg(F.count_distinct("token").alias("distinct_tokens"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("postings"))
+    return sums.select(F.lit(index.n_docs).cast("long").alias("documents"), F.lit(index.n_tokens).cast("long").alias("tokens"), "distinct_tokens", "postings", F.lit(len(index.segments)).alias("segments"))
+
+
 def _asked_blocks(index: TextIndex, asked: DataFrame) -> DataFrame:
     """The blocks of the asked tokens. Few tokens filter the scan; more are broadcast up to SMALL_TOKENS, else shuffled."""
     asked = asked.select("token").distinct()

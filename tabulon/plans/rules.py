@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import rules as R
-from tabulon.operators import cluster, sample, vector
-from tabulon.plans.catalog import _V, variables
-from tabulon.plans.search import _C, _pairs
+from tabulon.functions import text as T
+from tabulon.functions.stats import topology_quality
+from tabulon.operators import cluster, enrich, evaluate, geo, sample, textindex, vector
+from tabulon.plans import estimates
+from tabulon.plans.catalog import _STOP, _V, variables
+from tabulon.plans.enrichment import _KNOWN, DOMAINS
+from tabulon.plans.estimates import _geo_tables
+from tabulon.plans.search import _C, _index, _pairs
+from tabulon.plans.texts import _ENT
 from tabulon.sources.tables import table
 
 PAGES = {"ECONOMY": 3, "PROMO": 4, "STANDARD": 6}
@@ -94,7 +100,64 @@ def category_split(spark: SparkSession, d: str) -> DataFrame:
     return cluster.split_category(rows, "vec_id", "embedding", "category", "text", "Label 1", 3, -1.0).select("vec_id", "category", "new_category", "original_category")
 
 
-QUERIES = {f.__name__: f for f in (catalog_filters, concept_decisions, official_labels, agent_synthesis, joined_texts, geography_weights, category_weights_clipped, level_distribution, category_texts, mixed_strata, category_split)}
+def derived_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's best description, short label, weights as text, id and Turtle literal."""
+    p = table(spark, d, "part")
+    some = F.when(F.col("p_size") % 3 == 0, F.lit("")).when(F.col("p_size") % 3 == 1, F.col("p_brand"))
+    weights = F.array(F.struct(F.col("p_type").alias("key"), (F.col("p_size") / 100).alias("value")), F.struct(F.col("p_brand").alias("key"), (F.col("p_size") / 50).alias("value")))
+    said = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit('the "'), "p_name", F.lit('"'))).when(F.col("p_size") % 4 == 1, F.concat("p_name", F.lit("\n"), "p_type")).otherwise(F.col("p_name"))
+    return p.select("p_partkey", T.first_filled(some, F.lit(None).cast("string"), F.col("p_name")).alias("described"), T.shortened(F.col("p_name"), 8).alias("short"), T.weight_summary(weights).alias("weights"), T.camel_id(F.concat_ws(" ", "p_name", "p_type", F.lit("a x"))).alias("id"), T.turtle_string(said).alias("literal"))
+
+
+def html_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with each tag as a blank."""
+    return table(spark, d, "pages").select("page_id", F.md5(T.html_stripped(F.col("html"))).alias("mark"))
+
+
+def reasoning_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The first five lines of every turn and every document that hold a word of reasoning."""
+    texts = table(spark, d, "conversations").select(F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("id"), "text").unionByName(table(spark, d, "documents").select(F.concat_ws("/", F.lit("d"), "doc_id").alias("id"), "text"))
+    return texts.select("id", evaluate.reasoning_chain(F.col("text")).alias("chain")).filter("chain <> ''")
+
+
+def clamped_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's similarity to the next one's, within 0 and 1; 0.5 without a next one."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id", "left").select("vec_id", F.round(enrich.clamped_cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+def topology_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The quality that each tax of a line item would have as a silhouette, with shares."""
+    rows = table(spark, d, "lineitem").groupBy(topology_quality(F.col("l_tax") * 10).alias("quality")).agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("n").alias("_all")))).select("quality", "n", F.round(F.col("n") * 100.0 / F.col("_all"), 4).alias("share"))  # one row
+
+
+def weight_issues(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with every part's weights: some are negative, some don't sum to 1, some domains are unknown."""
+    w, size = (F.col("p_size") % 11 / 10).cast("double"), F.col("p_size")
+    weights = F.create_map(F.col("p_type"), w, F.col("p_brand"), F.when(size % 3 == 0, 1 - w).when(size % 3 == 1, -w).otherwise(F.lit(0.25)))
+    return table(spark, d, "part").select("p_partkey", F.array_join(enrich.weight_issues(F.when(size % 13 > 0, weights), DOMAINS), "; ").alias("issues"))
+
+
+def search_stats(spark: SparkSession, d: str) -> DataFrame:
+    return textindex.index_stats(_index(spark, d))
+
+
+def geo_advisor_hook(spark: SparkSession, d: str) -> DataFrame:
+    """The advice of geo_advisor_status with margins from a resolver: those of the request's supplier, as a column."""
+    asked, there, weights = _geo_tables(spark, d)
+    return geo.advise(asked.withColumn("ratio", F.col("moe_ratio")).drop("moe_ratio"), there, weights, geo.levels(spark), lambda r: r["ratio"])
+
+
+def keyword_averages(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of a variable on average, and the variables that have any, by measure."""
+    v = variables(spark, d).select("label", "concept").distinct()
+    words = F.size(T.keywords(T.lower_of(F.col("label"), F.col("concept"))))
+    return v.agg(F.round(F.avg(words), 6).alias("mean_keywords"), F.count_if(words > 0).alias("with_keywords"), F.count("*").alias("variables"))
+
+
+QUERIES = {f.__name__: f for f in (catalog_filters, concept_decisions, official_labels, agent_synthesis, joined_texts, geography_weights, category_weights_clipped, level_distribution, category_texts, mixed_strata, category_split, derived_texts, html_stripped, reasoning_chains, clamped_similarity, topology_bands, weight_issues, search_stats, geo_advisor_hook, keyword_averages)}
 _md5_order = "md5('42|' || p_partkey::VARCHAR), p_partkey"
 _shares = lambda raw: f"SELECT vec_id, concept, CASE WHEN any_ = 1 THEN share / sum(share) OVER (PARTITION BY vec_id) ELSE 1 END AS weight FROM (SELECT *, max((share >= 0.15)::INT) OVER (PARTITION BY vec_id) AS any_, row_number() OVER (PARTITION BY vec_id ORDER BY share DESC, concept) AS n FROM (SELECT vec_id, concept, {raw} / sum({raw}) OVER (PARTITION BY vec_id) AS share FROM (SELECT vec_id, concept, greatest(score, 0) AS score FROM s))) WHERE CASE WHEN any_ = 1 THEN share >= 0.15 ELSE n = 1 END"
 _case = lambda column, pairs, default: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in pairs.items()) + f" ELSE {default} END"
@@ -119,4 +182,17 @@ SELECT conv_id, md5(CASE WHEN count(*) = 1 THEN min(text) ELSE 'Multi-specialist
 a AS (SELECT p_partkey FROM r WHERE p_brand IN (SELECT p_brand FROM l) ORDER BY {_md5_order} LIMIT 40), b AS (SELECT p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {_md5_order}) AS n FROM r WHERE p_partkey NOT IN (SELECT p_partkey FROM a)) WHERE n <= 7),
 ab AS (SELECT p_partkey, 'family' AS stratum FROM a UNION ALL SELECT p_partkey, 'complexity' FROM b)
 SELECT * FROM ab UNION ALL (SELECT p_partkey, 'random' FROM r WHERE p_partkey NOT IN (SELECT p_partkey FROM ab) ORDER BY {_md5_order} LIMIT (SELECT 100 - count(*) FROM ab))""",
+    "derived_texts": r"""WITH p AS (SELECT *, CASE p_size % 4 WHEN 0 THEN 'the "' || p_name || '"' WHEN 1 THEN p_name || chr(10) || p_type ELSE p_name END AS said FROM part)
+SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN p_brand ELSE p_name END AS described, CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 8) || '...' ELSE p_name END AS short, format('{}: {:.2f}, {}: {:.2f}', p_type, p_size / 100, p_brand, p_size / 50) AS weights,
+substr(array_to_string(list_transform(list_filter(regexp_extract_all(p_name || ' ' || p_type || ' a x', '[A-Za-z0-9]+'), lambda w: length(w) > 1), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ''), 1, 50) AS id,
+CASE WHEN contains(said, '"') OR contains(said, chr(10)) THEN '\"\"\"' || replace(said, '"', '\"') || '\"\"\"' ELSE '"' || said || '"' END AS literal FROM p""".replace("'\\\"\\\"\\\"'", "'" + '"' * 3 + "'"),
+    "html_stripped": "SELECT page_id, md5(" + _ENT("regexp_replace(html, '<[^>]+>', ' ', 'g')") + ") AS mark FROM pages",
+    "reasoning_chains": "WITH t AS (SELECT 'c/' || conv_id || '/' || turn AS id, text FROM conversations UNION ALL SELECT 'd/' || doc_id, text FROM documents), x AS (SELECT id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: regexp_matches(lower(l), '" + "|".join(evaluate.CHAIN) + "'))[1:5], ' | ') AS chain FROM t) SELECT id, chain FROM x WHERE chain <> ''",
+    "clamped_similarity": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT a.vec_id, round(coalesce(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 0.5), 6) AS similarity FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1",
+    "topology_bands": "SELECT CASE WHEN l_tax * 10 > 0.5 THEN 'excellent' WHEN l_tax * 10 > 0.3 THEN 'good' ELSE 'needs_tuning' END AS quality, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 4) AS share FROM lineitem GROUP BY 1",
+    "weight_issues": f"""WITH p AS (SELECT *, (p_size % 11 / 10)::DOUBLE AS a FROM part), w AS (SELECT *, CASE p_size % 3 WHEN 0 THEN 1 - a WHEN 1 THEN -a ELSE 0.25::DOUBLE END AS b, list_sort(list_filter([p_type, p_brand], lambda x: x NOT IN ({_KNOWN}))) AS bad FROM p)
+SELECT p_partkey, CASE WHEN p_size % 13 > 0 THEN concat_ws('; ', CASE WHEN len(bad) > 0 THEN 'unknown domains: ' || array_to_string(bad, ', ') END, CASE WHEN a < 0 OR b < 0 THEN 'negative weights' END, CASE WHEN abs(a + b - 1) >= 1e-6 THEN 'weights sum to ' || format('{{:.3f}}', a + b) END) END AS issues FROM w""",
+    "search_stats": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS token FROM documents), p AS (SELECT DISTINCT doc_id, token FROM t) SELECT (SELECT count(DISTINCT doc_id) FROM t) AS documents, (SELECT count(*) FROM t) AS tokens, count(DISTINCT token) AS distinct_tokens, count(*) AS postings, 1 AS segments FROM p",
+    "geo_advisor_hook": estimates.ORACLE_SQL["geo_advisor_status"],
+    "keyword_averages": f"WITH {_V}, b AS (SELECT DISTINCT label, concept FROM v), k AS (SELECT len(list_distinct(list_filter(regexp_extract_all(lower(label || ' ' || concept), '[A-Za-z0-9]+'), lambda t: regexp_full_match(t, '[a-z]+') AND length(t) > 2 AND t NOT IN ({_STOP})))) AS n FROM b) SELECT round(avg(n), 6) AS mean_keywords, count(*) FILTER (n > 0) AS with_keywords, count(*) AS variables FROM k",
 }
