@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import tokens
 from tabulon.operators import geo, lexical, retrieval
+from tabulon.operators.nearest import nearest_vectors
 
 NO_DATA = "no data found"
 
@@ -107,8 +108,10 @@ def search_columns(queries: DataFrame, docs: DataFrame, id_: str, columns: list[
     return lexical.top(scored.select("query_id", id_, "score"), "query_id", k, F.col("score").desc(), F.col(id_))
 
 
-def cached_answers(queries: DataFrame, cache: DataFrame, score, query: str, id_: str, least: float = 0.95) -> DataFrame:
-    """query, id, score: the cached row nearest to each query, if its score is at least `least`."""
-    from tabulon.operators.vector import nearest
+def cached_answers(queries: DataFrame, query: str, query_vector: str, cache: DataFrame, id_: str, vector: str, least: float = 0.95, others: bool = False) -> DataFrame:
+    """query, id, score: the cached row nearest to each query by cosine, if its score is at least `least`.
 
-    return nearest(cache, queries, score, query, id_, 1, least).drop("rank")
+    others leaves out the cached row with the query's id. Exact, by pivots (see nearest); vectors without a direction take no part.
+    """
+    found = nearest_vectors(cache, queries, id_, vector, query, query_vector, 1, "cosine", least, others)
+    return found.select(query, id_, "score")

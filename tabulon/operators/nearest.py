@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tabulon.operators.lexical import top
 
-#: Rows of a block at most (about), and pivots at most.
-BLOCK_ROWS, MOST_PIVOTS = 32_768, 256
+#: Rows of a block at most (about), rows of a cell on average where there are fewer pivots than MOST_PIVOTS.
+BLOCK_ROWS, CELL_ROWS, MOST_PIVOTS = 32_768, 4_096, 256
 #: Scores are compared to so many places, so equal vectors tie however their products were summed.
 PLACES = 12
 #: Rounding of distances.
@@ -157,7 +157,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, id_: str, vector: str,
     whole = _whole(rows, id_, vector, width, metric)
     asked = _whole(queries, query, query_vector, width, metric).groupBy("id").agg(F.min("v").alias("v"))
     n_rows = whole.count()
-    n_pivots = max(1, min(MOST_PIVOTS, int(n_rows**0.5)))
+    n_pivots = max(1, min(MOST_PIVOTS, n_rows // CELL_ROWS))
     seeds = whole.orderBy(F.xxhash64("id", "v"), "id").limit(n_pivots).collect()  # at most MOST_PIVOTS vectors
     if not seeds:
         none = spark.range(0)
@@ -181,7 +181,7 @@ def nearest_vectors(rows: DataFrame, queries: DataFrame, id_: str, vector: str,
     away = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "kth"))) if metric == "cosine" else F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("kth")))
     # A query without k rows yet has no floor (least and greatest skip nulls, so its null is kept apart).
     floored = near.join(kth.select(F.col("query").alias("id"), F.when(F.col("kth").isNotNull(), away).alias("floor")), "id", "left")
-    both = early.unionByName(_scored(blocks, _asks(floored, spans, False), len(spans), width, k, metric, others))
+    both = early.unionByName(_scored(blocks, _asks(floored, spans, False), len(spans), width, k, metric, others)) if n_pivots > 1 else early
     if counted:
         return both.agg(F.sum("pairs").alias("pairs")).withColumn("all", F.lit(n_rows * asked.count()))
     best = top(both.filter("id IS NOT NULL").select("query", "id", "score"), "query", k, F.col("score").desc(), "id")

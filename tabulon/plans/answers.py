@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.operators import answer as A
-from tabulon.operators import fulltext, lexical, vector
+from tabulon.operators import fulltext, lexical
 from tabulon.plans.catalog import _V, variables
 from tabulon.plans.estimates import nation_orders
 from tabulon.sources.tables import literals, table
@@ -126,8 +126,7 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the rows divisible by 50; a cached answer is another row's, of cosine 0.5 or more (few are nearer)."""
     rows = table(spark, d, "embeddings")
     queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    score = F.when(F.col("vec_id") != F.col("query_id"), vector.cosine(F.col("embedding"), F.col("q"))).otherwise(-2.0)
-    return A.cached_answers(queries, rows, score, "query_id", "vec_id", 0.5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return A.cached_answers(queries, "query_id", "q", rows, "vec_id", "embedding", 0.5, others=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 def semantic_cache_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -135,8 +134,7 @@ def semantic_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     bent = F.transform("embedding", lambda x, i: x.cast("double") * F.when((F.col("vec_id") % 100 != 0) | (i < 32), 1 + ((F.col("vec_id") + i) % 7) / 50).otherwise(F.lit(0.0)))
     queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), bent.alias("q"))
-    score = vector.cosine(F.col("embedding"), F.col("q"))
-    return A.cached_answers(queries, rows, score, "query_id", "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return A.cached_answers(queries, "query_id", "q", rows, "vec_id", "embedding").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (resolver_cascade_parts, keyword_search_direct, bm25_columns, fts_query, answer_path, compare_matrix, semantic_cache, semantic_cache_hits)}

@@ -35,6 +35,7 @@ def table(seed, n, centres):
 @pytest.mark.parametrize(("metric", "others", "block"), [("cosine", False, 50), ("l2", True, 20), ("l2", False, 32_768)])
 def test_against_all_pairs(spark, monkeypatch, metric, others, block):
     monkeypatch.setattr(nearest, "BLOCK_ROWS", block)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 20 if block < 1_000 else 4_096)
     rows = table(3, 400, 12)
     queries = [rows[i] for i in random.Random(1).sample(range(len(rows)), 40)] + [rows[3], rows[-1], rows[-6], (None, rows[0][1]), (7, rows[9][1])]
     df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
@@ -45,6 +46,7 @@ def test_against_all_pairs(spark, monkeypatch, metric, others, block):
 
 def test_most_pairs_are_not_scored(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 60)
     rows = table(5, 4000, 40)
     df = spark.createDataFrame(rows, "id long, v array<double>")
     asked = spark.createDataFrame(rows[::60], "q long, w array<double>")
