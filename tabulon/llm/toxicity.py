@@ -7,6 +7,7 @@ are averaged per coordinate, and the few that are not zero are broadcast to scor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut, hash_share, lowered, mixed, span_hashes, table, utf8_parts, word_spans
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Features are hashed to so many bits; this bounds the model.
 BITS = 20
 #: At most about so many labelled rows are used, in groups of GROUP_ROWS and GROUP_BYTES of text that train apart.
 MAX_TRAIN_ROWS, GROUP_ROWS, GROUP_BYTES = 32_768, 8_192, 64 << 20
 #: Features of about so many bytes of text are held at once.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 #: A longer word also counts by its first so many bytes.
 STEMS = (4, 6)
 #: Rate, its smoothing, L1 and L2 strength, passes over a group's rows.
@@ -82,20 +86,27 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
     return weight(z, n), bias
 
 
-def _train_group(pdf):
-    import pandas as pd
+def _train_group(group: pa.Table) -> pa.Table:
+    """The weights that a group's rows (doc_id, label, text, mark) train, in the order of doc_id and mark; -1 has the bias.
+
+    Texts stay the bytes that came, and only PART_BYTES of them are features of 64 bits at once.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    pdf = pdf.sort_values(["doc_id", "mark"])
     rows: list[np.ndarray] = []
-    for _, _, data, offsets in utf8_parts(pa.array(pdf["text"], pa.large_string()), PART_BYTES):
+    for _, _, data, offsets in utf8_parts(group.column("text"), PART_BYTES):
         row, feature = text_features(data, offsets)
         pairs = np.unique(row << BITS | feature)
-        own = (pairs & ((1 << BITS) - 1)).astype(np.int32)  # half the memory that the group holds while it trains
+        own = (pairs & ((1 << BITS) - 1)).astype(np.int32)
         rows += np.split(own, np.searchsorted(pairs >> BITS, np.arange(1, len(offsets) - 1)))
-    weights, bias = ftrl(rows, pdf["label"].to_numpy(float))
+    order = pc.sort_indices(group.select(["doc_id", "mark"]), sort_keys=[("doc_id", "ascending"), ("mark", "ascending")]).to_numpy()
+    labels = group.column("label").to_numpy().astype(float)
+    del group
+    weights, bias = ftrl([rows[i] for i in order], labels[order])
     kept = np.flatnonzero(weights)
-    return pd.DataFrame({"feature": np.append(kept, -1), "weight": np.append(weights[kept], bias)})
+    pa.default_memory_pool().release_unused()
+    return pa.table({"feature": pa.array(np.append(kept, -1), pa.int64()), "weight": pa.array(np.append(weights[kept], bias), pa.float64())})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict:
@@ -117,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     texts = cut(texts)
     size, n_texts = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     groups = max(1, -(-n_texts // GROUP_ROWS), -(-(size or 0) // GROUP_BYTES))
-    parts = texts.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(groups))).groupBy("part").applyInPandas(_train_group, "feature long, weight double")
+    parts = texts.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(groups))).groupBy("part").applyInArrow(_train_group, "feature long, weight double")
     mean = parts.groupBy("feature").agg((F.sum("weight") / F.lit(float(groups))).alias("weight")).toPandas()  # at most 2**BITS rows
     bias = mean.loc[mean["feature"] == -1, "weight"]
     mean = mean[(mean["feature"] >= 0) & (mean["weight"].abs() > 1e-6)].sort_values("feature")

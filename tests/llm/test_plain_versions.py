@@ -338,11 +338,11 @@ def test_one_id_with_many_texts_stays_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word {i} more") for i in range(100)] + [(7, f"text {i} of one id") for i in range(3000)], "doc_id long, text string")
     sizes = spark.sparkContext.accumulator(0)
 
-    def group(pdf):
-        import pandas as pd
+    def group(rows):
+        import pyarrow as pa
 
-        sizes.add(len(pdf))
-        return pd.DataFrame({"feature": [-1, len(pdf)], "weight": [0.5, 1.0]})
+        sizes.add(len(rows))
+        return pa.table({"feature": pa.array([-1, len(rows)], pa.int64()), "weight": pa.array([0.5, 1.0])})
 
     monkeypatch.setattr(toxicity, "_train_group", group)
     model = toxicity.train(docs, labels, 200)
