@@ -147,6 +147,18 @@ def kept_in_process(key: str, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system: it stays for later stages, whose memory it would take."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 # ---- texts inside tasks, as bytes of Arrow columns ----
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tabulon.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, Scratch, cut, lowered, mixed, skew_join, span_hashes, table, utf8_parts, word_spans
+from tabulon.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, Scratch, cut, give_back, lowered, mixed, skew_join, span_hashes, table, utf8_parts, word_spans
 from tabulon.llm.components import components
 
 #: Weight of an accidental meeting against an index entry in the cost model.
@@ -167,6 +167,7 @@ def coded_table(docs: DataFrame, words: int, percent: int, steps: int, id_: str
                 inner = pa.StructArray.from_arrays([pa.array(band, pa.int16()), pa.array(exact, pa.int32()), lists], ["band", "exact", "entries"])
                 groups = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
                 yield pa.RecordBatch.from_arrays([batch.column(id_)[at:to], batch.column("text_hash")[at:to], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), groups], [id_, "text_hash", "n_shingles", "node", "groups"])
+        give_back()
 
     return docs.select(id_, F.xxhash64("text").alias("text_hash"), F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, {CODED}")
 
@@ -216,6 +217,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> D
                 items = pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))
                 own = pa.array(same, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("node")[at:to].take(own), batch.column("star")[at:to].take(own), items], ["node", "star", "items"])
+        give_back()
 
     sets = near.select("__tb_text", "node", "star").mapInArrow(run, "node long, star long, items array<long>")
     return sets.dropDuplicates(["node"]) if repeats else sets

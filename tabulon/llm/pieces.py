@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, hot_keys, kept_in_process, skew_join, table, utf8_parts
+from tabulon.llm.common import cut, give_back, hot_keys, kept_in_process, skew_join, table, utf8_parts
 
 #: Where the public model lies, unless the caller says.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -401,6 +401,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, te
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[at:to] for c in keep), lists], [*keep, "ids"])
+        give_back()
 
     short = inner.filter(~long).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>"]))
     giants = inner.filter(long).withColumn("__tb_mark", F.sha2("__tb_text", 256))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, table, utf8_parts, word_spans
+from tabulon.llm.common import cut, give_back, table, utf8_parts, word_spans
 
 # The patterns of the base kinds, on UTF-8 bytes.
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -196,6 +196,7 @@ def scan(docs: DataFrame, null: dict, keep: list[str]) -> DataFrame:
                     base[at + i] = [dict(zip(("start", "kind", "stop"), x, strict=True)) for x in own]
                     found[at + i] = [dict(zip(("start", "stop", "class", "bin"), x, strict=True)) for x in more]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(base, spans), pa.array(found, tokens)], [*keep, "base", "candidates"])
+        give_back()
 
     kinds = dict(docs.dtypes)
     return docs.select(*keep, F.col("text").alias("__tb_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"base {SPANS}, candidates {CANDIDATES}"]))
@@ -276,6 +277,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", length: str | None = None) -
                     place = batch.schema.get_field_index(name)
                     batch = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
             yield batch
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

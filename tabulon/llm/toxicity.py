@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, hash_share, lowered, mixed, span_hashes, table, utf8_parts, word_spans
+from tabulon.llm.common import cut, give_back, hash_share, lowered, mixed, span_hashes, table, utf8_parts, word_spans
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -105,7 +105,7 @@ def _train_group(group: pa.Table) -> pa.Table:
     del group
     weights, bias = ftrl([rows[i] for i in order], labels[order])
     kept = np.flatnonzero(weights)
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.table({"feature": pa.array(np.append(kept, -1), pa.int64()), "weight": pa.array(np.append(weights[kept], bias), pa.float64())})
 
 
@@ -162,6 +162,7 @@ def score_texts(df: DataFrame, model: dict, keep: list[str], text: str = "text",
         for batch in batches:
             scores = _scores(batch.column("__tb_text"), own["bias"], dense)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, score])
+        give_back()
 
     kinds = dict(df.dtypes)
     inner = df.select(*keep, F.col(text).alias("__tb_text"))
@@ -183,6 +184,7 @@ def without_toxic(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame
         dense[own["features"]] = own["weights"]
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column("text"), own["bias"], dense) < limit))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
