@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import tokens
-from tabulon.operators import geo, lexical, retrieval
+from tabulon.operators import geo, lexical, retrieval, textindex
 from tabulon.operators.nearest import nearest_vectors
 
 NO_DATA = "no data found"
@@ -18,18 +18,18 @@ def with_mapping(mappings: DataFrame, key: str, code: str) -> DataFrame:
     return mappings.select("key", "code", "ordinal").unionByName(first)
 
 
-def direct_or_keyword(queries: DataFrame, phrases: DataFrame, catalog: DataFrame, index: DataFrame, id_: str, k: int = 10) -> DataFrame:
+def direct_or_keyword(queries: DataFrame, phrases: DataFrame, catalog: DataFrame, index: textindex.TextIndex, id_: str, k: int = 10) -> DataFrame:
     """query_id, id, confidence, match_type, rank of queries (query_id, q).
 
     A query that is a phrase (phrase, id) of a catalog row is that row, with confidence 1; every other one is a search by
-    token overlap. A phrase whose row isn't in the catalog counts as none.
+    token overlap in the stored index of the catalog's texts. A phrase whose row isn't in the catalog counts as none.
     """
     asked = queries.withColumn("phrase", F.lower(F.trim("q")))
     direct = asked.join(phrases, "phrase").join(catalog.select(id_).distinct(), id_, "left_semi")
     direct = direct.groupBy("query_id").agg(F.min(id_).alias(id_)).select("query_id", id_, F.lit(1.0).alias("confidence"), F.lit("direct").alias("match_type"), F.lit(1).alias("rank"))
     others = asked.join(direct, "query_id", "left_anti").select("query_id", tokens(F.col("q")).alias("words"))
-    found = lexical.keyword_search(others, index, id_, k)
-    return direct.unionByName(found.select("query_id", id_, "confidence", F.lit("keyword").alias("match_type"), "rank"))
+    found = textindex.overlap_indexed(index, others, k)
+    return direct.unionByName(found.select("query_id", F.col("id").alias(id_), "confidence", F.lit("keyword").alias("match_type"), "rank"))
 
 
 def resolve_texts(texts: DataFrame, labels: DataFrame, core: DataFrame, keywords: DataFrame, code_pattern: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.operators import answer as A
-from tabulon.operators import fulltext, lexical
+from tabulon.operators import fulltext
 from tabulon.plans.catalog import _V, variables
 from tabulon.plans.estimates import nation_orders
+from tabulon.plans.search import _index
 from tabulon.sources.tables import literals, table
 
 CORE = [("economy", "T1"), ("promo", "T2"), ("price of brand#5", "T5"), ("men", "T6")]
@@ -39,9 +40,8 @@ ASKED = [(-1, " Handbook "), (-2, "house guide"), (-3, "The lost handbook"), (-4
 def keyword_search_direct(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     queries = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("q")).unionByName(literals(spark, "query_id long, q string", ASKED).drop("ordinal"))
-    index = lexical.postings(docs, "doc_id", F.col("text"), queries.select(A.tokens(F.col("q")).alias("words")))
     phrases = literals(spark, "phrase string, doc_id long", PHRASES).drop("ordinal")
-    found = A.direct_or_keyword(queries, phrases, docs, index, "doc_id", 10)
+    found = A.direct_or_keyword(queries, phrases, docs, _index(spark, d), "doc_id", 10)
     return found.select("query_id", "doc_id", F.round("confidence", 6).alias("confidence"), "match_type", "rank")
 
 
