@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Rows and bytes of texts that are split at once, pairs of token and document after which equal ones are joined, tokens in a matrix.
 ROWS, BYTES, PAIRS, TOKENS = 256, 4 << 20, 2_000_000, 1_024
+#: Bytes of texts whose windows of words are counted at once.
+WINDOW_BYTES = 16 << 20
 
 
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -29,11 +31,11 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.Re
         yield tuple(int(c[a]) for c in columns), batch.slice(a, z - a)
 
 
-def _cuts(words: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ROWS texts and about BYTES, one text at least."""
+def _cuts(words: pa.Array, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many texts and about so many bytes, one text at least."""
     sizes, a, size = pc.binary_length(words).to_numpy(zero_copy_only=False), 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > a and (i - a >= ROWS or size + n > BYTES):
+        if i > a and (i - a >= rows or size + n > most):
             yield a, i
             a, size = i, 0
         size += n
@@ -88,7 +90,7 @@ def slice_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _blocks(now, parts)
                 parts = []
             now = key
-            for a, z in _cuts(rows.column("words")):
+            for a, z in _cuts(rows.column("words"), ROWS, BYTES):
                 parts.append(_pairs(rows.slice(a, z - a)))
                 if len(parts) > 1 and sum(len(p[1]) for p in parts[1:]) > PAIRS + len(parts[0][1]):
                     parts = [_joined(parts)]
@@ -222,3 +224,96 @@ def _renumbered(rows: pa.Table, places: np.ndarray) -> pa.Table:
     n = np.r_[0, np.cumsum(pc.list_value_length(old).to_numpy(zero_copy_only=False))].astype(np.int32)
     new = pa.ListArray.from_arrays(pa.array(n), pa.array(places.astype(np.int64)))
     return rows.set_column(rows.schema.get_field_index("places"), "places", new)
+
+
+def window_counts(least: int, most: int, stop: tuple[str, ...]):
+    """(head, tail, n) of texts (words, joined by blanks): at each place the first `least` words and up to most - least that follow, counted over a part of the batch.
+
+    Words with other characters than a to z and stop words are left out before.
+    """
+
+    def part(words: pa.Array) -> pa.RecordBatch | None:
+        split = pc.split_pattern(words, " ")
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary
+        good = pc.and_(pc.match_substring_regex(names, "^[a-z]+$"), pc.invert(pc.is_in(names, value_set=pa.array(stop)))).to_numpy(zero_copy_only=False)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = good[code]
+        code, row = code[kept], row[kept]
+        n = len(code) - least + 1
+        if n <= 0:
+            return None
+        columns = []
+        for j in range(most):
+            c = np.full(n, -1, dtype=np.int64)
+            m = min(n, len(code) - j)
+            c[:m] = np.where(row[j : j + m] == row[:m], code[j : j + m], -1)
+            columns.append(c)
+        there = columns[least - 1] >= 0
+        columns = [c[there] for c in columns]
+        if not len(columns[0]):
+            return None
+        wide = len(names) + 1
+        keys = [columns[j] * wide + (columns[j + 1] + 1) if j + 1 < most else columns[j] for j in range(0, most, 2)]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), dtype=bool)
+        new[0] = True
+        for k in keys:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), names, "")
+        word = lambda of, c: pc.fill_null(of.take(pa.array(c[order[first]], mask=c[order[first]] < 0)), "")
+
+        def join(own: list[np.ndarray]) -> pa.Array:
+            taken = [word(spaced if j else names, c) for j, c in enumerate(own)]
+            return pc.binary_join_element_wise(*taken, "") if taken else pa.array([""] * len(first))
+
+        return pa.RecordBatch.from_arrays([join(columns[:least]), join(columns[least:]), pa.array(np.diff(np.r_[first, len(order)]).astype(np.int64))], names=["head", "tail", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            for a, z in _cuts(words, 1 << 30, WINDOW_BYTES):
+                found = part(words.slice(a, z - a))
+                if found is not None:
+                    yield found
+
+    return run
+
+
+def start_counts(least: int, lengths: list[int]):
+    """(phrase, n) of rows (head, tail, n) in their order: the sums over equal starts of each length. A sum goes on over batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = {}  # length: the last start and its sum so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, tail, n = batch.column("head"), batch.column("tail"), batch.column("n").to_numpy(zero_copy_only=False)
+            size = np.where(pc.equal(tail, "").to_numpy(zero_copy_only=False), 0, pc.count_substring(tail, " ").to_numpy(zero_copy_only=False) + 1)
+            for k in lengths:
+                own = np.flatnonzero(size >= k - least)
+                if not len(own):
+                    continue
+                at, more = pa.array(own), k - least
+                phrase = head.take(at)
+                if more:
+                    rest = pc.replace_substring_regex(tail.take(at), rf"^((?:[a-z]+ ){{{more - 1}}}[a-z]+).*$", r"\1")
+                    phrase = pc.binary_join_element_wise(phrase, rest, " ")
+                new = np.flatnonzero(np.r_[True, pc.not_equal(phrase.slice(1), phrase.slice(0, len(own) - 1)).to_numpy(zero_copy_only=False)])
+                sums, names = np.add.reduceat(n[own], new), phrase.take(pa.array(new))
+                if k in open_:
+                    word, before = open_[k]
+                    if names[0].as_py() == word:
+                        sums[0] += before
+                    else:
+                        names, sums = pa.concat_arrays([pa.array([word], names.type), names]), np.r_[before, sums]
+                open_[k] = names[-1].as_py(), int(sums[-1])
+                if len(sums) > 1:
+                    yield pa.RecordBatch.from_arrays([names.slice(0, len(sums) - 1), pa.array(sums[:-1])], names=["phrase", "n"])
+        for word, n in open_.values():
+            yield pa.RecordBatch.from_arrays([pa.array([word]), pa.array([n])], names=["phrase", "n"])
+
+    return run

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as T
-from tabulon.operators import chunk, evaluate
+from tabulon.operators import chunk, evaluate, phrases
 from tabulon.sources.tables import table
 
 GEO_KEYS = ["the", "ation", "stat"]
@@ -18,10 +18,7 @@ def html_to_text_len(spark: SparkSession, d: str) -> DataFrame:
 
 def counted_phrases(spark: SparkSession, d: str, lengths: tuple[int, ...]) -> DataFrame:
     """(phrase, n): phrases of so many words of the whole texts, seen twice or more."""
-    words = F.filter(T.tokens(F.col("text")), lambda w: w.rlike("^[a-z]+$") & ~w.isin(*T.STOP_WORDS))
-    rows = table(spark, d, "documents").select(words.alias("words"))
-    rows = rows.select(F.explode(F.concat(*[T.ngrams(F.col("words"), n) for n in lengths])).alias("phrase"))
-    return rows.groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 2")
+    return phrases.counted(table(spark, d, "documents"), F.col("text"), lengths).filter("n >= 2")
 
 
 def _grams(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,34 @@ def test_merges_keep_full_slices(spark, tmp_path, monkeypatch):
     full = {s for s, n in sizes(two).items() if n >= 2}
     assert full and full <= set(sizes(merged)) and sum(sizes(merged).values()) == 201 and len(merged.segments) == 1
     assert {r.token: r.df for r in textindex.token_stats(merged).collect()} == {r.token: r.df for r in textindex.token_stats(two).collect()}
+
+
+def test_phrases_against_a_plain_count(spark, monkeypatch):
+    """Every phrase of two to four words, of texts in small parts; what moves is one run a place, not one row a phrase."""
+    from collections import Counter
+
+    from tabulon.operators import phrases
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["red", "Blue", "the", "rod", "x9", "a-b"]) for _ in range(rng.randrange(0, 12))) for _ in range(60)] + [None, "", "red", "red the blue"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for lengths in ((2, 3), (2, 3, 4), (2,), (3, 4)):
+        want = Counter()
+        for t in texts:
+            w = [x for x in (t or "").lower().replace("-", " ").split() if x not in ("the", "a", "x9")]
+            want.update(" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1))
+        got = phrases.counted(df, F.col("text"), lengths)
+        assert {r.phrase: r.n for r in got.collect()} == want
+        got = phrases.counted(df, F.col("text"), lengths)._jdf.queryExecution().executedPlan().toString()
+        assert got.count("Exchange hashpartitioning") + got.count("REPARTITION_BY_COL") <= 2 and got.count("Exchange") == 1
+    assert phrases.counted(df.limit(0), F.col("text"), (2, 3)).count() == 0
+
+
+def test_packing_keeps_few_rows_as_python_strings(spark):
+    """Chunks of a batch come from Arrow rows, FOLDED at a time; nulls, empty rows and more rows than that."""
+    from tabulon.operators import chunk
+
+    rows = [(i, None if i % 7 == 0 else [f"s{i}"] * (i % 5)) for i in range(3 * chunk.FOLDED + 5)]
+    df = spark.createDataFrame(rows, "id int, parts array<string>").coalesce(1)
+    got = {r.id: r.x for r in df.select("id", chunk.packed(F.col("parts"), 6, 0, " ").alias("x")).collect()}
+    assert got == {i: None if p is None else chunk.pack(p, 6, 0, " ") for i, p in rows}
