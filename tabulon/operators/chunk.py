@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows whose chunks are Python strings at a time.
+FOLDED = 256
+
+
 def pack(parts: list[str], most: int, overlap: int, glue: str) -> list[str]:
     """Parts joined by glue into chunks of about `most` characters; each begins with the last `overlap` characters of the one before it."""
     now, out = "", []
@@ -41,11 +46,19 @@ def pack_sentences(parts: list[str], target: int, most: int, overlap: int, words
 
 
 def _packer(parts: Column, fold) -> Column:
-    """A fold over each row's parts, in Arrow batches; null parts give null."""
-
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else fold(list(r)) for r in rows], dtype=object)
+    """A fold over each row's parts; null parts give null. FOLDED rows at a time are Python strings, Arrow arrays before and after."""
+
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        done = []
+        for a in range(0, len(rows), FOLDED):
+            some = rows.slice(a, FOLDED)
+            words, at, out = some.flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+            for n in pc.list_value_length(some).to_pylist():
+                out.append(None if n is None else fold(words[at : at + n]))
+                at += n or 0
+            done.append(pa.array(out, pa.list_(pa.string())))
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     return run(parts)
 
