@@ -15,7 +15,8 @@ star, an index over the sets' differences from the star finds the pairs that can
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,8 @@ from tabulon.llm.components import components
 COLLISION = 80.0
 #: At most so many segments of a band have deletion neighbourhoods, which cost an entry per shingle.
 MOST_DELETIONS = 8
+#: Slices of the index entries (a power of two), which are met one after the other: on disk is one slice's shuffle.
+SLICES = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -131,16 +134,28 @@ def index_entries(own: np.ndarray, percent: int, steps: int) -> Iterator[tuple[i
         yield band, np.concatenate(parts), exact
 
 
+def sliced(entries: np.ndarray, exact: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(slice, entries, number of exact ones first) of what index_entries gives, of each slice that has any."""
+    slice_ = (entries >> np.uint64(65 - SLICES.bit_length())).astype(np.int64) if SLICES > 1 else np.zeros(len(entries), np.int64)
+    own = entries[np.argsort(slice_, kind="stable")]
+    n, n_exact = np.bincount(slice_, minlength=SLICES).tolist(), np.bincount(slice_[:exact], minlength=SLICES).tolist()
+    at = 0
+    for k in range(SLICES):
+        if n[k]:
+            yield k, own[at : at + n[k]], n_exact[k]
+            at += n[k]
+
+
 def set_mark(own: np.ndarray) -> int:
     """64-bit identity of a set."""
     return int(mixed(np.array([mixed(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
 
 
-CODED = "text_hash long, n_shingles long, node long, groups array<struct<band:short,exact:int,entries:array<long>>>"
+CODED = "text_hash long, n_shingles long, node long, " + ", ".join(f"groups{k} array<struct<band:short,exact:int,entries:array<long>>>" for k in range(SLICES))
 
 
 def coded_table(docs: DataFrame, words: int, percent: int, steps: int, id_: str = "doc_id") -> DataFrame:
-    """Per row: id, text_hash, n_shingles, node (its set's mark) and the set's index entries, by band, the exact ones first.
+    """Per row: id, text_hash, n_shingles, node (its set's mark) and the set's index entries, by slice and band, the exact ones first.
 
     Of equal sets that come close together one row has entries.
     """
@@ -150,31 +165,35 @@ def coded_table(docs: DataFrame, words: int, percent: int, steps: int, id_: str
 
         for batch in batches:
             for at, to, data, offsets in utf8_parts(batch.column("__tb_text"), 1 << 20):
-                sizes, marks, ends, seen = [], [], [0], set()
-                band, exact, entries = [], [], []
+                sizes, marks, seen = [], [], set()
+                ends, band, exact, entries = ([[] for _ in range(SLICES)] for _ in range(4))
                 for own in shingle_sets(data, offsets, words):
                     sizes.append(len(own))
                     marks.append(set_mark(own))
                     if len(own) and marks[-1] not in seen:
                         seen.add(marks[-1])
-                        for b, found, n in index_entries(own, percent, steps):
-                            band.append(b)
-                            exact.append(n)
-                            entries.append(found)
-                    ends.append(len(band))
-                flat = np.concatenate(entries).view(np.int64) if entries else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, entries)]), pa.int32()), pa.array(flat))
-                inner = pa.StructArray.from_arrays([pa.array(band, pa.int16()), pa.array(exact, pa.int32()), lists], ["band", "exact", "entries"])
-                groups = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([batch.column(id_)[at:to], batch.column("text_hash")[at:to], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), groups], [id_, "text_hash", "n_shingles", "node", "groups"])
+                        for b, all_, first in index_entries(own, percent, steps):
+                            for k, found, n in sliced(all_, first):
+                                band[k].append(b)
+                                exact[k].append(n)
+                                entries[k].append(found)
+                    for k in range(SLICES):
+                        ends[k].append(len(band[k]))
+                arrays = [batch.column(id_)[at:to], batch.column("text_hash")[at:to], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())]
+                for k in range(SLICES):
+                    flat = np.concatenate(entries[k]).view(np.int64) if entries[k] else np.zeros(0, np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, entries[k])]), pa.int32()), pa.array(flat))
+                    inner = pa.StructArray.from_arrays([pa.array(band[k], pa.int16()), pa.array(exact[k], pa.int32()), lists], ["band", "exact", "entries"])
+                    arrays.append(pa.ListArray.from_arrays(pa.array([0, *ends[k]], pa.int32()), inner))
+                yield pa.RecordBatch.from_arrays(arrays, [id_, *[x.split()[0] for x in CODED.split(", ")]])
         give_back()
 
     return docs.select(id_, F.xxhash64("text").alias("text_hash"), F.col("text").alias("__tb_text")).mapInArrow(run, f"{id_} {dict(docs.dtypes)[id_]}, {CODED}")
 
 
-def entry_rows(coded: DataFrame) -> DataFrame:
-    """(entry, node, kind): kind is twice the band, plus 1 for exact segments."""
-    groups = coded.select("node", F.explode("groups").alias("g"))
+def entry_rows(coded: DataFrame, slices: Iterable[int] = range(SLICES)) -> DataFrame:
+    """(entry, node, kind) of these slices: kind is twice the band, plus 1 for exact segments."""
+    groups = coded.select("node", F.explode(F.concat(*[f"groups{k}" for k in slices])).alias("g"))
     rows = groups.select("node", F.col("g.band").alias("band"), F.col("g.exact").alias("exact"), F.posexplode("g.entries").alias("at", "entry"))
     return rows.select("entry", "node", (2 * F.col("band") + (F.col("at") < F.col("exact")).cast("int")).cast("short").alias("kind"))
 
@@ -189,10 +208,9 @@ def hot_entries(rows: DataFrame) -> DataFrame:
     return counted.filter(F.col("n_") > limit).withColumn("parts", F.ceil(F.col("n_") / limit).cast("int"))
 
 
-def shared_entries(rows: DataFrame, work: Scratch) -> DataFrame:
-    """(entry, node, kind, n) of the entries that two sets have; n counts the rows of the entry."""
-    hot = F.broadcast(work.cut("hot", hot_entries(rows)))
-    dealt = rows.join(hot, "entry", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)))
+def shared_entries(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(entry, node, kind, n) of the entries that two sets have; n counts the rows of the entry. hot: hot_entries of these rows, or of more."""
+    dealt = rows.join(F.broadcast(hot), "entry", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)))
     own = W.Window.partitionBy("entry", "part")
     met = dealt.withColumns({"low": F.coalesce("low_", F.min("node").over(own)), "high": F.coalesce("high_", F.max("node").over(own)), "n": F.coalesce("n_", F.count("*").over(own))})
     return met.filter(F.col("low") != F.col("high")).select("entry", "node", "kind", "n").distinct()
@@ -281,10 +299,13 @@ def _apart(near: DataFrame, labels: DataFrame, percent: int, work: Scratch) -> D
     as_other = F.floor((size + k * (F.col("n_star") - F.col("n"))) / 2 + 1e-9) + 1
     as_far = F.greatest(F.lit(1), F.ceil((size - k * (F.col("n") + F.col("n_star")) + 1 - k) / 2 - 1e-9))
     rows = work.cut("items", own.select("star", "node", "label", "n", "linked", size.alias("size"), (size + 1 - as_far).alias("far_prefix"), (size + 1 - as_other).alias("prefix"), F.explode("items").alias("item")))
+    work.free("near")
     often = work.cut("often", rows.groupBy("item", "star").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
-    met = skew_join(rows, often.withColumnRenamed("n", "often"), ["item", "star"], counts=often, how="left").fillna(1, ["often"])
-    place = F.row_number().over(W.Window.partitionBy("star", "node").orderBy("often", "item"))
-    shared = work.cut("shared_items", met.withColumn("place", place).filter((F.col("often") > 1) & (F.col("place") <= F.greatest("prefix", "far_prefix"))))
+    # Only shared items move, without what their set's one row says. They are the last of their set, whose others come first.
+    met = skew_join(rows.select("item", "star", "node"), often.withColumnRenamed("n", "often"), ["item", "star"], counts=often)
+    met = met.join(rows.drop("item").distinct(), ["star", "node"])
+    place = F.col("size") + 1 - F.row_number().over(W.Window.partitionBy("star", "node").orderBy(F.col("often").desc(), F.col("item").desc()))
+    shared = work.cut("shared_items", met.withColumn("place", place).filter(F.col("place") <= F.greatest("prefix", "far_prefix")))
     work.free("heads", "open_stars", "items", "often")
     far = shared.filter(~F.col("linked") & (F.col("place") <= F.col("far_prefix"))).select("star", "item", "node", "label", "n", "size", "place")
     other = shared.filter(F.col("place") <= F.col("prefix")).select("star", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "size", "place")])
@@ -301,14 +322,16 @@ def _labelled(docs: DataFrame, words: int, percent: int, steps: int) -> tuple[Da
     work = Scratch(docs.sparkSession)
     coded = work.cut("coded", coded_table(docs, words, percent, steps))
     nodes = work.cut("nodes", coded.select("doc_id", "text_hash", "n_shingles", "node"))
-    met = work.cut("met", shared_entries(entry_rows(coded), work))
+    hot = work.cut("hot", hot_entries(entry_rows(coded)))
+    slices = [work.cut(f"met{k}", shared_entries(entry_rows(coded, [k]), hot)) for k in range(SLICES)]
+    met = reduce(DataFrame.union, slices)
     work.free("coded", "hot")
     # Each set drops its commonest exact segments, as many as its band spares.
     largest = nodes.agg(F.max("n_shingles")).first()[0] or 1
     spare = F.element_at(F.array(*[F.lit(b[4]) for b in bands(percent, steps, 2 * largest + 64)]), F.floor(F.col("kind") / 2).cast("int") + 1)
     common = W.Window.partitionBy("node", "kind").orderBy(F.col("n").desc(), "entry")
     kept = work.cut("kept", met.withColumn("place", F.row_number().over(common)).filter((F.col("kind") % 2 == 0) | (F.col("place") > spare)).select("entry", "node"))
-    work.free("met")
+    work.free(*[f"met{k}" for k in range(SLICES)])
     return nodes, linked_sets(docs, nodes, kept, words, percent, work)
 
 
@@ -348,7 +371,7 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, kept: DataFrame, words: int,
         labels = components(links)
         apart = _apart(near, labels, percent, work)
         pairs = work.cut("pairs", likely(apart, "a", "b") if likely else apart)
-        work.free("near", "shared_items")
+        work.free("shared_items")
         final = work.cut("final", _verified(pairs, sets, percent))
         if final.limit(1).count():
             labels = components(links.union(final))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import Scratch, mixed, skew_join, table, utf8_parts
-from tabulon.llm.jaccard import linked_sets, set_mark, shared_entries, shingle_sets
+from tabulon.llm.jaccard import hot_entries, linked_sets, set_mark, shared_entries, shingle_sets
 
 #: Minima, in bands of so many rows, and the low bits that are kept of each.
 BANDS, ROWS, BITS = 32, 4, 4
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = work.cut("nodes", signed.select("doc_id", "text_hash", "n_shingles", "node"))
     bits = work.cut("bits", signed.filter(F.size("bits") > 0).groupBy("node").agg(F.first("bits").alias("bits")))
     rows = signed.select("node", F.explode("entries").alias("entry"), F.lit(0).cast("short").alias("kind"))
-    kept = work.cut("kept", shared_entries(rows, work).select("entry", "node"))
+    kept = work.cut("kept", shared_entries(rows, work.cut("hot", hot_entries(rows))).select("entry", "node"))
     work.free("signed", "hot")
 
     def likely(pairs: DataFrame, a: str, b: str) -> DataFrame:
