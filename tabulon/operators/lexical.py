@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tabulon.functions.text import tokens
-from tabulon.operators.patterns import contained
+from tabulon.operators.patterns import contained, holding
 
 #: A query dimension of at most so many rows is broadcast; a larger one is dealt into blocks of about so many.
 SMALL_DIM = 10_000
@@ -163,7 +163,7 @@ def candidate_scores(concepts: DataFrame, variables: DataFrame, k: int = 15) ->
 
     concepts (concept_id, keyword) rows, repeats count; variables (variable_id, label, concept). Base tables gain 10, their
     first two variables 20 more, those of the poverty table 30 more. Texts and keywords meet by anchors (see patterns), so
-    neither side has a bound. Keywords of two characters or fewer and null ones count for nothing; a repeated variable is
+    neither side has a bound; of variables nothing is broadcast. Keywords of two characters or fewer and null ones count for nothing; a repeated variable is
     ranked again.
     """
     words = concepts.filter(F.length("keyword") > 2).groupBy("concept_id", "keyword").agg(F.count("*").alias("_times"))
@@ -171,11 +171,12 @@ def candidate_scores(concepts: DataFrame, variables: DataFrame, k: int = 15) ->
     v = variables.groupBy("variable_id", F.lower(F.coalesce("label", F.lit(""))).alias("l"), F.lower(F.coalesce("concept", F.lit(""))).alias("c")).agg(F.count("*").alias("_copies"))
     # A variable's texts with what a hit in them counts: label, concept, id; long keywords again in the id as it is written.
     fields = F.array(*[F.struct(c.alias("_t"), F.lit(gain).alias("_gain")) for c, gain in ((F.col("l"), 3), (F.col("c"), 2), (F.lower("variable_id"), 4))])
-    own = v.select("variable_id", "l", "c", F.explode(fields).alias("f")).select("variable_id", "l", "c", "f.*")
-    key = ["variable_id", "l", "c"]
-    small = own.join(contained(own, "_t", words, "_low"), "_t").join(words, "_low").select("concept_id", *key, (F.col("_gain") * F.col("_times")).alias("s"))
-    ids = v.select(*key).join(contained(v, "variable_id", words, "_up"), "variable_id").join(words, "_up").select("concept_id", *key, (25 * F.col("_times")).alias("s"))
-    scored = small.unionByName(ids).groupBy("concept_id", *key).agg(F.sum("s").cast("int").alias("s")).join(v, key)
+    key = ["variable_id", "l", "c", "_copies"]
+    own = v.select(*key, F.explode(fields).alias("f")).select(*key, "f.*")
+    near = F.broadcast(words) if words.limit(SMALL_DIM + 1).count() <= SMALL_DIM else words.hint("merge")
+    small = holding(own, "_t", words, "_low").join(near, "_low").select("concept_id", *key, (F.col("_gain") * F.col("_times")).alias("s"))
+    ids = holding(v.select(*key), "variable_id", words, "_up").join(near, "_up").select("concept_id", *key, (25 * F.col("_times")).alias("s"))
+    scored = small.unionByName(ids).groupBy("concept_id", *key).agg(F.sum("s").cast("int").alias("s"))
     scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     parts = F.split("variable_id", "_")
     first = F.replace(parts[1], F.lit("E"), F.lit("")).isin("001", "002")

@@ -30,20 +30,26 @@ def anchors(patterns: DataFrame, pattern: str) -> DataFrame:
     return short.unionByName(runs.join(held, "anchor").groupBy("pattern").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor")))
 
 
-def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """(text, pattern): the distinct pairs where the text contains the pattern; both keep their names, which differ.
+def holding(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """Every row with each distinct pattern that its text contains, in a new column of the pattern's name.
 
-    Nulls are in no pair. An empty pattern is in every text that isn't null. Either side may have any number of rows; the
-    work grows with the texts' characters and with the candidates that share an anchor.
+    Rows with a null text and null patterns are in no pair; an empty pattern is in every text that isn't null. Either side
+    may have any number of rows; the work grows with the texts' characters and with the candidates that share an anchor.
+    Only patterns are sent around while they are few: rows don't move and are never broadcast.
     """
-    asked = anchors(patterns, pattern)
-    lengths = sorted(r[0] for r in asked.select(F.length("anchor")).distinct().collect())  # GRAM values at most
-    whole = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
-    runs = F.flatten(F.array(*[grams(F.col("text"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    rows = whole.select("text", F.explode(runs).alias("anchor"))
-    few = asked.select("anchor").distinct()
-    rows = rows.join(F.broadcast(few) if few.limit(SMALL_ANCHORS + 1).count() <= SMALL_ANCHORS else few, "anchor", "left_semi")
-    met = rows.join(asked, "anchor").filter(F.col("text").contains(F.col("pattern"))).select("text", "pattern")
-    empty = patterns.filter(F.length(pattern) == 0).limit(1).select(F.lit("").alias("pattern"))
-    met = met.unionByName(whole.join(F.broadcast(empty), F.length("pattern") == 0).select("text", "pattern"))  # one row at most
-    return met.select(F.col("text").alias(text), F.col("pattern").alias(pattern))
+    asked = anchors(patterns, pattern).withColumnsRenamed({"pattern": pattern, "anchor": "_anchor"})
+    lengths = sorted(r[0] for r in asked.select(F.length("_anchor")).distinct().collect())  # GRAM values at most
+    whole = rows.filter(F.col(text).isNotNull())
+    runs = F.flatten(F.array(*[grams(F.col(text), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    cut = whole.withColumn("_anchor", F.explode(runs))
+    few = asked.select("_anchor").distinct()
+    cut = cut.join(F.broadcast(few) if few.limit(SMALL_ANCHORS + 1).count() <= SMALL_ANCHORS else few, "_anchor", "left_semi")
+    met = cut.join(F.broadcast(asked) if asked.limit(SMALL_ANCHORS + 1).count() <= SMALL_ANCHORS else asked.hint("merge"), "_anchor")
+    met = met.filter(F.col(text).contains(F.col(pattern))).select(*rows.columns, pattern)
+    empty = patterns.filter(F.length(pattern) == 0).limit(1).select(F.lit("").alias(pattern))
+    return met.unionByName(whole.join(F.broadcast(empty), F.length(pattern) == 0).select(*rows.columns, pattern))  # one row at most
+
+
+def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """(text, pattern): the distinct pairs where the text contains the pattern, as in holding; both keep their names, which differ."""
+    return holding(texts.select(text).distinct(), text, patterns, pattern)
