@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tabulon.functions.text import tokens
 from tabulon.operators.lexical import B, K1, LEAST_IDF, SMALL_TOKENS, top
 
+#: Documents of a task, and the parts over which rows of a clause are dealt if there are too many clauses to broadcast.
+DOCS_PER_TASK, DEALT = 10_000, 64
+
 # Fixed forms: a bare word, a quoted phrase, a column before either; the words between terms.
 _WORD, _QUOTED = r"(?!(?:AND|OR|NOT)(?:\s|$))[A-Za-z0-9_\x{80}-\x{10FFFF}]+", r'"[^"]*"'
 _BETWEEN = r"(?:\s+(?:AND|OR|NOT))?"
@@ -54,21 +57,32 @@ def _positions(docs: DataFrame, id_: str, columns: list[str]) -> tuple[DataFrame
     return all_words.select("id", F.explode("w").alias("w")).select("id", "w.*"), all_words.groupBy("id").agg(F.sum(F.size("w")).alias("dl"))
 
 
-def occurrences(asked: DataFrame, words: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, asked: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """rows of documents (id) with what asked says of their keys. Any share of the documents may have one key: rows stay where
+    they are if asked is of few rows, else a key's rows are dealt by document over DEALT parts."""
+    if few:
+        return rows.join(F.broadcast(asked), keys)
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(DEALT).cast("long")))
+    return dealt.join(asked.withColumn("_part", F.explode(parts)), [*keys, "_part"]).drop("_part")
+
+
+def occurrences(asked: DataFrame, words: DataFrame, few: bool = False) -> DataFrame:
     """(query_id, clause, id, tf): how often each clause is met in a document.
 
-    asked: rows of clauses; words: (id, field, token, at). Words are joined by token, and the starts of prefixes by the head
-    of the token, before rows move; a clause is met at a place where all its words are, one after the other.
+    asked: rows of clauses, and whether they are few; words: (id, field, token, at). Words are joined by token, and the starts
+    of prefixes by the head of the token, before rows move; a clause is met at a place where all its words are, one after the other.
     """
     each = asked.select("query_id", "clause", "field", F.size("words").alias("n"), "prefix", F.posexplode("words").alias("i", "word"))
     each = each.withColumn("open", F.col("prefix") & (F.col("i") == F.col("n") - 1))
     lengths = sorted(r[0] for r in each.filter("open").select(F.length("word")).distinct().collect())  # no more than the longest word has letters
-    keys = each.select("word", "open").distinct()
-    near = F.broadcast(keys) if keys.limit(SMALL_TOKENS + 1).count() <= SMALL_TOKENS else keys
     exact = F.array(F.struct(F.col("token").alias("word"), F.lit(False).alias("open")))
     heads = F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("token")), lambda n: F.struct(F.substring(F.col("token"), F.lit(1), n).alias("word"), F.lit(True).alias("open")))
-    kept = words.select("id", F.col("field").alias("in_field"), "at", F.explode(F.concat(exact, heads)).alias("k")).select("id", "in_field", "at", "k.*").join(near, ["word", "open"], "left_semi")
-    met = each.join(kept, ["word", "open"]).filter("field IS NULL OR field = in_field")
+    kept = words.select("id", F.col("field").alias("in_field"), "at", F.explode(F.concat(exact, heads)).alias("k")).select("id", "in_field", "at", "k.*")
+    if not few:
+        keys = each.select("word", "open").distinct()
+        kept = kept.join(F.broadcast(keys) if keys.limit(SMALL_TOKENS + 1).count() <= SMALL_TOKENS else keys, ["word", "open"], "left_semi")
+    met = _meet(kept, each, ["word", "open"], few).filter("field IS NULL OR field = in_field")
     starts = met.groupBy("query_id", "clause", "id", "in_field", "n", (F.col("at") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("met")).filter("met = n")
     return starts.groupBy("query_id", "clause", "id").agg(F.count("*").alias("tf"))
 
@@ -79,20 +93,24 @@ def match_search(queries: DataFrame, docs: DataFrame, id_: str, columns: list[st
     queries (query_id, q) may be any number. A clause's frequency is summed over its columns and a document's length over
     all; excluded clauses don't score. Ties go to the smaller id. Strings of no valid form have no answers, nor have null
     ones; null columns are empty. Rows of one id are one document. Empty in, empty out.
+    Documents are dealt once, DOCS_PER_TASK to a task, which finds and counts the clauses of its own.
     """
     asked = clauses(queries.filter("q IS NOT NULL"), columns)
-    words, lengths = _positions(docs, id_, columns)
+    few = (asked.agg(F.sum(F.size("words"))).first()[0] or 0) <= SMALL_TOKENS
+    own = docs.select(*dict.fromkeys([id_, *columns]))
+    words, lengths = _positions(own.repartition(max(1, -(-own.count() // DOCS_PER_TASK)), id_), id_, columns)
     whole = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    met = asked.select("query_id", "clause", "alternative", "part", "excluded").join(occurrences(asked, words), ["query_id", "clause"])
+    met = _meet(occurrences(asked, words, few), asked.select("query_id", "clause", "alternative", "part", "excluded"), ["query_id", "clause"], few)
     part = ["query_id", "alternative", "part", "excluded"]
     needed = asked.groupBy(*part).agg(F.count("*").alias("needed"))
-    parts = met.groupBy(*part, "id").agg(F.count("*").alias("met")).join(needed, part).filter("met = needed")
+    parts = _meet(met.groupBy(*part, "id").agg(F.count("*").alias("met")), needed, part, few).filter("met = needed")
     positive = asked.filter("NOT excluded").groupBy("query_id", "alternative").agg(F.count_distinct("part").alias("parts"))
     matched = parts.groupBy("query_id", "alternative", "id").agg(F.count_if(~F.col("excluded")).alias("met"), F.max("excluded").alias("out"))
-    matched = matched.join(positive, ["query_id", "alternative"]).filter("met = parts AND NOT out").select("query_id", "id").distinct()
+    matched = _meet(matched, positive, ["query_id", "alternative"], few).filter("met = parts AND NOT out").select("query_id", "id").distinct()
     scoring = met.filter("NOT excluded")
     df = scoring.groupBy("query_id", "clause").agg(F.count("*").alias("df"))
-    hits = scoring.join(matched, ["query_id", "id"]).join(df, ["query_id", "clause"]).join(lengths, "id").crossJoin(F.broadcast(whole))  # one row
+    # Both grow with the documents, so they are never broadcast.
+    hits = _meet(scoring.join(matched.hint("merge"), ["query_id", "id"]), df, ["query_id", "clause"], few).join(lengths.hint("merge"), "id").crossJoin(F.broadcast(whole))  # one row
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     sums = hits.groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
