@@ -18,6 +18,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 HOT_KEYS, HOT_ROWS = 10_000, 128
 #: Shuffle files are of no use once a cut table is written; Spark then frees them.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python workers in batches of at most 10,000; this also bounds their bytes.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,19 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None, batch_bytes: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: executors may be lost after this without recomputing df.
 
-    The files go when the driver's JVM ends, if not before.
+    The files go when the driver's JVM ends, if not before. batch_bytes: Python workers get about so many bytes at once.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    held = {FREE_SHUFFLES: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     files, where = _files(spark, path)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,8 +69,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
 
-    def cut(self, name: str, df: DataFrame) -> DataFrame:
-        return cut(df, f"{self.root}/{name}")
+    def cut(self, name: str, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+        return cut(df, f"{self.root}/{name}", batch_bytes)
 
     def free(self, *names: str) -> None:
         for name in names:

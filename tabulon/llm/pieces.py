@@ -14,6 +14,7 @@ path that is left is the answer. For a unigram model any neighbours are allowed
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -22,14 +23,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, give_back, hot_keys, kept_in_process, skew_join, table, utf8_parts
+from tabulon.llm.common import Scratch, cut, give_back, hot_keys, kept_in_process, skew_join, table, utf8_parts
 
 #: Where the public model lies, unless the caller says.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are scanned. Chunks combined in the first level.
 CHUNK, BLOCK = 16_384, 256
-#: Words, and pairs of pieces, that a Python worker remembers.
+#: Words, their characters, and pairs of pieces that a Python worker remembers.
 MOST_WORDS = MOST_PAIRS = 100_000
+MOST_CHARS = 4 << 20
+#: The scan's tasks get about so many bytes of rows at once, and return so many characters and numbers.
+BATCH, MOST_OUT = 4 << 20, 1 << 18
 MARK = "▁"
 NONE = -np.inf
 
@@ -43,6 +47,7 @@ class Model:
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = sp.get_piece_size()
         self.words: dict[str, bytes] = {}
+        self.chars = 0  # of the words
         names = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {names[i]: i for i in plain}
@@ -65,8 +70,9 @@ class Model:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, word by word; each new word is encoded once."""
         known, rows, new = self.words, [], {}
-        if len(known) > MOST_WORDS:
+        if len(known) > MOST_WORDS or self.chars > MOST_CHARS:
             known.clear()
+            self.chars = 0
         for text in texts:
             words = text.replace(MARK, " ").split(" ") if text else []
             if "" in words:
@@ -86,6 +92,7 @@ class Model:
         found = self.sp.encode([w if isinstance(w, str) else " " * (w - 1) for w in fresh], num_threads=1) if fresh else []
         for w, ids in zip(fresh, found, strict=True):
             known[w] = np.array(ids if w != 1 else [self.ids.get(MARK, self.unknown)], np.int32).tobytes()
+            self.chars += len(w) if isinstance(w, str) else w
         return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in rows]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -231,20 +238,50 @@ def _normal(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
 
+def _rows(batches: Iterator) -> Iterator[tuple]:
+    """Rows of Arrow batches, one after the other; lists are arrays."""
+    import pyarrow as pa
+
+    for batch in batches:
+        kind = collections.namedtuple("Row", batch.schema.names)
+        for row in zip(*batch.columns, strict=True):
+            yield kind(*(x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) else x.as_py() for x in row))
+
+
+def _in_batches(rows: Iterator[tuple], schema: str) -> Iterator:
+    """Arrow batches of rows: few at a time, so that a task holds no more than about MOST_OUT values of what it returns."""
+    import pyarrow as pa
+
+    arrow = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    build = lambda held: pa.RecordBatch.from_arrays([pa.array(x, arrow[k]) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) if hasattr(x, "__len__") else 1 for x in row)
+        if size >= MOST_OUT:
+            yield build(held)
+            held, size = [], 0
+    if held:
+        yield build(held)
+
+
 def _chunks(held, marked: DataFrame, chunk: int) -> DataFrame:
     """(mark, no, before, body, after): chunks of the giant texts with as much of their neighbours as a piece is long."""
+    schema = "mark string, no int, before string, body string, after string"
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def each(batches: Iterator) -> Iterator[tuple]:
         k = loaded(held.value).longest + 1
-        for pdf in batches:
-            for mark, text in zip(pdf["mark"], pdf["text"], strict=True):
-                whole = _normal(text)
-                at = range(0, len(whole), chunk)
-                yield pd.DataFrame({"mark": mark, "no": range(len(at)), "before": [whole[max(0, a - k) : a] for a in at], "body": [whole[a : a + chunk] for a in at], "after": [whole[a + chunk : a + chunk + k] for a in at]})
+        for r in _rows(batches):
+            whole = _normal(r.text)
+            for no, a in enumerate(range(0, len(whole), chunk)):
+                yield r.mark, no, whole[max(0, a - k) : a], whole[a : a + chunk], whole[a + chunk : a + chunk + k]
 
-    return marked.mapInPandas(run, "mark string, no int, before string, body string, after string")
+    def run(batches: Iterator) -> Iterator:
+        yield from _in_batches(each(batches), schema)
+        give_back()
+
+    return marked.select("mark", "text").mapInArrow(run, schema)
 
 
 MATRIX = "mark string, no int, block int, lefts array<int>, rights array<int>, sums array<double>"
@@ -261,24 +298,22 @@ def _unpacked(code: int) -> tuple[int, int]:
 
 
 def _leaves(held, chunks: DataFrame) -> DataFrame:
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def each(batches: Iterator) -> Iterator[tuple]:
         model = loaded(held.value)
-        for pdf in batches:
-            rows = []
-            for mark, no, before, body, after in pdf.itertuples(index=False):
-                left, right, sums = model.transfer(before + body + after, len(before), len(before) + len(body))
-                rows.append((mark, no, no // BLOCK, _code(left), _code(right), sums.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["mark", "no", "block", "lefts", "rights", "sums"])
+        for r in _rows(batches):
+            left, right, sums = model.transfer(r.before + r.body + r.after, len(r.before), len(r.before) + len(r.body))
+            yield r.mark, r.no, r.no // BLOCK, _code(left), _code(right), sums.ravel()
+
+    def run(batches: Iterator) -> Iterator:
+        yield from _in_batches(each(batches), MATRIX)
+        give_back()
 
-    return chunks.mapInPandas(run, MATRIX)
+    return chunks.select("mark", "no", "before", "body", "after").mapInArrow(run, MATRIX)
 
 
 def _groups(batches: Iterator, keys: list[str]) -> Iterator[list]:
-    """Rows of sorted pandas batches, one list for each run of equal keys. A run is a text's block or its blocks."""
-    rows = (r for pdf in batches for r in pdf.itertuples(index=False))
-    for _, group in itertools.groupby(rows, key=lambda r: tuple(getattr(r, k) for k in keys)):
+    """Rows of sorted Arrow batches, one list for each run of equal keys. A run is a text's block or its blocks."""
+    for _, group in itertools.groupby(_rows(batches), key=lambda r: tuple(getattr(r, k) for k in keys)):
         yield list(group)
 
 
@@ -286,13 +321,6 @@ def _matrices(rows: list) -> list[tuple[list, list, np.ndarray]]:
     return [(list(r.lefts), list(r.rights), np.asarray(r.sums, float).reshape(len(r.lefts), len(r.rights))) for r in rows]
 
 
-def _in_batches(rows: Iterator[tuple], columns: list[str], many: int = 256) -> Iterator:
-    import pandas as pd
-
-    while held := list(itertools.islice(rows, many)):
-        yield pd.DataFrame(held, columns=columns)
-
-
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return (a[:, :, None] + b[None]).max(axis=1, initial=NONE)
@@ -307,9 +335,9 @@ def _folded(batches: Iterator) -> Iterator:
             total = rows[0][2]
             for _, _, m in rows[1:]:
                 total = times(total, m)
-            yield group[0].mark, int(group[0].block), 0, rows[0][0], rows[-1][1], total.ravel().tolist()
+            yield group[0].mark, int(group[0].block), 0, rows[0][0], rows[-1][1], total.ravel()
 
-    return _in_batches(each(), ["mark", "no", "block", "lefts", "rights", "sums"])
+    return _in_batches(each(), MATRIX)
 
 
 def choose(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
@@ -347,32 +375,36 @@ def _chosen(keys: list[str]):
             for r, (lefts, rights, _), a, b in zip(group, rows, path, path[1:], strict=False):
                 yield r.mark, r.no, lefts[a], rights[b]
 
-    return lambda batches: _in_batches(each(batches), ["mark", "no", "first", "last"], 4096)
+    return lambda batches: _in_batches(each(batches), CHOSEN)
 
 
 def scan_giants(held, texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(mark, ids) of (mark, text), by the scan. A text's blocks are at most 2**31 / (chunk * BLOCK) matrices, about 500.
 
-    Shuffles of the small matrices keep their number of partitions: they are light in bytes, not in work.
+    Shuffles of the small matrices keep their number of partitions: they are light in bytes, not in work. Tasks hold
+    BATCH bytes of rows and one chunk's pieces; what the chunks yield is a table, the steps before it are freed.
     """
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = cut(_chunks(held, texts, chunk))
+    work, tasks = Scratch(texts.sparkSession), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = work.cut("chunks", _chunks(held, texts, chunk), BATCH)
     spread = chunks.repartition(tasks, "mark", "no")
-    leaves = cut(_leaves(held, spread))
+    leaves = work.cut("leaves", _leaves(held, spread), BATCH)
     by_block = lambda df: df.repartition(tasks, "mark", "block").sortWithinPartitions("mark", "block", "no")
-    blocks = cut(by_block(leaves).mapInPandas(_folded, MATRIX))
-    tops = cut(blocks.repartition(tasks, "mark").sortWithinPartitions("mark", "no").mapInPandas(_chosen(["mark"]), CHOSEN))
-    states = by_block(leaves.join(tops.withColumnRenamed("no", "block"), ["mark", "block"])).mapInPandas(_chosen(["mark", "block"]), CHOSEN)
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    blocks = work.cut("blocks", by_block(leaves).mapInArrow(_folded, MATRIX), BATCH)
+    tops = work.cut("tops", blocks.repartition(tasks, "mark").sortWithinPartitions("mark", "no").mapInArrow(_chosen(["mark"]), CHOSEN), BATCH)
+    states = by_block(leaves.join(tops.withColumnRenamed("no", "block"), ["mark", "block"])).mapInArrow(_chosen(["mark", "block"]), CHOSEN)
+    schema = "mark string, no int, ids array<int>"
 
+    def each(batches: Iterator) -> Iterator[tuple]:
         model = loaded(held.value)
-        for pdf in batches:
-            ids = [model.trace(b + body + a, len(b), len(b) + len(body), _unpacked(x), _unpacked(y)) for b, body, a, x, y in zip(pdf["before"], pdf["body"], pdf["after"], pdf["first"], pdf["last"], strict=True)]
-            yield pd.DataFrame({"mark": pdf["mark"], "no": pdf["no"], "ids": ids})
+        for r in _rows(batches):
+            yield r.mark, r.no, model.trace(r.before + r.body + r.after, len(r.before), len(r.before) + len(r.body), _unpacked(r.first), _unpacked(r.last))
+
+    def run(batches: Iterator) -> Iterator:
+        yield from _in_batches(each(batches), schema)
+        give_back()
 
-    parts = chunks.join(states, ["mark", "no"]).mapInPandas(run, "mark string, no int, ids array<int>")
+    parts = work.cut("parts", chunks.join(states, ["mark", "no"]).select("mark", "no", "before", "body", "after", "first", "last").mapInArrow(run, schema), BATCH)
+    work.free("chunks", "leaves", "blocks", "tops")
     return parts.groupBy("mark").agg(F.flatten(F.array_sort(F.collect_list(F.struct("no", "ids"))).getField("ids")).alias("ids"))
 
 

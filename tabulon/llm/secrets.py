@@ -191,7 +191,7 @@ def scan(docs: DataFrame, null: dict, keep: list[str]) -> DataFrame:
         tokens = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("class", pa.int32()), ("bin", pa.int32())]))
         for batch in batches:
             base, found = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
-            for at, _, data, offsets in utf8_parts(batch.column("__tb_text")):
+            for at, _, data, offsets in utf8_parts(batch.column("__tb_text"), 1 << 20):
                 for i, own, more in scan_part(data, offsets, null):
                     base[at + i] = [dict(zip(("start", "kind", "stop"), x, strict=True)) for x in own]
                     found[at + i] = [dict(zip(("start", "stop", "class", "bin"), x, strict=True)) for x in more]
@@ -258,25 +258,26 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", length: str | None = None) -
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lengths = batch.column(length).to_pylist() if length else None
-            for at, _, data, offsets in utf8_parts(batch.column("text")):
+            for at, to, data, offsets in utf8_parts(batch.column("text"), 1 << 20):  # a part's texts are Python strings, not the batch's
+                part = batch.slice(at, to - at)
+                texts = part.column("text").to_pylist()
+                lengths = part.column(length).to_pylist() if length else None
                 for i, base, more in scan_part(data, offsets, null):
                     spans = sorted([(a, b) for a, _, b in base] + [(a, b) for a, b, c, p in more if p >= least[c]])
                     if spans:
-                        text, parts, end = texts[at + i], [], 0
+                        text, parts, end = texts[i], [], 0
                         for a, b in spans:
                             if a >= end:
                                 parts += [text[end:a], mark]
                             end = max(end, b)
-                        texts[at + i] = "".join([*parts, text[end:]])
+                        texts[i] = "".join([*parts, text[end:]])
                         if lengths:
-                            lengths[at + i] = len(texts[at + i])
-            for name, new in (("text", texts), (length, lengths)):
-                if new:
-                    place = batch.schema.get_field_index(name)
-                    batch = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
-            yield batch
+                            lengths[i] = len(texts[i])
+                for name, new in (("text", texts), (length, lengths)):
+                    if new:
+                        place = part.schema.get_field_index(name)
+                        part = part.set_column(place, part.schema.field(place), pa.array(new, part.schema.field(place).type))
+                yield part
         give_back()
 
     return docs.mapInArrow(run, docs.schema)
