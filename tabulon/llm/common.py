@@ -20,6 +20,8 @@ HOT_KEYS, HOT_ROWS = 10_000, 128
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows go to Python workers in batches of at most 10,000; this also bounds their bytes.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The rows of a Parquet row group.
+GROUP_ROWS = "parquet.block.row.count.limit"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
-def cut(df: DataFrame, path: str | None = None, batch_bytes: int | None = None) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None, batch_bytes: int | None = None, group_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: executors may be lost after this without recomputing df.
 
     The files go when the driver's JVM ends, if not before. batch_bytes: Python workers get about so many bytes at once.
+    group_rows: tasks hold so many rows of the table at most, for rows of megabytes. Spark's writer otherwise looks at the
+    size of what it holds only after 100 rows, and its reader decodes up to 4,096 rows of a row group at once.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
@@ -49,7 +53,7 @@ def cut(df: DataFrame, path: str | None = None, batch_bytes: int | None = None)
     for k, v in held.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        (df.write.option(GROUP_ROWS, group_rows) if group_rows else df.write).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -69,8 +73,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tabulon/{uuid.uuid4().hex}"
 
-    def cut(self, name: str, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
-        return cut(df, f"{self.root}/{name}", batch_bytes)
+    def cut(self, name: str, df: DataFrame, batch_bytes: int | None = None, group_rows: int | None = None) -> DataFrame:
+        return cut(df, f"{self.root}/{name}", batch_bytes, group_rows)
 
     def free(self, *names: str) -> None:
         for name in names:

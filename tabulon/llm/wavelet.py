@@ -81,6 +81,14 @@ def index_shards(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(id_).cast("long").alias("__tb_id"), F.col(text).alias("__tb_text")).mapInArrow(run, INDEX)
 
 
+def stored_index(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """index_shards as a table. A task makes and reads it shard by shard, however many of them its file holds.
+
+    Texts come in batches of one shard, with an eighth left for the last text of a batch.
+    """
+    return Scratch(docs.sparkSession).cut("index", index_shards(docs, id_, text), SHARD_BYTES * 7 // 8, group_rows=1)
+
+
 def item_terms(items: DataFrame, id_: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, term): the distinct terms of each item. Rows of one item_id, or of none, are one item."""
 
@@ -247,7 +255,7 @@ def _answers(index: DataFrame, asked: list, n_docs: int, n_terms: int, k: int, k
 
 
 def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
-    """item_id, rank (from 1), doc_id, score: each item's k best documents of an index (a table of index_shards).
+    """item_id, rank (from 1), doc_id, score: each item's k best documents of an index (see stored_index).
 
     Terms are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z in lower case, told apart by
     64-bit hashes. Of N documents with terms and L terms, a term in df documents weighs w = floor(1000 ln((2N+2)/(2df+1))), a
@@ -276,12 +284,11 @@ def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
         found = part if found is None else found.union(part)
     best = W.Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("item_id").cast(kind).alias("item_id"), "rank", "doc_id", "score")
+    return work.cut("ranked", ranked.select(F.col("item_id").cast(kind).alias("item_id"), "rank", "doc_id", "score"), SHARD_BYTES)
 
 
 def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = Scratch(spark).cut("index", index_shards(table(spark, sf_dir, "documents")))
-    return search(index, table(spark, sf_dir, "benchmark"))
+    return search(stored_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""

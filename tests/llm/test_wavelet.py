@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tabulon.llm import wavelet
+from tests.conftest import DATA
 from tests.llm.test_llm import ODD, documents
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -69,6 +71,22 @@ def test_blocks_of_items(spark, monkeypatch):
     assert got(spark, rows, items, 7) == whole == plain(rows, items, 7)
 
 
+def test_index_is_held_shard_by_shard(spark, monkeypatch):
+    """Spark holds the rows of a row group at once, so each shard has its own, however many a file has."""
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(wavelet, "search", lambda index, items: index)
+    index = wavelet.op12_ranked(spark, DATA)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert max(m.num_rows for m in files) > 5 and max(rows) == 1 and sum(rows) == index.count()
+    monkeypatch.undo()
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 700)
+    made, items = corpus(8, 60)
+    found = wavelet.search(wavelet.stored_index(documents(spark, made)), spark.createDataFrame(items, "item_id long, text string"), 7)
+    assert sorted(map(tuple, found.select("item_id", "rank", "doc_id", "score").collect()), key=repr) == plain(made, items, 7)
+    assert wavelet.stored_index(documents(spark, [])).count() == 0
+
+
 def test_empty_tables(spark):
     rows, items = corpus(6, 5)
     assert got(spark, [], items, 5) == [] and got(spark, rows, [], 5) == []
